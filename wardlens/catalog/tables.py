@@ -312,7 +312,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata(spark: SparkSession) -> DataFrame:
     """Printed name and formula of each metric, in print order."""
-    rows = [(i, m, f"Indicador {m}", f"{m} / total") for i, m in enumerate(METRICS)]
-    return spark.createDataFrame(
-        rows, "posicion int, id_indicador string, indicador string, calculo string"
+    rows = ", ".join(
+        f"({i}, '{m}', 'Indicador {m}', '{m} / total')" for i, m in enumerate(METRICS)
+    )
+    return spark.sql(
+        f"SELECT * FROM VALUES {rows} AS m(posicion, id_indicador, indicador, calculo)"
     )
