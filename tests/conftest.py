@@ -1,5 +1,7 @@
 """One Spark session for all tests."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,11 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def sample():
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("sample tables are not there")
+    return str(folder)

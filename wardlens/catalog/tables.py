@@ -8,8 +8,9 @@ are wards, events are the daily history. All rows of the sources take part.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import date, datetime
+from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,9 @@ RAW_MECHANISMS = (
 )
 
 
+Reader = Callable[[str], DataFrame]
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -167,21 +171,15 @@ SLOT_FIELD_SQL = _slot_fields("linea")
 SLOT_PAGE = {f"{f}{k}": f"get(_slots, {k - 1}).{f}" for k in SLOTS for f in SLOT_FIELD_SQL}
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders")
-
-
-def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = read(spark, sf_dir, "customer")
-    nations = read(spark, sf_dir, "nation")
+def _people(read_table: Reader) -> DataFrame:
     return (
-        _orders(spark, sf_dir)
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+        read_table("orders")
+        .join(read_table("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(read_table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     )
 
 
-def _gathered_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gathered_slots(read_table: Reader) -> DataFrame:
     """One row per order with its slots, one slot per line number.
 
     The lines of an order that share a number are one slot; the newest of them, by
@@ -190,7 +188,7 @@ def _gathered_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     before the shuffle, in which an order with very many lines costs no more than
     others.
     """
-    lines = read(spark, sf_dir, "lineitem").selectExpr(
+    lines = read_table("lineitem").selectExpr(
         "l_orderkey", "l_linenumber", f"{_line_number()} AS line"
     )
     newest = [F.expr(f"max(CASE WHEN l_linenumber = {k} THEN line END) AS slot{k}") for k in SLOTS]
@@ -206,9 +204,9 @@ def _gathered_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PAGES = {
-    "Vigilancia": (_orders, "o_orderkey", STATUS_PAGE),
+    "Vigilancia": (lambda read_table: read_table("orders"), "o_orderkey", STATUS_PAGE),
     "Vigilancia1": (_people, "o_orderkey", PATIENT_PAGE),
-    "Vigilancia12": (_orders, "o_orderkey", ISOLATION_PAGE),
+    "Vigilancia12": (lambda read_table: read_table("orders"), "o_orderkey", ISOLATION_PAGE),
     "Vigilancia13": (_gathered_slots, "l_orderkey", SLOT_PAGE),
 }
 
@@ -221,11 +219,12 @@ def pages(
     With ``columns`` only the pages that supply one of them, and the status page.
     """
     wanted = None if columns is None else set(columns)
+    read_once = cache(partial(read, spark, sf_dir))  # one look at each file's schema
     form = {}
     for name, (rows, key, parts) in PAGES.items():
         if wanted is None or name == "Vigilancia" or wanted & parts.keys():
             shown = [f"{sql} AS {column}" for column, sql in parts.items()]
-            form[name] = rows(spark, sf_dir).selectExpr(f"{key} AS {KEY}", *shown)
+            form[name] = rows(read_once).selectExpr(f"{key} AS {KEY}", *shown)
     return form
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _quoted(names: Sequence[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
 def measures_long(
     df: DataFrame, ids: Sequence[str], measures: Sequence[str], name: str, value: str
 ) -> DataFrame:
@@ -29,13 +33,20 @@ def long_to_rows(
     return long.groupBy(*keys).agg(*cells)
 
 
-def class_counts(cls: Column, classes: Sequence[str], labels: Sequence[str]) -> list[Column]:
-    """One count per class as aggregate expressions."""
-    return [F.count_if(cls == c).alias(n) for c, n in zip(classes, labels, strict=True)]
+def class_counts(cls: str, classes: Sequence[str], labels: Sequence[str]) -> list[Column]:
+    """One count per class of a class column, as aggregate expressions."""
+    return [
+        F.expr(f"count_if(`{cls}` = '{c}') AS `{n}`") for c, n in zip(classes, labels, strict=True)
+    ]
+
+
+def empty_if_zero(df: DataFrame, keep: Sequence[str], counts: Sequence[str]) -> DataFrame:
+    """The kept columns and the counts, a zero count as null."""
+    return df.selectExpr(*_quoted(keep), *[f"nullif(`{n}`, 0) AS `{n}`" for n in counts])
 
 
 def cross_table(
-    df: DataFrame, row_key: str, cls: Column, classes: Sequence[str], labels: Sequence[str]
+    df: DataFrame, row_key: str, cls: str, classes: Sequence[str], labels: Sequence[str]
 ) -> DataFrame:
     """Rows by classes; a combination that never occurs is null.
 
@@ -43,37 +54,31 @@ def cross_table(
     counts come out of one aggregation.
     """
     counts = df.groupBy(row_key).agg(*class_counts(cls, classes, labels))
-    return counts.select(row_key, *[F.nullif(F.col(n), F.lit(0)).alias(n) for n in labels])
+    return empty_if_zero(counts, [row_key], labels)
 
 
 def add_row_total(df: DataFrame, cols: Sequence[str], name: str) -> DataFrame:
     """Sum over columns, nulls as zero."""
-    return df.withColumn(name, sum((F.coalesce(F.col(c), F.lit(0)) for c in cols), F.lit(0)))
+    total = " + ".join(f"coalesce(`{c}`, 0)" for c in cols)
+    return df.selectExpr("*", f"{total} AS `{name}`")
 
 
-def add_total_row(
-    df: DataFrame, row_key: str, cols: Sequence[str], label: str
-) -> DataFrame:
+def add_total_row(df: DataFrame, row_key: str, cols: Sequence[str], label: str) -> DataFrame:
     """Append a row with the column sums, nulls as zero.
 
     ``df`` has one row per key, so a rollup repeats every row unchanged and adds
     the total in the same pass. The column ``_is_total`` is true on the added row.
     """
-    is_total = F.grouping(row_key) == 1
-    sums = [F.sum(c).alias(c) for c in cols]
-    rolled = df.rollup(row_key).agg(is_total.alias("_is_total"), *sums)
-    shown: Mapping[str, Column] = {
-        c: F.when(F.col("_is_total"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.col(c))
-        for c in cols
-    }
-    return rolled.select(
-        F.when(F.col("_is_total"), F.lit(label)).otherwise(F.col(row_key)).alias(row_key),
-        *[v.alias(c) for c, v in shown.items()],
+    sums = [F.expr(f"sum(`{c}`) AS `{c}`") for c in cols]
+    rolled = df.rollup(row_key).agg(F.expr(f"grouping(`{row_key}`) = 1 AS _is_total"), *sums)
+    return rolled.selectExpr(
+        f"IF(_is_total, '{label}', `{row_key}`) AS `{row_key}`",
+        *[f"IF(_is_total, coalesce(`{c}`, 0), `{c}`) AS `{c}`" for c in cols],
         "_is_total",
     )
 
 
 def drop_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Leave out columns without any value; for small printed tables (reads the data)."""
-    row = df.agg(*[F.count_if(F.col(c) > 0).alias(c) for c in cols]).first()
+    row = df.agg(*[F.expr(f"count_if(`{c}` > 0) AS `{c}`") for c in cols]).first()
     return df.drop(*[c for c in cols if not row[c]])

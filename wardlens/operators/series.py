@@ -96,12 +96,12 @@ def smooth(
     )
 
     spread = ranked.select(series, "_x", "_y", "_lo", step.alias("_step"), place)
-    u = (F.col("_x") - at) / F.col("_h")
+    u = F.try_divide(F.col("_x") - at, F.col("_h"))  # null where all neighbours share one x
     near = (
         spread.join(widths, [series, "punto"])
         .select(series, "punto", at.alias("x"), "_y", u.alias("_u"))
-        .filter(F.abs("_u") < 1)
-        .withColumn("_w", F.pow(1 - F.pow(F.abs("_u"), F.lit(3.0)), F.lit(3.0)))
+        .withColumn("_inside", F.greatest(1 - F.pow(F.abs("_u"), F.lit(3.0)), F.lit(0.0)))
+        .withColumn("_w", F.pow("_inside", F.lit(3.0)))
     )
     power = [F.col("_w") * F.pow(F.col("_u"), F.lit(float(k))) for k in range(5)]
     sums = near.groupBy(series, "punto").agg(
@@ -114,6 +114,6 @@ def smooth(
     )
     a, b, c = s2 * s4 - s3 * s3, s1 * s4 - s2 * s3, s1 * s3 - s2 * s2
     det = s0 * a - s1 * b + s2 * c
-    fit = (t0 * a - t1 * b + t2 * c) / det
+    fit = F.try_divide(t0 * a - t1 * b + t2 * c, det)
     solvable = F.abs(det) > F.lit(1e-12) * s0 * s0 * s0
     return sums.select(series, "punto", "x", F.when(solvable, fit).alias("ajuste"))

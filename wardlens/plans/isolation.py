@@ -33,7 +33,12 @@ from wardlens.functions import (
     whole_days,
 )
 from wardlens.operators.keys import first_per_key
-from wardlens.operators.reshape import add_row_total, add_total_row, class_counts
+from wardlens.operators.reshape import (
+    add_row_total,
+    add_total_row,
+    class_counts,
+    empty_if_zero,
+)
 from wardlens.operators.slots import organism_rows, slot_columns_used
 
 WARD, BED, PATIENT, ORGANISM = "plantaActual", "camaActual", "NHC", "microorganismo"
@@ -166,17 +171,14 @@ def isolation_map(resistant: DataFrame) -> DataFrame:
     cls = F.coalesce(report_class(F.col(ORGANISM)), F.lit("NA"))
     classed = resistant.select(PATIENT, WARD, KEY, cls.alias("_class"))
     per_patient = classed.groupBy(PATIENT, WARD).agg(
-        *class_counts(F.col("_class"), CLASSES, labels), F.min(KEY).alias("_first")
+        *class_counts("_class", CLASSES, labels), F.min(KEY).alias("_first")
     )
     by_patient = W.partitionBy(PATIENT).orderBy("_first")
     marked = per_patient.withColumn("_counted", F.row_number().over(by_patient) == 1)
     sums = marked.groupBy(WARD).agg(
-        *[F.sum(c).alias(c) for c in labels], F.count_if("_counted").alias("n_pacientes")
-    )
-    # a combination that never occurs stays empty
-    cells = sums.select(
-        WARD, *[F.nullif(F.col(c), F.lit(0)).alias(c) for c in [*labels, "n_pacientes"]]
+        *[F.expr(f"sum({c}) AS {c}") for c in labels], F.count_if("_counted").alias("n_pacientes")
     )
+    cells = empty_if_zero(sums, [WARD], [*labels, "n_pacientes"])
     wide = add_row_total(cells, labels, "total_unidad")
     numbers = ["n_pacientes", *labels, "total_unidad"]
     table = add_total_row(wide, WARD, numbers, TOTAL_LABEL)

@@ -18,9 +18,15 @@ log = logging.getLogger(__name__)
 def list_tables(
     spark: SparkSession, containing: str = "", database: str | None = None
 ) -> list[str]:
-    """Names of the catalog tables that contain a text (upper and lower case differ)."""
+    """Names of the catalog tables that contain a text.
+
+    Upper and lower case differ where the session is case-sensitive; elsewhere the
+    catalog itself stores names in small letters, so they do not.
+    """
+    exact = spark.conf.get("spark.sql.caseSensitive") == "true"
+    wanted = containing if exact else containing.lower()
     names = [t.name for t in spark.catalog.listTables(database)]
-    return sorted(n for n in names if containing in n)
+    return sorted(n for n in names if wanted in (n if exact else n.lower()))
 
 
 def fetch_table(
