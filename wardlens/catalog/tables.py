@@ -168,7 +168,25 @@ def _slot_fields(line: str) -> dict[str, str]:
 
 
 SLOT_FIELD_SQL = _slot_fields("linea")
-SLOT_PAGE = {f"{f}{k}": f"get(_slots, {k - 1}).{f}" for k in SLOTS for f in SLOT_FIELD_SQL}
+
+# Slot fields are unpacked in groups, so that a query unpacks what it reads.
+SLOT_GROUPS = {
+    "_cultivos": (
+        "microorganismoEstado",
+        "microorganismo",
+        "fechaMuestra",
+        "mecanismoMR",
+        "mecanismoMROtro",
+    ),
+    "_tiempos": ("fechaActivacion", "fechaInactivacion"),
+    "_camas": ("fechaIngreso", "cama"),
+}
+SLOT_PAGE = {
+    f"{field}{k}": f"get({group}, {k - 1}).{field}"
+    for k in SLOTS
+    for group, fields in SLOT_GROUPS.items()
+    for field in fields
+}
 
 
 def _people(read_table: Reader) -> DataFrame:
@@ -192,15 +210,13 @@ def _gathered_slots(read_table: Reader) -> DataFrame:
         "l_orderkey", "l_linenumber", f"{_line_number()} AS line"
     )
     newest = [F.expr(f"max(CASE WHEN l_linenumber = {k} THEN line END) AS slot{k}") for k in SLOTS]
-    fields = ", ".join(f"'{f}', {sql}" for f, sql in SLOT_FIELD_SQL.items())
     packed = ", ".join(f"slot{k}" for k in SLOTS)
-    return (
-        lines.groupBy("l_orderkey")
-        .agg(*newest)
-        .selectExpr(
-            "l_orderkey", f"transform(array({packed}), linea -> named_struct({fields})) AS _slots"
-        )
-    )
+    groups = []
+    for group, names in SLOT_GROUPS.items():
+        fields = ", ".join(f"'{f}', {SLOT_FIELD_SQL[f]}" for f in names)
+        slot = f"IF(linea IS NOT NULL, named_struct({fields}), NULL)"
+        groups.append(f"transform(array({packed}), linea -> {slot}) AS {group}")
+    return lines.groupBy("l_orderkey").agg(*newest).selectExpr("l_orderkey", *groups)
 
 
 PAGES = {

@@ -214,7 +214,11 @@ def cleaning_list(ward_rows: DataFrame) -> DataFrame:
 
 
 def ward_listing(ward_rows: DataFrame, wards: Sequence[str], within: bool = True) -> DataFrame:
-    """Printed listing of some wards (or of all others), by ward and bed."""
+    """Printed listing of some wards (or of all others), by ward and bed.
+
+    A global sort reads its input twice, once to choose the ranges; where that input
+    comes out of large joins, store it first.
+    """
     ward = F.col(WARD)
     chosen = ward.isin(*wards) if within else ~ward.isin(*wards)
     columns = (WARD, PATIENT, BED, "motivoAislamiento", "tipoAislamiento", "origenInfeccion")

@@ -64,6 +64,7 @@ def covid_cases(valid: DataFrame) -> DataFrame:
 
 
 def newest_first(cases: DataFrame) -> DataFrame:
+    """Cases by last change, the newest first."""
     return cases.orderBy(F.desc_nulls_last("LastSaveTime"))
 
 

@@ -66,18 +66,20 @@ def isolation_report(
     return tables
 
 
-def cleaning_report(pages: Pages) -> Tables:
+def cleaning_report(pages: Pages, store: bool = True) -> Tables:
     """Beds for double cleaning in critical and in other wards, by bed."""
-    beds = isolation.cleaning_list(_ward_rows(pages, store=False)).orderBy("Cama")
+    beds = isolation.cleaning_list(_ward_rows(pages, store))
     return {
-        area: beds.filter(F.col("area") == area).drop("area")
+        area: beds.filter(F.col("area") == area).drop("area").orderBy("Cama")
         for area in ("criticos", "hospitalizacion")
     }
 
 
-def critical_report(pages: Pages, wards: Sequence[str] = CRITICAL_WARDS) -> Tables:
+def critical_report(
+    pages: Pages, wards: Sequence[str] = CRITICAL_WARDS, store: bool = True
+) -> Tables:
     """Listing of the critical wards."""
-    return {"criticos": isolation.ward_listing(_ward_rows(pages, store=False), wards)}
+    return {"criticos": isolation.ward_listing(_ward_rows(pages, store), wards)}
 
 
 def covid_report(
