@@ -187,6 +187,9 @@ def test_whole_reports(spark, sample):
     assert set(plain) == {"mapa", "criticos", "hospitalizacion"} < set(full)
     assert full["mapa"].collect() == plain["mapa"].collect()
     assert full["indicadores"].count() == 27
+    shown = reports.printed(full)
+    assert shown["mapa"].columns[:3] == ["Nº ptes. aislados", "Planta", "C. auris"]
+    assert shown["indicadores"].columns == ["Indicador", "Cálculo", "Resultado"]
     assert full["resistentes_suavizado"].count() == 4 * 80
     clean = reports.cleaning_report(form)
     assert all(df.columns == ["Cama"] and df.count() for df in clean.values())
@@ -196,6 +199,7 @@ def test_whole_reports(spark, sample):
         form, t.history(spark, sample), t.COVID_CUTOFF, t.HISTORY_DAY, t.HISTORY_START
     )
     assert covid["historico"].count() == 30
+    assert reports.printed(covid)["por_planta"].columns == ["Planta", "Nº de ingresados"]
     assert covid["historico"].filter(F.col("ingresados_por_covid").isNotNull()).count() == 1
     assert covid["curva_parcial"].filter("media_movil IS NULL").count() == 12
 

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import types as T
 
+from wardlens import sources
 from wardlens.sources import sinks, tables
 
 
@@ -65,6 +66,13 @@ def test_fetch_from_files(spark, tmp_path):
     assert tables.fetch_table(spark, "hospital.vigilancia").count() == 2
 
 
+def test_settings_lose_their_quotation_marks(monkeypatch):
+    monkeypatch.setenv("RUTA", '"/data/hospital"')
+    assert sources.from_environment("RUTA") == "/data/hospital"
+    assert sources.from_environment("RUTA_AUSENTE", "x") == "x"
+    assert sources.from_environment("RUTA_AUSENTE") is None
+
+
 def test_write_report(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "Planta string, n int")
     sinks.write_report({"mapa": df}, str(tmp_path / "p"))
@@ -105,6 +113,9 @@ def test_overwrite_days_touches_only_its_days(spark, tmp_path):
         sinks.overwrite_days(again, folder)
     got = spark.read.parquet(folder).orderBy("fecha").collect()
     assert [(r.fecha.day, r.n) for r in got] == [(1, 1), (2, 20), (3, 3)]
+    many = spark.range(1000).selectExpr("DATE'2022-01-05' AS fecha", "CAST(id AS INT) AS n")
+    sinks.overwrite_days(many, folder)
+    assert spark.read.parquet(folder).count() == 1003
 
 
 def test_durable_keeps_rows_and_cuts_the_plan(spark):

@@ -14,6 +14,7 @@ from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from wardlens.constants import CRITICAL_WARDS, KEY
 from wardlens.plans.indicators import METRICS
@@ -54,8 +55,15 @@ RAW_MECHANISMS = (
 Reader = Callable[[str], DataFrame]
 
 
+@cache
+def _schema(path: str) -> StructType:
+    """Column names and types of a file, looked up once per process."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _quoted(values: Iterable[str]) -> str:
@@ -235,12 +243,12 @@ def pages(
     With ``columns`` only the pages that supply one of them, and the status page.
     """
     wanted = None if columns is None else set(columns)
-    read_once = cache(partial(read, spark, sf_dir))  # one look at each file's schema
+    read_table = partial(read, spark, sf_dir)
     form = {}
     for name, (rows, key, parts) in PAGES.items():
         if wanted is None or name == "Vigilancia" or wanted & parts.keys():
             shown = [f"{sql} AS {column}" for column, sql in parts.items()]
-            form[name] = rows(read_once).selectExpr(f"{key} AS {KEY}", *shown)
+            form[name] = rows(read_table).selectExpr(f"{key} AS {KEY}", *shown)
     return form
 
 

@@ -93,3 +93,43 @@ MDR_SERIES_LABELS = {
 PRESSURE_SERIES = ("pa_global", "pa_crit", "pa_hosp", "pa_covid")
 SMOOTH_POINTS = 80
 SMOOTH_SPAN = 0.75
+
+# --- printed column names per report table --------------------------------------
+PRINTED_NAMES = {
+    "mapa": {
+        "n_pacientes": "Nº ptes. aislados",
+        "planta": "Planta",
+        "c_auris": "C. auris",
+        "mmr": "MMR",
+        "epc": "EPC",
+        "blee": "BLEE",
+        "r_meticilina": "R meticilina",
+        "c_difficile": "C. difficile",
+        "otros": "Otros",
+        "na": "NA",
+        "total_unidad": "Total por Unidad",
+    },
+    "indicadores": {
+        "indicador": "Indicador",
+        "calculo": "Cálculo",
+        "resultado": "Resultado",
+    },
+    "estado": {
+        "total_ingresados": "Total ingresados",
+        "total_criticos": "Total críticos",
+        "casos_nuevos": "Casos nuevos",
+        "altas": "Altas",
+        "exitus": "Exitus",
+        "ingresados_por_covid": "ingresados_por_covid",
+        "criticos_por_covid": "criticos_por_covid",
+    },
+    "por_planta": {"planta": "Planta", "n_ingresados": "Nº de ingresados"},
+    "exitus": {"SIP": "SIP", "fecha_exitus": "Fecha exitus"},
+    "estancia_prolongada": {
+        "SIP": "SIP",
+        "NHC": "NHC",
+        "Cama": "Cama",
+        "IngresoPorCovid": "IngresoPorCovid",
+        "dias_positivo": "Días positivo",
+    },
+}

@@ -13,7 +13,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.constants import CRITICAL_WARDS, FULL_REPORT_WEEKDAY
+from wardlens.constants import CRITICAL_WARDS, FULL_REPORT_WEEKDAY, PRINTED_NAMES
+from wardlens.operators.columns import present
 from wardlens.operators.keys import snapshot_merge
 from wardlens.operators.series import moving_average
 from wardlens.plans import indicators, isolation, movements, outbreak, trends
@@ -29,6 +30,14 @@ def is_full_report(day: date, weekday: int = FULL_REPORT_WEEKDAY) -> bool:
     return day.isoweekday() % 7 + 1 == weekday
 
 
+def printed(tables: Mapping[str, DataFrame]) -> Tables:
+    """The tables of a report with the columns and names they are printed with."""
+    return {
+        name: present(df, PRINTED_NAMES[name]) if name in PRINTED_NAMES else df
+        for name, df in tables.items()
+    }
+
+
 def _ward_rows(pages: Pages, store: bool) -> DataFrame:
     rows = isolation.ward_table(isolation.active_records(join_pages(pages)))
     return durable(rows) if store else rows

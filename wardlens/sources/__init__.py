@@ -1,5 +1,6 @@
 """Reading, choosing and joining tables; writing results."""
 
+from wardlens.sources.settings import from_environment
 from wardlens.sources.sinks import (
     durable,
     overwrite_days,
@@ -22,6 +23,7 @@ __all__ = [
     "fetch_optional",
     "fetch_table",
     "first_with_column",
+    "from_environment",
     "join_pages",
     "list_tables",
     "load_snapshot",

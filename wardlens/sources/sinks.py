@@ -57,11 +57,12 @@ def overwrite_days(df: DataFrame, folder: str, date_col: str = "fecha") -> None:
     """Write a day-partitioned history so that only the days in ``df`` are replaced.
 
     Running it again for the same day gives the same table, and the cost is that
-    of one day, not of the history.
+    of one day, not of the history. Rows are gathered by day into files of sensible
+    size; a day with very many rows is split over several tasks.
     """
     (
         df.withColumn(date_col, F.to_date(date_col))
-        .repartition(date_col)
+        .hint("rebalance", date_col)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(date_col)
