@@ -43,6 +43,7 @@ def test_pattern_tests_differ_on_null(spark):
 def test_first_digit_and_paste(spark):
     rows = [("cama3b4", "a"), ("cama", None)]
     assert values(spark, rows, "x string, y string", fn.first_digit(F.col("x"))) == ["3", None]
+    assert values(spark, rows, "x string, y string", fn.last_character(F.col("x"))) == ["4", "a"]
     assert values(spark, rows, "x string, y string", fn.paste(F.col("x"), F.col("y"))) == [
         "cama3b4 a",
         "cama NA",

@@ -148,6 +148,13 @@ def test_purge_removes_old_closed_records_everywhere(form):
     assert newest.ultimo == datetime(2023, 6, 1)
 
 
+def test_stored_keys_give_the_same_pages(form):
+    cutoff = date(2023, 1, 1)
+    for run in (lambda store: retention.purge(form, cutoff, store=store),
+                lambda store: retention.repair(form, "Vigilancia1", store=store)):
+        assert {n: keys(p) for n, p in run(True).items()} == {n: keys(p) for n, p in run(False).items()}
+
+
 def test_repair_keeps_valid_named_records(form):
     clean = retention.repair(form, "Vigilancia1")
     assert keys(clean["Vigilancia"]) == ["closed", "keep", "nobody", "stateless"]

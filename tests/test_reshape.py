@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wardlens.operators import reshape as r
 from wardlens.operators import series as s

@@ -112,6 +112,17 @@ def test_names_and_labels(spark):
     assert (last.microorganismo, last.mecanismoMR) == ("Enterococcus R vancomicina", None)
 
 
+def test_more_than_nine_slots(spark):
+    columns, values = ["GlobalRecordId"], ["r"]
+    for k in range(1, 13):
+        columns += [f"microorganismoEstado{k}", f"microorganismo{k}", f"fechaMuestra{k}", f"mecanismoMR{k}"]
+        values += ["ACTIVO", f"O{k % 11}", "2022-01-01", "AmpC"]
+    df = spark.createDataFrame([tuple(values)], columns)
+    found = s.organism_rows(df).collect()
+    assert sorted(r.slot for r in found) == list(range(1, 12))  # slot 12 repeats slot 1
+    assert {r.microorganismo for r in found} == {f"O{i} AmpC" for i in range(11)}
+
+
 def test_records_without_organisms_can_stay(spark):
     df = wide(spark, {"none": [EMPTY, EMPTY], "one": [EMPTY, ("ACTIVO", "X", D, None, None)]}, 2)
     assert organisms(df) == [("one", 2, "X")]

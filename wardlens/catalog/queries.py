@@ -14,11 +14,12 @@ from wardlens.constants import (
     MDR_PATTERNS,
     MDR_PATTERNS_NARROW,
     MECHANISMS_WITHOUT_AMPC,
+    SLOT_PREFIXES,
     SLOT_PREFIXES_WITH_TIMES,
 )
 from wardlens.functions import is_report_day, parse_dmy, weekday
+from wardlens.operators import keys
 from wardlens.operators import slots as s
-from wardlens.operators.keys import append
 from wardlens.operators.reshape import long_to_rows
 from wardlens.operators.series import moving_average
 from wardlens.plans import (
@@ -33,8 +34,8 @@ from wardlens.plans import (
 Query = Callable[[SparkSession, str], DataFrame]
 
 COHORT = ("RECSTATUS", "estadoActual", "nombre")
-SLOT_COLUMNS = "^(microorganismo|fechaMuestra|mecanismoMR)"
-SLOT_AND_TIME_COLUMNS = "^(microorganismo|fechaMuestra|mecanismoMR|fechaActivacion|fechaInactivacion)"
+SLOT_COLUMNS = f"^({'|'.join(SLOT_PREFIXES)})"
+SLOT_AND_TIME_COLUMNS = f"^({'|'.join(SLOT_PREFIXES_WITH_TIMES)})"
 
 
 def _active(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -235,7 +236,7 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = t.history(spark, sf_dir)
-    return append(
+    return keys.append(
         outbreak.occupancy_series(daily).withColumn("periodo", F.lit("completo")),
         outbreak.occupancy_series(daily, t.HISTORY_START).withColumn("periodo", F.lit("parcial")),
     )
@@ -259,9 +260,7 @@ def _saved_as_date(df: DataFrame) -> DataFrame:
 
 
 def snapshot_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wardlens.operators.keys import snapshot_merge as merge
-
-    return _saved_as_date(merge(t.snapshots(spark, sf_dir)))
+    return _saved_as_date(keys.snapshot_merge(t.snapshots(spark, sf_dir)))
 
 
 def bed_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,10 +270,14 @@ def bed_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements.bed_movements(wide).withColumn("fecha", F.to_date("fecha"))
 
 
+def _page_keys(pages: dict[str, DataFrame]) -> DataFrame:
+    named = [df.select(F.lit(name).alias("pagina"), KEY) for name, df in pages.items()]
+    return keys.append(*named)
+
+
 def retention_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = retention.purge(t.pages(spark, sf_dir), t.PURGE_CUTOFF)
-    keys = [df.select(F.lit(name).alias("pagina"), KEY) for name, df in kept.items()]
-    return append(*keys)
+    return _page_keys(kept)
 
 
 def closed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,15 +293,15 @@ def closed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def orphans_after_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later pages against the purged first page: what a purge of one table leaves over."""
     form = t.pages(spark, sf_dir)
-    kept = retention.purge({"Vigilancia": form["Vigilancia"], "Vigilancia1": form["Vigilancia1"]}, t.PURGE_CUTOFF)
-    left = retention.orphans({"Vigilancia": kept["Vigilancia"], "Vigilancia13": form["Vigilancia13"]})
+    first_two = {n: form[n] for n in ("Vigilancia", "Vigilancia1")}
+    kept = retention.purge(first_two, t.PURGE_CUTOFF)["Vigilancia"]
+    left = retention.orphans({"Vigilancia": kept, "Vigilancia13": form["Vigilancia13"]})
     return left["Vigilancia13"].select(KEY)
 
 
 def key_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = retention.repair(t.pages(spark, sf_dir), "Vigilancia1")
-    keys = [df.select(F.lit(name).alias("pagina"), KEY) for name, df in clean.items()]
-    return append(*keys)
+    return _page_keys(clean)
 
 
 def ward_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from wardlens.functions.text import (
     detect,
     ends_with,
     first_digit,
+    last_character,
     paste,
     paste_tight,
     replace_all,
@@ -45,6 +46,7 @@ __all__ = [
     "if_na",
     "is_report_day",
     "is_value_or_null",
+    "last_character",
     "max_or_null",
     "parse_dmy",
     "parse_iso_date",

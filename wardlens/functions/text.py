@@ -60,6 +60,10 @@ def first_digit(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"\d", 0), F.lit(""))
 
 
+def last_character(c: Column) -> Column:
+    return F.right(c, F.lit(1))
+
+
 def replace_all(c: Column, old: str, new: str) -> Column:
     return F.replace(c, F.lit(old), F.lit(new))
 

@@ -64,7 +64,7 @@ def bind_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "orderId") -> DataFrame:
-    """Number the rows of a small reference table (tens of rows) in a given order.
+    """Number the rows of a small lookup table (tens of rows) in a given order.
 
     The numbering is one sequence, hence one task: use it for metadata only.
     """

@@ -99,17 +99,21 @@ def ward_beds(wards: DataFrame) -> DataFrame:
 def isolation_counts(ward_rows: DataFrame, wards: DataFrame) -> DataFrame:
     """All counts over the ward table as one row, from one pass over it.
 
-    Rows are first folded per bed, which starts before the shuffle; counting beds
-    is then counting groups, and a missing bed is a group like any other. So there
-    is one shuffle in place of one per distinct count.
+    Rows are first folded per bed and ward, which starts before the shuffle, so the
+    ward table is joined to the folded rows only and a full ward is no hot key.
+    Then they are folded per bed: counting beds is counting groups, and a missing
+    bed is a group like any other.
     """
-    areas = wards.select("plantaActual", "areaHospital")
     tests = _row_counts()
-    with_area = ward_rows.join(areas, "plantaActual", "left")
+    area = F.col("areaHospital")
+    folded = ward_rows.groupBy("camaActual", "plantaActual").agg(
+        *[F.count_if(test).alias(n) for n, test in tests.items()]
+    )
+    with_area = folded.join(wards.select("plantaActual", "areaHospital"), "plantaActual", "left")
     per_bed = with_area.groupBy("camaActual").agg(
-        F.bool_or(F.col("areaHospital") == AREA_WARD).alias("_ward"),
-        F.bool_or(F.col("areaHospital") == AREA_CRITICAL).alias("_critical"),
-        *[F.count_if(test).alias(n) for n, test in tests.items()],
+        F.bool_or(area == AREA_WARD).alias("_ward"),
+        F.bool_or(area == AREA_CRITICAL).alias("_critical"),
+        *[F.sum(n).alias(n) for n in tests],
     )
     return per_bed.agg(
         F.count("*").alias("n_aisl_totales"),
@@ -176,4 +180,5 @@ def rows_per_bed_origin(ward_rows: DataFrame) -> DataFrame:
     counts = ward_rows.groupBy("camaActual").agg(
         F.count("*").alias("n_filas"), F.count_if(origin == NOSOCOMIAL).alias("n_nosocomial")
     )
-    return counts.withColumn("pct_nosocomial", ratio(F.col("n_nosocomial"), F.col("n_filas"), 100.0))
+    share = ratio(F.col("n_nosocomial"), F.col("n_filas"), 100.0)
+    return counts.withColumn("pct_nosocomial", share)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardlens.constants import INACTIVE, KEY, VALID_STATUS
 from wardlens.functions import max_or_null
 from wardlens.operators.keys import drop_known, keep_known
+from wardlens.sources.sinks import durable
 from wardlens.sources.tables import join_pages
 
 Pages = Mapping[str, DataFrame]
@@ -33,15 +34,21 @@ def records_to_purge(pages: Pages, cutoff: date) -> DataFrame:
     return closed_records(pages).filter(old).select(KEY)
 
 
-def purge(pages: Pages, cutoff: date) -> dict[str, DataFrame]:
+def purge(pages: Pages, cutoff: date, store: bool = False) -> dict[str, DataFrame]:
     """All pages without the purged records.
 
     A row of a later page stays only if its record survives in the first page.
-    That already excludes purged records, so each later page needs one join.
+    That already excludes purged records, so each later page needs one join. With
+    ``store`` the surviving keys are worked out and stored once for all pages; use
+    it when the pages are written one by one.
     """
     (main, parents), *children = pages.items()
     kept = drop_known(parents, records_to_purge(pages, cutoff))
-    return {main: kept} | {name: keep_known(page, kept) for name, page in children}
+    survivors = kept.select(KEY)
+    if store:
+        survivors = durable(survivors)
+        kept = keep_known(parents, survivors)
+    return {main: kept} | {name: keep_known(page, survivors) for name, page in children}
 
 
 def orphans(pages: Pages) -> dict[str, DataFrame]:
@@ -50,9 +57,11 @@ def orphans(pages: Pages) -> dict[str, DataFrame]:
     return {name: drop_known(page, parents) for name, page in children}
 
 
-def repair(pages: Pages, named_page: str) -> dict[str, DataFrame]:
-    """All pages cut to valid records that have a name."""
+def repair(pages: Pages, named_page: str, store: bool = False) -> dict[str, DataFrame]:
+    """All pages cut to valid records that have a name; ``store`` as in :func:`purge`."""
     main = next(iter(pages.values()))
     valid = main.filter(F.col("RECSTATUS") == VALID_STATUS)
-    clean = keep_known(pages[named_page], valid).filter(F.col("nombre").isNotNull())
+    named = pages[named_page].filter(F.col("nombre").isNotNull())
+    clean = keep_known(named, valid).select(KEY)
+    clean = durable(clean) if store else clean
     return {name: keep_known(page, clean) for name, page in pages.items()}

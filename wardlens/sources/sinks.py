@@ -71,11 +71,14 @@ def overwrite_days(df: DataFrame, folder: str, date_col: str = "fecha") -> None:
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only where none is set."""
+    """Use the shared folder the cluster names; a temporary one only on a single machine."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardlens-"))
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardlens-"))
 
 
 def durable(df: DataFrame) -> DataFrame:
