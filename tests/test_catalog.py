@@ -6,8 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.compare import differences, duck
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from wardlens.catalog.oracle import ORACLE_SQL as SQL
+from wardlens.catalog.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +17,7 @@ def con(sample):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
