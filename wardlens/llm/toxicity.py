@@ -5,8 +5,9 @@ Two models, toxic and ordinary, are counted on all labelled documents that are n
 gives a word after a word the discounted count of the pair, then the word's discounted continuation
 count in its class, then its continuation count in both classes together, which smooths what is
 rare alike in both. A document's evidence is the log-likelihood ratio of its words, normalised by
-length: over the whole text, and over its most toxic stretch of `STRETCH` words. A logistic rule
-joins the two.
+length: over the whole text, over its most toxic word and over its most toxic stretch of `STRETCH`
+words. A logistic rule joins them. Words backed off from are shared out by their stem, the first
+`STEM_LETTERS` letters, so a rare form of a toxic family is not lost among other rare words.
 
 The count table has a row for each pair of words in each class and grows with the corpus; it stays
 in Spark. What scoring needs is summed there into tables of fixed size by hashed words and pairs
@@ -22,7 +23,7 @@ out, and columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import xxhash
@@ -32,48 +33,52 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import WordNumbers, as_texts, lowered, mixed, per_batch, staged
 from wardlens.llm.quality_model import held_out
 
-PAIR_BITS, WORD_BITS, BEFORE_BITS = 20, 18, 16
+PAIR_BITS, WORD_BITS, BEFORE_BITS, STEM_BITS = 19, 18, 16, 16
+STEM_LETTERS = 5
 #: Discounts of pair counts and of continuation counts.
 PAIR_DISCOUNT, WORD_DISCOUNT = 2.0, 3.0
-STRETCH = 5
+STRETCH = 3
 BROADCAST_LABELS = 1_000_000
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.5
-#: Bias and weights of the two ratios before calibration, and how much they resist it.
-PRIOR, RESIST = np.array([-3.0, 0.5, 2.0]), 1.0
+EVIDENCE = ("whole", "word", "stretch")
+#: Bias and weights of the evidence before calibration, and how much they resist it.
+PRIOR, RESIST = np.array([-7.5, 0.0, 1.0, 0.6]), 1.0
 # Fixed value
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-"
 
 
 class ToxicWords(WordNumbers):
-    """Numbers of words without case and surrounding marks."""
+    """Numbers of words without case and surrounding marks, each with the number of its stem."""
 
-    def __missing__(self, word: bytes) -> int:
-        number = xxhash.xxh3_64_intdigest(lowered(word).strip(EDGES))
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        plain = lowered(word).strip(EDGES)
+        stem = plain.decode("utf-8", "replace")[:STEM_LETTERS].encode()
+        numbers = xxhash.xxh3_64_intdigest(plain), xxhash.xxh3_64_intdigest(stem)
         if len(self) >= self.limit:
             self.clear()
-        self[word] = number
-        return number
+        self[word] = numbers
+        return numbers
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Rows word and stem."""
+        found = [n for w in words for n in self[w]]
+        return np.array(found, np.uint64).reshape(-1, 2).T
 
-def places(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word before, word, and 25 bits of the pair, for each word of a text."""
+
+def pair_keys(numbers: np.ndarray) -> np.ndarray:
+    """One long for each word after the word before it: pair bits, word before, word."""
     before = np.concatenate([np.zeros(1, np.uint64), numbers[:-1]])
     with np.errstate(over="ignore"):
         pair = mixed(before * np.uint64(0x9E3779B97F4A7C15) + numbers)
-    return (
-        mixed(before) >> np.uint64(64 - BEFORE_BITS),
-        mixed(numbers) >> np.uint64(64 - WORD_BITS),
-        pair >> np.uint64(64 - PAIR_BITS - 8),
-    )
+    key = pair >> np.uint64(1 + BEFORE_BITS + WORD_BITS)
+    key = (key << np.uint64(BEFORE_BITS)) | (mixed(before) >> np.uint64(64 - BEFORE_BITS))
+    key = (key << np.uint64(WORD_BITS)) | (mixed(numbers) >> np.uint64(64 - WORD_BITS))
+    return key.astype(np.int64)
 
 
-def packed(numbers: np.ndarray, toxic: np.ndarray | int) -> np.ndarray:
-    """One long for pair and class: pair bits, word before, word, class."""
-    before, word, pair = places(numbers)
-    key = (pair << np.uint64(BEFORE_BITS)) | before
-    key = (key << np.uint64(WORD_BITS)) | word
-    return ((key << np.uint64(1)) | np.uint64(toxic)).astype(np.int64)
+def stem_places(numbers: np.ndarray) -> np.ndarray:
+    return (mixed(numbers) >> np.uint64(64 - STEM_BITS)).astype(np.int64)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -85,82 +90,134 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return one.withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
 
 
-def pair_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key and n: how often each pair of words stands in each class."""
+def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, toxic and ordinary: counts of pairs of words (key >= 0) and of stems (-1 - place)."""
     memory = ToxicWords()
 
     def count(batch):
-        keys = [np.zeros(0, np.int64)]
+        keys = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words = text.split()
-            if words:
-                keys.append(packed(memory.of(words), toxic))
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return {"key": key, "n": n}
+            words, stems = memory.of(text.split())
+            keys[toxic] += [pair_keys(words), -1 - stem_places(stems)]
+        both = [np.unique(np.concatenate(keys[c]), return_counts=True) for c in (1, 0)]
+        none = [np.zeros(len(n), np.int64) for _, n in both]
+        return {
+            "key": np.concatenate([both[0][0], both[1][0]]),
+            "toxic": np.concatenate([both[0][1], none[1]]),
+            "ordinary": np.concatenate([none[0], both[1][1]]),
+        }
 
     texts = as_texts(docs).join(labels, "doc_id")
-    return per_batch(texts, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    each = per_batch(texts, count, "key long, toxic long, ordinary long")
+    return each.groupBy("key").agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
+    )
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """Tables of fixed size, rows toxic and ordinary; words and pairs by their hash."""
+    """Tables of fixed size, rows toxic and ordinary; words, stems and pairs by their hash."""
 
+    pair_key: np.ndarray  # the pair that a place of `pairs` is about
     pairs: np.ndarray
     before: np.ndarray
     followers: np.ndarray
-    words: np.ndarray  # log probability of the continuation, smoothed
+    words: np.ndarray  # discounted share of the continuations
+    stems: np.ndarray  # what the backoff has of a stem in a class, against both classes
+    shared: np.ndarray  # continuation of a word in both classes, times what the discount left
     rule: np.ndarray
 
     def ratios(self, numbers: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio, toxic to ordinary, of each word."""
-        before, word, pair = (x.astype(np.int64) for x in places(numbers))
-        pair >>= 8
+        words, stems = numbers
+        key, stem = pair_keys(words), stem_places(stems)
+        word = key & ((1 << WORD_BITS) - 1)
+        before = (key >> WORD_BITS) & ((1 << BEFORE_BITS) - 1)
+        place = key >> (63 - PAIR_BITS)
+        same = self.pair_key[place] == key
         out = []
         for c in (0, 1):
-            backoff = self.words[c][word]
+            backoff = self.words[c][word] + self.stems[c][stem] * self.shared[c][word]
             total = self.before[c][before]
             mass = np.minimum(PAIR_DISCOUNT * self.followers[c][before], total)
-            found = np.maximum(self.pairs[c][pair] - PAIR_DISCOUNT, 0)
+            found = np.where(same, np.maximum(self.pairs[c][place] - PAIR_DISCOUNT, 0), 0)
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = (found + mass * backoff) / total
             out.append(np.log(np.where(total > 0, p, backoff)))
         return out[0] - out[1]
 
-    def evidence(self, words: list[bytes], memory: ToxicWords) -> tuple[float, float]:
+    def evidence(self, words: list[bytes], memory: ToxicWords) -> tuple[float, float, float]:
+        """The mean ratio of the whole text, of its most toxic word and of its worst stretch."""
         if not words:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         ratios = self.ratios(memory.of(words))
         sums = np.concatenate([np.zeros(1), np.cumsum(ratios)])
         size = min(STRETCH, len(ratios))
-        return float(ratios.mean()), float((sums[size:] - sums[:-size]).max() / size)
+        stretch = (sums[size:] - sums[:-size]).max() / size
+        return float(ratios.mean()), float(ratios.max()), float(stretch)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         margin = self.rule[0] + evidence @ self.rule[1:]
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def continuation(contexts: np.ndarray) -> np.ndarray:
-    """Probabilities of words by class from their numbers of contexts, smoothed by both together."""
-    shared = contexts.sum(axis=0) + 0.1
-    shared /= shared.sum()
-    out = np.empty_like(contexts)
-    for c in (0, 1):
-        total = contexts[c].sum()
-        kept = np.maximum(contexts[c] - WORD_DISCOUNT, 0)
-        out[c] = (kept + (total - kept.sum() + 1) * shared) / (total + 1)
-    return out
+def discounted(counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By class: discounted shares, what the discount leaves, and the shares of both together."""
+    both = counts.sum(axis=0) + 0.1
+    total = counts.sum(axis=1, keepdims=True) + 1
+    kept = np.maximum(counts - discount, 0) / total
+    return kept, 1 - kept.sum(axis=1, keepdims=True), both / both.sum()
 
 
-def _table(frame: DataFrame, bits: int, *values: str) -> list[np.ndarray]:
-    """Arrays [class, place] of the value columns of a frame with columns place and toxic."""
-    told = frame.toPandas()
-    out = []
-    for value in values:
-        array = np.zeros((2, 1 << bits))
-        array[1 - told["toxic"].to_numpy(np.int64), told["place"].to_numpy(np.int64)] = told[value]
-        out.append(array)
-    return out
+def _model(counts: DataFrame) -> KneserNey:
+    """Sums the table of counts into arrays of fixed size."""
+    pair = counts.filter("key >= 0")
+    word = F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("place")
+    before = F.shiftright("key", WORD_BITS).bitwiseAND(F.lit((1 << BEFORE_BITS) - 1)).alias("place")
+    told = F.greatest(8 * F.col("toxic"), F.col("ordinary"))
+    best = pair.filter("toxic + ordinary >= 2").groupBy(
+        F.shiftright("key", 63 - PAIR_BITS).alias("place")
+    )
+    best = best.agg(F.max(F.struct(told.alias("told"), "key", "toxic", "ordinary")).alias("x"))
+
+    def arrays(frame: DataFrame, bits: int, *names: str) -> list[np.ndarray]:
+        table = frame.toPandas()
+        out = []
+        for name in names:
+            array = np.zeros(1 << bits, np.int64)
+            array[table["place"].to_numpy(np.int64)] = table[name].to_numpy(np.int64)
+            out.append(array)
+        return out
+
+    chosen = best.select("place", "x.key", "x.toxic", "x.ordinary")
+    key, *pairs = arrays(chosen, PAIR_BITS, "key", "toxic", "ordinary")
+    heads = pair.groupBy(before).agg(
+        F.sum("toxic").alias("toxic"),
+        F.sum("ordinary").alias("ordinary"),
+        F.count_if(F.col("toxic") > 0).alias("toxic_after"),
+        F.count_if(F.col("ordinary") > 0).alias("ordinary_after"),
+    )
+    heads = arrays(heads, BEFORE_BITS, "toxic", "ordinary", "toxic_after", "ordinary_after")
+    ends = pair.groupBy(word).agg(
+        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary")
+    )
+    kept, left, shared = discounted(
+        np.stack(arrays(ends, WORD_BITS, "toxic", "ordinary")).astype(float), WORD_DISCOUNT
+    )
+    stems = counts.filter("key < 0").select((-1 - F.col("key")).alias("place"), "toxic", "ordinary")
+    stem_counts = np.stack(arrays(stems, STEM_BITS, "toxic", "ordinary")).astype(float)
+    stem_kept, stem_left, stem_shared = discounted(stem_counts, WORD_DISCOUNT)
+    small = np.float32
+    return KneserNey(
+        key,
+        np.stack(pairs).astype(small),
+        np.stack(heads[:2]).astype(small),
+        np.stack(heads[2:]).astype(small),
+        kept.astype(small),
+        (stem_kept / stem_shared + stem_left).astype(small),
+        (left * shared).astype(small),
+        PRIOR,
+    )
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
@@ -169,28 +226,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
     known = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(known) < 2:
         return None
-    small = sum(known.values()) <= BROADCAST_LABELS
-    shared = F.broadcast if small else (lambda frame: frame)
-    counts = staged(pair_counts(docs, shared(told.filter(~F.col("calibrates")))))
-    toxic = F.col("key").bitwiseAND(F.lit(1)).alias("toxic")
-    word = F.shiftright("key", 1).bitwiseAND(F.lit((1 << WORD_BITS) - 1))
-    before = F.shiftright("key", 1 + WORD_BITS).bitwiseAND(F.lit((1 << BEFORE_BITS) - 1))
-    pair = F.shiftrightunsigned("key", 1 + WORD_BITS + BEFORE_BITS + 8).bitwiseAND(
-        F.lit((1 << PAIR_BITS) - 1)
-    )
-    often = counts.filter("n >= 2").groupBy(pair.alias("place"), toxic).agg(F.sum("n").alias("n"))
-    heads = counts.groupBy(before.alias("place"), toxic).agg(
-        F.sum("n").alias("n"), F.count("*").alias("followers")
-    )
-    ends = counts.groupBy(word.alias("place"), toxic).agg(F.count("*").alias("contexts"))
-    (pairs,) = _table(often, PAIR_BITS, "n")
-    totals, followers = _table(heads, BEFORE_BITS, "n", "followers")
-    (contexts,) = _table(ends, WORD_BITS, "contexts")
-    model = KneserNey(
-        pairs.astype(np.float32), totals.astype(np.float32), followers.astype(np.float32),
-        continuation(contexts).astype(np.float32), PRIOR,
-    )
-    return _calibrated(model, docs, told, shared)
+    counted = told.filter(~F.col("calibrates")).select("doc_id", "toxic")
+    if sum(known.values()) <= BROADCAST_LABELS:
+        counted = F.broadcast(counted)
+    return _calibrated(_model(staged(word_counts(docs, counted))), docs, told)
 
 
 def _evidence(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
@@ -200,33 +239,35 @@ def _evidence(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
     def weigh(batch):
         model = shared.value
         found = [model.evidence(t.split(), memory) for t in batch.column("text").to_pylist()]
-        found = np.array(found).reshape(len(found), 2)
+        found = np.array(found).reshape(len(found), len(EVIDENCE))
         out = {name: batch.column(name) for name in ("doc_id", *more)}
-        return out | {"whole": found[:, 0], "stretch": found[:, 1], "score": model.score(found)}
+        out |= {name: found[:, i] for i, name in enumerate(EVIDENCE)}
+        return out | {"score": model.score(found)}
 
     added = "".join(f", {name} int" for name in more)
-    schema = f"doc_id long, whole double, stretch double, score double{added}"
+    evidence = "".join(f", {name} double" for name in EVIDENCE)
+    schema = f"doc_id long, score double{evidence}{added}"
     return per_batch(docs, weigh, schema)
 
 
-def _calibrated(model: KneserNey, docs: DataFrame, told: DataFrame, shared) -> KneserNey:
+def _calibrated(model: KneserNey, docs: DataFrame, told: DataFrame) -> KneserNey:
     """The model with a rule fitted on at most CALIBRATION_ROWS documents that it has not counted."""
     chosen = told.filter("calibrates").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     chosen = F.broadcast(chosen.limit(CALIBRATION_ROWS).select("doc_id", "toxic"))
     texts = as_texts(docs).join(chosen, "doc_id")
     found = _evidence(texts, model, "toxic").groupBy("doc_id").agg(
-        F.max("toxic").alias("toxic"), F.max("whole").alias("whole"), F.max("stretch").alias("stretch")
+        F.max("toxic").alias("toxic"), *[F.max(name).alias(name) for name in EVIDENCE]
     )
     table = found.orderBy("doc_id").toPandas()
-    x = np.column_stack([np.ones(len(table)), table["whole"], table["stretch"]])
+    x = np.column_stack([np.ones(len(table)), table[list(EVIDENCE)].to_numpy(np.float64)])
     y = table["toxic"].to_numpy(np.float64)
     rule = PRIOR.copy()
     for _ in range(40):  # Newton steps of the penalised logistic rule
         p = 1 / (1 + np.exp(-np.clip(x @ rule, -30, 30)))
         slope = x.T @ (p - y) + RESIST * (rule - PRIOR)
-        curve = (x * (p * (1 - p))[:, None]).T @ x + RESIST * np.eye(3)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + RESIST * np.eye(len(PRIOR))
         rule = rule - np.linalg.solve(curve, slope)
-    return KneserNey(model.pairs, model.before, model.followers, model.words, rule)
+    return replace(model, rule=rule)
 
 
 def score_toxicity(docs: DataFrame, model: KneserNey | None) -> DataFrame:
