@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that cross to Python at once; long texts make a batch large.
@@ -67,6 +67,19 @@ def staged(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def rows_named(docs: DataFrame, stay: DataFrame, digest: Column) -> DataFrame:
+    """The rows of `docs` whose doc_id and digest are in `stay` (doc_id, digest, once).
+
+    Where `once` is true, one row stays of those that share doc_id and digest.
+    """
+    named = stay.toDF("__id", "__digest", "__once")
+    own = docs.withColumn("__own", digest)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    order = Window.partitionBy("__id", "__digest").orderBy("__own")
+    found = own.join(named, same).withColumn("__row", F.row_number().over(order))
+    return found.filter("__row = 1 OR NOT __once").select(*[own[c] for c in docs.columns])
+
+
 def lowered(text: bytes) -> bytes:
     """A-Z only."""
     return text.translate(_LOWER)

@@ -20,10 +20,10 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlens.llm.common import as_texts, lowered, per_batch, staged
+from wardlens.llm.common import as_texts, lowered, per_batch, rows_named, staged
 
 #: Bytes of the rolling window, and a cut at one in 2^CUT_BITS places: chunks of about 1 KB.
 WINDOW, CUT_BITS, LEAST, MOST = 32, 10, 256, 8192
@@ -162,15 +162,10 @@ def exact_groups(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
 def deduplicated(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
     """The rows of `docs` that stay, with all their columns: one of each group of equal texts."""
     groups = exact_groups(docs, size).filter("kept")
-    stay = groups.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
+    stay = groups.select("doc_id", "text_sha256", F.lit(True).alias("once")).distinct()
     normal = F.translate(
         F.coalesce(F.col("text").cast("string"), F.lit("")),
         "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
         "abcdefghijklmnopqrstuvwxyz",
     )
-    named = docs.withColumn("__sha", F.sha2(normal.cast("binary"), 256))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept"))
-    found = named.join(stay.distinct(), same, "left_semi")
-    order = Window.partitionBy("doc_id", "__sha").orderBy("__sha")
-    first = found.withColumn("__row", F.row_number().over(order)).filter("__row = 1")
-    return first.drop("__sha", "__row")
+    return rows_named(docs, stay, F.sha2(normal.cast("binary"), 256))

@@ -12,6 +12,7 @@ from wardlens.llm import (
     bpe,
     exact_dedup,
     mixing,
+    near_dedup,
     pii,
     quality_model,
     quality_rules,
@@ -39,6 +40,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("redacted")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     weights = mixing.tempered_weights(docs, MIX_POWER)
@@ -80,6 +85,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets,
+        op3_near_dedup,
         op4_mixing,
         op5_bpe,
         op6_exact_dedup,
