@@ -17,6 +17,7 @@ from wardlens.llm import (
     quality_model,
     quality_rules,
     secrets,
+    substring_dedup,
     toxicity,
 )
 from wardlens.llm.common import read_table
@@ -40,6 +41,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("redacted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return substring_dedup.without_repeats(docs, texts=False).drop("kept_text")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -85,6 +91,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secrets,
+        op2_substring_dedup,
         op3_near_dedup,
         op4_mixing,
         op5_bpe,
