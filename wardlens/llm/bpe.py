@@ -17,6 +17,7 @@ import heapq
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -51,9 +52,11 @@ class Vocabulary:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = (rank, ids[left + right])
         self.bytes = {
-            i: bytes(letters[c] for c in word) for word, i in ids.items() if word not in self.special
+            str(i): bytes(letters[c] for c in word)
+            for word, i in ids.items()
+            if word not in self.special
         }
-        self.bytes |= {i: word.encode() for word, i in self.special.items()}
+        self.bytes |= {str(i): word.encode() for word, i in self.special.items()}
 
 
 class Codec:
@@ -134,9 +137,14 @@ class Codec:
         joined, total = self.encode_joined(text)
         return [int(x) for x in joined.split(",")] if total else []
 
+    def decode_joined(self, joined: str) -> str:
+        """Vocabulary strings of ids joined by commas, joined; bytes that are no UTF-8 are replaced."""
+        if not joined:
+            return ""
+        return b"".join(map(self.bytes.__getitem__, joined.split(","))).decode("utf-8", "replace")
+
     def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings joined; bytes that are no UTF-8 become the replacement character."""
-        return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
+        return self.decode_joined(",".join(map(str, ids)))
 
 
 def _codec(shared) -> Codec:
@@ -156,16 +164,22 @@ def _broadcast(docs: DataFrame, path: str):
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids array<int> and the decoded text of each row."""
+    """doc_id, n_tokens, ids array<int>, and whether decoding gives the text again, of each row."""
     shared = _broadcast(docs, path)
 
     def encode(batch):
         codec = _codec(shared)
-        ids = [codec.encode(t.decode("utf-8", "replace")) for t in batch.column("text").to_pylist()]
-        texts = [codec.decode(x) for x in ids]
-        return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": texts}
+        out = {"n_tokens": [], "ids": [], "round_trip": []}
+        for raw in batch.column("text").to_pylist():
+            text = raw.decode("utf-8", "replace")
+            joined, total = codec.encode_joined(text)
+            out["n_tokens"].append(total)
+            out["ids"].append(np.fromstring(joined, np.int32, sep=","))
+            out["round_trip"].append(codec.decode_joined(joined) == text)
+        return out | {"doc_id": batch.column("doc_id")}
 
-    return per_batch(as_texts(docs), encode, "doc_id long, ids array<int>, decoded string")
+    schema = "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+    return per_batch(as_texts(docs), encode, schema)
 
 
 def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -179,8 +193,7 @@ def encoded_digests(docs: DataFrame, path: str) -> DataFrame:
             joined, total = codec.encode_joined(raw.decode("utf-8", "replace"))
             out["n_tokens"].append(total)
             out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-            ids = map(int, joined.split(",")) if total else ()
-            decoded = codec.decode(ids).encode()
+            decoded = codec.decode_joined(joined).encode()
             out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         return out | {"doc_id": batch.column("doc_id")}
 

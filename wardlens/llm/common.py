@@ -22,11 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_ROWS rows; whole texts cross in them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def as_texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and the text in UTF-8 (null: empty), with the columns named in `more`; others go."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
 

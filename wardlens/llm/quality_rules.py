@@ -19,12 +19,15 @@ keep their own rows. Columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from wardlens.llm.common import WordNumbers, as_texts, grams, per_batch
+from wardlens.llm.common import WordNumbers, as_texts, grams, per_batch, small_batches
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
@@ -137,3 +140,21 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
         return out | {"doc_id": batch.column("doc_id")}
 
     return per_batch(as_texts(docs), judge, SCHEMA)
+
+
+def cleaned(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns, `text` without its failing lines."""
+    memory = WordNumbers()
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = [t.encode() for t in batch.column(at).to_pylist()]
+            rows = [report(t, limits, memory) for t in texts]
+            clean = pa.array([r[-1] for r in rows], batch.schema.field(at).type)
+            keep = pa.array([r[-2] for r in rows], pa.bool_())
+            yield batch.set_column(at, batch.schema.field(at), clean).filter(keep)
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(judge, docs.schema)
