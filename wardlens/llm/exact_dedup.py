@@ -28,6 +28,7 @@ from wardlens.llm.common import as_texts, lowered, per_batch, rows_named, staged
 #: Bytes of the rolling window, and a cut at one in 2^CUT_BITS places: chunks of about 1 KB.
 WINDOW, CUT_BITS, LEAST, MOST = 32, 10, 256, 8192
 DIGEST_BYTES = 16
+SALTS = 32
 
 _GEAR = np.random.default_rng(20260101).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -146,8 +147,11 @@ def exact_groups(docs: DataFrame, size: int = DIGEST_BYTES) -> DataFrame:
     groups = listed.groupBy("recipe").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
-    several = groups.filter("group_size > 1")
-    found = listed.join(several, "recipe", "left")
+    # a group may hold a third of all rows: its rows are dealt over SALTS keys, its answer to each
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    several = groups.filter("group_size > 1").withColumn("salt", salts)
+    salted = listed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = salted.join(several, ["recipe", "salt"], "left")
     alone = F.col("group_size").isNull()
     keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
