@@ -148,11 +148,21 @@ def test_purge_removes_old_closed_records_everywhere(form):
     assert newest.ultimo == datetime(2023, 6, 1)
 
 
-def test_stored_keys_give_the_same_pages(form):
-    cutoff = date(2023, 1, 1)
-    for run in (lambda store: retention.purge(form, cutoff, store=store),
-                lambda store: retention.repair(form, "Vigilancia1", store=store)):
-        assert {n: keys(p) for n, p in run(True).items()} == {n: keys(p) for n, p in run(False).items()}
+def test_stored_keys_give_the_same_pages(form, tmp_path):
+    cutoff, folder = date(2023, 1, 1), str(tmp_path)
+    for run in (lambda folder: retention.purge(form, cutoff, folder),
+                lambda folder: retention.repair(form, "Vigilancia1", folder)):
+        stored, plain = run(folder), run(None)
+        assert {n: sorted(p.collect()) for n, p in stored.items()} == {
+            n: sorted(p.collect()) for n, p in plain.items()}
+        # later pages read the stored keys; the joins that found them are not run again
+        plan = stored["Vigilancia12"]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1
+
+
+def test_first_page_is_purged_without_joining_itself(form):
+    plan = retention.purged_first_page(form, date(2023, 1, 1))._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("Join") == 1
 
 
 def test_repair_keeps_valid_named_records(form):
@@ -181,7 +191,7 @@ def test_trend_series(spark):
     assert len(short) == 80 and all(r.ajuste is None for r in short)
 
 
-def test_whole_reports(spark, sample):
+def test_whole_reports(spark, sample, tmp_path):
     from wardlens.catalog import tables as t
     from wardlens.plans.indicators import indicator_names
 
@@ -189,8 +199,9 @@ def test_whole_reports(spark, sample):
     assert reports.is_full_report(date(2026, 12, 2)) and not reports.is_full_report(date(2026, 12, 3))
     names = indicator_names(t.metadata(spark), "posicion")
     args = (form, t.wards(spark, sample), names, t.results(spark, sample))
-    full = reports.isolation_report(*args, date(2026, 12, 2))
-    plain = reports.isolation_report(*args, date(2026, 12, 3), store=False)
+    folder = str(tmp_path)
+    full = reports.isolation_report(*args, date(2026, 12, 2), folder)
+    plain = reports.isolation_report(*args, date(2026, 12, 3))
     assert set(plain) == {"mapa", "criticos", "hospitalizacion"} < set(full)
     assert full["mapa"].collect() == plain["mapa"].collect()
     assert full["indicadores"].count() == 27
@@ -198,12 +209,12 @@ def test_whole_reports(spark, sample):
     assert shown["mapa"].columns[:3] == ["Nº ptes. aislados", "Planta", "C. auris"]
     assert shown["indicadores"].columns == ["Indicador", "Cálculo", "Resultado"]
     assert full["resistentes_suavizado"].count() == 4 * 80
-    clean = reports.cleaning_report(form)
+    clean = reports.cleaning_report(form, folder)
     assert all(df.columns == ["Cama"] and df.count() for df in clean.values())
     assert reports.critical_report(form)["criticos"].count() == plain["criticos"].count()
 
     covid = reports.covid_report(
-        form, t.history(spark, sample), t.COVID_CUTOFF, t.HISTORY_DAY, t.HISTORY_START
+        form, t.history(spark, sample), t.COVID_CUTOFF, t.HISTORY_DAY, t.HISTORY_START, folder=folder
     )
     assert covid["historico"].count() == 30
     assert reports.printed(covid)["por_planta"].columns == ["Planta", "Nº de ingresados"]
@@ -213,7 +224,7 @@ def test_whole_reports(spark, sample):
     wide = t.surveillance(
         spark, sample, t.STATUS_PAGE.keys() | t.PATIENT_PAGE.keys() | t.ISOLATION_PAGE.keys(), "."
     )
-    merged = reports.merged_report([wide.filter("GlobalRecordId % 2 = 0"), wide])
+    merged = reports.merged_report([wide.filter("GlobalRecordId % 2 = 0"), wide], folder)
     assert merged["total"].count() == wide.filter("RECSTATUS = 1").count()
     assert merged["informe"].count() >= merged["total"].count()
     assert merged["movimientos"].count() > 0

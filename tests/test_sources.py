@@ -118,9 +118,13 @@ def test_overwrite_days_touches_only_its_days(spark, tmp_path):
     assert spark.read.parquet(folder).count() == 1003
 
 
-def test_durable_keeps_rows_and_cuts_the_plan(spark):
-    df = spark.range(5).selectExpr("id * 2 AS x")
-    stored = sinks.durable(df)
+def test_durable_stores_columns_in_the_named_folder(spark, tmp_path):
+    df = spark.range(5).selectExpr("id * 2 AS x", "id AS y")
+    stored = sinks.durable(df, str(tmp_path))
     assert sorted(r.x for r in stored.collect()) == [0, 2, 4, 6, 8]
-    assert "Range" not in stored._jdf.queryExecution().executedPlan().toString()
-    assert spark.sparkContext.getCheckpointDir() is not None
+    plan = stored.filter("y > 3").select("x")._jdf.queryExecution().executedPlan().toString()
+    assert "Range" not in plan and "PushedFilters: [IsNotNull(y), GreaterThan(y,3)]" in plan
+    assert "ReadSchema: struct<x:bigint>" in stored.select("x")._jdf.queryExecution().executedPlan().toString()
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError):
+            sinks.durable(df)

@@ -395,6 +395,54 @@ def _page_keys(keys: str) -> str:
     return "\nUNION ALL ".join(pages)
 
 
+def _moment(sql: str) -> str:
+    return f"strftime(CAST({sql} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')"
+
+
+_STATUS_OUT = f"""recstatus AS "RECSTATUS", {_moment("guardado")} AS "LastSaveTime",
+  estado_actual AS "estadoActual", ingreso AS "INGRESO", causa AS "ingresoPorCovid",
+  retirada AS "motivoRetirada\""""
+_PATIENT_OUT = f"""nombre, sip AS "aSIP", nhc AS "aNHC", planta AS "plantaActual",
+  cama AS "camaActual", {_moment("nacimiento")} AS "fechaNacimiento", sexo"""
+_ISOLATION_OUT = f"""upper(tipo) AS "tipoAislamiento", upper(origen) AS "origenInfeccion",
+  upper(motivo) AS "motivoAislamiento", {_moment("f_aislamiento")} AS "fechaAislamiento",
+  {_moment("f_retirada")} AS "fechaRetirada", {_moment("f_alta")} AS "fechaAlta",
+  'E' || (id % 9) AS "enfermeraActual", {", ".join(f'{r} AS "{r}"' for r in _RISKS)},
+  planta_infeccion AS "plantaInfeccion1", edad_calculada AS "Edad_calculada\""""
+_SLOT_OUT = {
+    "microorganismoEstado": "estado",
+    "microorganismo": "micro",
+    "fechaMuestra": "muestra",
+    "mecanismoMR": "mecanismo",
+    "mecanismoMROtro": "otro",
+    "fechaActivacion": _moment("activado"),
+    "fechaInactivacion": _moment("inactivado"),
+    "fechaIngreso": _moment("f_ingreso"),
+    "cama": "bed",
+}
+
+
+def _whole_pages(first: int, action: str, keys: str, ctes: str) -> dict[str, str]:
+    """SQL for the four pages, numbered from ``first``, cut to the ids of a CTE."""
+    pages = {"status": _STATUS_OUT, "patients": _PATIENT_OUT, "isolation": _ISOLATION_OUT}
+    out = {
+        f"q{first + i}_{action}_{name}": _with(
+            _BASE + ctes, f'SELECT id AS "GlobalRecordId", {shown} FROM rec JOIN {keys} USING (id)'
+        )
+        for i, (name, shown) in enumerate(pages.items())
+    }
+    slots = ", ".join(
+        f'max(CASE WHEN slot = {k} THEN {sql} END) AS "{name}{k}"'
+        for k in range(1, 8)
+        for name, sql in _SLOT_OUT.items()
+    )
+    out[f"q{first + 3}_{action}_slots"] = _with(
+        _BASE + ctes,
+        f'SELECT id AS "GlobalRecordId", {slots} FROM slot JOIN {keys} USING (id) GROUP BY id',
+    )
+    return out
+
+
 def _fields_long(value: dict[str, str], source: str) -> str:
     return "\nUNION ALL ".join(
         f"SELECT id AS \"GlobalRecordId\", CAST(slot AS INT) AS slot, '{name}' AS name, "
@@ -698,3 +746,9 @@ SELECT count(*) AS n, count(*) FILTER (guardado < TIMESTAMP '{PURGE_CUTOFF}') AS
 FROM rec WHERE estado_actual = 'INACTIVO' OR nhc IS NULL""",
     ),
 }
+
+_CLEAN = """
+clean AS (SELECT id FROM rec WHERE recstatus = 1 AND nombre IS NOT NULL),
+"""
+ORACLE_SQL |= _whole_pages(45, "purged", "kept", _PURGE)
+ORACLE_SQL |= _whole_pages(49, "repaired", "clean", _CLEAN)

@@ -57,8 +57,7 @@ def _resistant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("LastSaveTime", *outbreak.CASE_COLUMNS)
-    return outbreak.covid_cases(_valid(spark, sf_dir, columns, SLOT_AND_TIME_COLUMNS))
+    return outbreak.covid_cases(t.pages(spark, sf_dir))
 
 
 def valid_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,6 +303,26 @@ def key_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_keys(clean)
 
 
+def _whole_page(df: DataFrame) -> DataFrame:
+    """All columns of a page, moments as text."""
+    moments = [f.name for f in df.schema if f.dataType.simpleString().startswith("timestamp")]
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in moments})
+
+
+def purged_page(name: str) -> Query:
+    """One whole page after the purge."""
+    return lambda spark, sf_dir: _whole_page(
+        retention.purge(t.pages(spark, sf_dir), t.PURGE_CUTOFF)[name]
+    )
+
+
+def repaired_page(name: str) -> Query:
+    """One whole page after the repair."""
+    return lambda spark, sf_dir: _whole_page(
+        retention.repair(t.pages(spark, sf_dir), "Vigilancia1")[name]
+    )
+
+
 def ward_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isolation.ward_listing(_ward_rows(spark, sf_dir), CRITICAL_WARDS)
 
@@ -376,4 +395,12 @@ QUERIES: dict[str, Query] = {
     "q42_history_axis": history_axis,
     "q43_mdr_series_names": mdr_series_names,
     "q44_closed_records": closed_records,
+    "q45_purged_status": purged_page("Vigilancia"),
+    "q46_purged_patients": purged_page("Vigilancia1"),
+    "q47_purged_isolation": purged_page("Vigilancia12"),
+    "q48_purged_slots": purged_page("Vigilancia13"),
+    "q49_repaired_status": repaired_page("Vigilancia"),
+    "q50_repaired_patients": repaired_page("Vigilancia1"),
+    "q51_repaired_isolation": repaired_page("Vigilancia12"),
+    "q52_repaired_slots": repaired_page("Vigilancia13"),
 }

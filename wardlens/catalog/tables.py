@@ -14,7 +14,6 @@ from functools import cache, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from wardlens.constants import CRITICAL_WARDS, KEY
 from wardlens.plans.indicators import METRICS
@@ -28,7 +27,7 @@ HISTORY_DAY = date(2024, 1, 15)
 HISTORY_START = date(2024, 1, 10)
 TOTAL_BEDS = 1068.0
 
-SLOTS = range(1, 8)  # line numbers run from 1 to 7
+SLOTS = range(1, 8)  # the slots of the form; a line outside them ends the query
 
 ORGANISMS = (
     "Candida auris",
@@ -55,15 +54,8 @@ RAW_MECHANISMS = (
 Reader = Callable[[str], DataFrame]
 
 
-@cache
-def _schema(path: str) -> StructType:
-    """Column names and types of a file, looked up once per process."""
-    return SparkSession.active().read.parquet(path).schema
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _quoted(values: Iterable[str]) -> str:
@@ -128,34 +120,55 @@ ISOLATION_PAGE = {
 }
 
 
-# What a slot is made of, from the leading part to the last: name, bits, SQL over a line.
+# What a slot is made of, from the leading part to the last: name, least and greatest value, whether
+# it can be missing, SQL over a line. The ranges are those of the types and terms, but for the
+# quantity; a value outside ends the query, it never changes another part.
 LINE_PARTS = (
-    ("dia", 32, "unix_date(to_date(l_shipdate))"),
-    ("cantidad", 6, "l_quantity"),
-    ("abierto", 1, "l_linestatus = 'O'"),
-    ("organismo", 4, "IF(l_partkey % 20 = 9, 10, l_partkey % 10)"),
-    ("mecanismo", 3, "IF(l_suppkey % 7 = 2 AND l_partkey % 2 = 1, 7, l_suppkey % 7)"),
-    ("sin_estado", 1, "l_partkey % 9 = 0"),
-    ("sin_fecha", 1, "l_partkey % 11 = 0"),
-    ("nota", 1, "l_suppkey % 8 = 0"),
-    ("sin_cama", 1, "l_partkey % 5 = 0"),
-    ("cama", 6, "l_suppkey % 56"),
+    ("dia", -719_162, 2_932_896, True, "unix_date(to_date(l_shipdate))"),
+    ("cantidad", 0, 99_999, True, "l_quantity"),
+    ("abierto", 0, 1, False, "coalesce(l_linestatus = 'O', false)"),
+    ("organismo", 0, 10, True, "IF(l_partkey % 20 = 9, 10, pmod(l_partkey, 10))"),
+    ("mecanismo", 0, 7, True, "IF(l_suppkey % 7 = 2 AND l_partkey % 2 = 1, 7, pmod(l_suppkey, 7))"),
+    ("sin_estado", 0, 1, False, "coalesce(l_partkey % 9 = 0, false)"),
+    ("sin_fecha", 0, 1, False, "coalesce(l_partkey % 11 = 0, false)"),
+    ("nota", 0, 1, False, "coalesce(l_suppkey % 8 = 0, false)"),
+    ("sin_cama", 0, 1, False, "coalesce(l_partkey % 5 = 0, false)"),
+    ("cama", 0, 55, True, "pmod(l_suppkey, 56)"),
 )
 
 
+def _bits(least: int, most: int) -> int:
+    """Bits for the values of a part, moved up by one; 0 stands for a missing value."""
+    return (most - least + 1).bit_length()
+
+
+if sum(_bits(least, most) for _, least, most, _, _ in LINE_PARTS) > 63:
+    raise ValueError("the parts of a line do not fit one number")
+
+
 def _line_number() -> str:
-    """SQL that packs the parts of a line into one number sorting like the parts."""
+    """SQL that packs the parts of a line into one number sorting like the parts, missing first."""
     packed = "0L"
-    for _, bits, sql in LINE_PARTS:
-        packed = f"shiftleft({packed}, {bits}) | CAST({sql} AS BIGINT)"
+    for name, least, most, missing, sql in LINE_PARTS:
+        value = f"CAST({sql} AS DOUBLE)" if name == "cantidad" else f"CAST({sql} AS BIGINT)"
+        whole = f" AND {value} = floor({value})" if name == "cantidad" else ""
+        error = f"raise_error(concat('lineitem: {name} is ', {value}, ', not in {least} to {most}'))"
+        moved = f"CAST({value} AS BIGINT) + {1 - least}L"
+        code = f"CASE WHEN {value} BETWEEN {least} AND {most}{whole} THEN {moved} ELSE {error} END"
+        if missing:
+            code = f"IF({value} IS NULL, 0L, {code})"
+        packed = f"shiftleft({packed}, {_bits(least, most)}) | {code}"
     return packed
 
 
 def _slot_fields(line: str) -> dict[str, str]:
     """SQL for the fields of a slot, out of a packed line."""
     part, shift = {}, 0
-    for name, bits, _ in reversed(LINE_PARTS):
-        part[name] = f"CAST(shiftright({line}, {shift}) & {2**bits - 1}L AS INT)"
+    for name, least, most, missing, _ in reversed(LINE_PARTS):
+        bits = _bits(least, most)
+        code = f"shiftright({line}, {shift}) & {2**bits - 1}L"
+        code = f"nullif({code}, 0L)" if missing else f"({code})"
+        part[name] = f"CAST({code} - {1 - least}L AS INT)"
         shift += bits
     day = f"date_from_unix_date({part['dia']})"
     ship = f"CAST({day} AS timestamp_ntz)"
@@ -212,12 +225,24 @@ def _gathered_slots(read_table: Reader) -> DataFrame:
     ship date and then by its other parts, describes it. The parts are packed into
     one number, so the newest line is a plain maximum: one aggregation that combines
     before the shuffle, in which an order with very many lines costs no more than
-    others.
+    others. Missing parts have a code of their own, below all values, as SQL sorts them.
+    A null line number, or one that the form has no slot for, is an error.
     """
     lines = read_table("lineitem").selectExpr(
         "l_orderkey", "l_linenumber", f"{_line_number()} AS line"
     )
-    newest = [F.expr(f"max(CASE WHEN l_linenumber = {k} THEN line END) AS slot{k}") for k in SLOTS]
+    first, last = SLOTS[0], SLOTS[-1]
+    outside = (
+        f"WHEN NOT coalesce(l_linenumber BETWEEN {first} AND {last}, false) THEN raise_error("
+        f"concat('lineitem: line number ', coalesce(CAST(l_linenumber AS STRING), 'missing'), ', the form has {first} to {last}'))"
+    )
+    newest = [
+        F.expr(
+            f"max(CASE WHEN l_linenumber = {k} THEN line {outside if k == first else ''} END)"
+            f" AS slot{k}"
+        )
+        for k in SLOTS
+    ]
     packed = ", ".join(f"slot{k}" for k in SLOTS)
     groups = []
     for group, names in SLOT_GROUPS.items():
@@ -243,7 +268,7 @@ def pages(
     With ``columns`` only the pages that supply one of them, and the status page.
     """
     wanted = None if columns is None else set(columns)
-    read_table = partial(read, spark, sf_dir)
+    read_table = cache(partial(read, spark, sf_dir))  # each schema is looked up once per form
     form = {}
     for name, (rows, key, parts) in PAGES.items():
         if wanted is None or name == "Vigilancia" or wanted & parts.keys():

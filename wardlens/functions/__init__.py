@@ -21,6 +21,7 @@ from wardlens.functions.nulls import (
 from wardlens.functions.numbers import backfill_from_rate, format_number, round_half_even
 from wardlens.functions.text import (
     contains_pattern,
+    contains_text,
     detect,
     ends_with,
     first_digit,
@@ -36,6 +37,7 @@ from wardlens.functions.text import (
 __all__ = [
     "backfill_from_rate",
     "contains_pattern",
+    "contains_text",
     "count_distinct_with_null",
     "day_difference",
     "detect",

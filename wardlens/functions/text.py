@@ -47,6 +47,11 @@ def contains_pattern(c: Column, pattern: str, ignore_case: bool = False) -> Colu
     return F.coalesce(text.rlike(pattern), F.lit(False))
 
 
+def contains_text(c: Column, text: str) -> Column:
+    """Search for a literal text that is false for a null text."""
+    return F.coalesce(c.contains(text), F.lit(False))
+
+
 def starts_with_pattern(c: Column, pattern: str) -> Column:
     return c.rlike(f"^(?:{pattern})")
 

@@ -23,6 +23,7 @@ from wardlens.constants import (
     SLOT_PREFIXES,
     SLOT_PREFIXES_WITH_TIMES,
 )
+from wardlens.functions import parse_iso_date, parse_stamp
 from wardlens.operators.columns import starting_with
 
 ORGANISM, SAMPLED, MECHANISM, OTHER, STATE = (
@@ -206,17 +207,23 @@ def organism_rows(
         *kept, "_slot.slot", *[f"{values[f]} AS {f}" for f in (*FIELD_ORDER[1:5], *extra)]
     )
 
-    # step 3: names and labels, one row at a time
+    # step 3: names and labels, one row at a time; a date kept as text is read, if it is one
+    kinds = dict(exploded.dtypes)
+    sampled = parse_iso_date if kinds[SAMPLED] == "string" else F.to_date
+    stamps = [
+        parse_stamp(F.col(c)).alias(c) if kinds[c] == "string" and c != STATE else F.col(c)
+        for c in extra
+    ]
     label = mechanism_label(F.col(MECHANISM), mechanisms)
     named = F.concat_ws(" ", organism_name(F.col(ORGANISM)), label)
     return exploded.select(
         *carry,
         "slot",
         F.when(F.col(ORGANISM).isNotNull(), named).alias(ORGANISM),
-        F.to_date(SAMPLED).alias(SAMPLED),
+        sampled(F.col(SAMPLED)).alias(SAMPLED),
         OTHER,
         *([label.alias(MECHANISM)] if keep_mechanism else []),
-        *extra,
+        *stamps,
     )
 
 

@@ -17,6 +17,7 @@ from wardlens.constants import (
 )
 from wardlens.functions import (
     contains_pattern,
+    contains_text,
     format_number,
     ratio,
     starts_with_pattern,
@@ -75,13 +76,13 @@ METRICS = (
 
 def _row_counts() -> Mapping[str, Column]:
     organism = F.col(ORGANISM)
-    droplet_virus = contains_pattern(F.col("tipoAislamiento"), DROPLETS) & contains_pattern(
+    droplet_virus = contains_text(F.col("tipoAislamiento"), DROPLETS) & contains_text(
         organism, "Virus"
     )
-    tests = {n: contains_pattern(organism, text) for n, text in ORGANISM_COUNTS.items()}
+    tests = {n: contains_text(organism, text) for n, text in ORGANISM_COUNTS.items()}
     tests["n_carba"] = contains_pattern(organism, "carbapenemasa", ignore_case=True)
     tests["n_virus_resp_total"] = droplet_virus
-    tests["n_virus_resp"] = droplet_virus & ~contains_pattern(organism, "SARS-CoV-2")
+    tests["n_virus_resp"] = droplet_virus & ~contains_text(organism, "SARS-CoV-2")
     tests["n_aisl_nosocomial"] = F.col("origenInfeccion") == NOSOCOMIAL
     return tests
 

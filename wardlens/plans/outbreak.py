@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from datetime import date, datetime
+from collections.abc import Mapping, Sequence
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,16 @@ from wardlens.constants import (
     KEY,
     LONG_POSITIVE_DAYS,
     MECHANISMS_WITHOUT_AMPC,
+    SLOT_PREFIXES,
     SLOT_PREFIXES_WITH_TIMES,
+    VALID_STATUS,
 )
 from wardlens.functions import is_value_or_null, max_or_null, sentence_case, title_case
 from wardlens.operators.columns import containing
 from wardlens.operators.keys import upsert_by_date
 from wardlens.operators.reshape import measures_long
 from wardlens.operators.slots import organism_rows, slot_columns_used
+from wardlens.sources.tables import prune_pages
 
 CASE_COLUMNS = (
     "aSIP",
@@ -47,22 +50,41 @@ CASE_COLUMNS = (
 )
 
 
-def covid_cases(valid: DataFrame) -> DataFrame:
-    """Valid records with the bare COVID organism, in any slot state."""
-    carry = [KEY, *containing(valid, "Time"), *CASE_COLUMNS]
-    records = valid.select(*carry, *slot_columns_used(valid, SLOT_PREFIXES_WITH_TIMES))
-    tidy = records.withColumns(
-        {
-            "tipoAislamiento": title_case(F.col("tipoAislamiento")),
-            "origenInfeccion": sentence_case(F.col("origenInfeccion")),
-        }
-    )
+def _covid_rows(slots: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Rows of the bare COVID organism, in any slot state."""
     rows = organism_rows(
-        tidy, carry, active_only=False, mechanisms=MECHANISMS_WITHOUT_AMPC, keep_state=True
+        slots, carry, active_only=False, mechanisms=MECHANISMS_WITHOUT_AMPC, keep_state=True
     )
     return rows.filter(F.col("microorganismo") == COVID_ORGANISM)
 
 
+def covid_cases(pages: Mapping[str, DataFrame]) -> DataFrame:
+    """Valid records with the bare COVID organism, in any slot state.
+
+    Which rows are cases shows on the page with the slots alone, so the organism is tested there
+    first; only the keys of cases meet the other pages, of which the first must have them as valid.
+    """
+    slots = [name for name, page in pages.items() if slot_columns_used(page, SLOT_PREFIXES)]
+    if len(slots) != 1:
+        raise ValueError(f"the slots must be on one page, not on {slots}")
+    page = pages[slots[0]]
+    first, *others = [p.drop(*slot_columns_used(p, SLOT_PREFIXES_WITH_TIMES)) for p in pages.values()]
+    times = containing(first, "Time")
+    valid = first.filter(F.col("RECSTATUS") == VALID_STATUS)
+    wanted = {"_": valid} | {str(i): p for i, p in enumerate(others)}
+    found = _covid_rows(page.select(KEY, *slot_columns_used(page, SLOT_PREFIXES_WITH_TIMES)), [KEY])
+    cut = prune_pages(wanted, [*times, *CASE_COLUMNS])
+    cases = found.join(cut.pop("_"), KEY)
+    for rest in cut.values():
+        cases = cases.join(rest, KEY, "left")
+    carried = [KEY, *times, *CASE_COLUMNS]
+    tidy = {
+        "tipoAislamiento": title_case(F.col("tipoAislamiento")),
+        "origenInfeccion": sentence_case(F.col("origenInfeccion")),
+    }
+    return cases.withColumns(tidy).select(*carried, *found.columns[1:])
+
+
 def newest_first(cases: DataFrame) -> DataFrame:
     """Cases by last change, the newest first."""
     return cases.orderBy(F.desc_nulls_last("LastSaveTime"))
@@ -72,9 +94,19 @@ def _admitted() -> Column:
     return (F.col("estadoActual") == ACTIVE) & (F.col("estadoAislamiento") == ACTIVE)
 
 
+def wall_clock(moment: datetime) -> Column:
+    """A moment as a timestamp of the session's time zone, whatever the zone of this process.
+
+    A naive time is taken as it stands; an aware one is first turned to UTC, the session's zone.
+    """
+    if moment.tzinfo is not None:
+        moment = moment.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit(moment.isoformat(" ")).cast("timestamp")
+
+
 def case_tests(cutoff: datetime) -> Mapping[str, Column]:
     """The subsets of cases by name; a case may belong to several."""
-    since = F.lit(cutoff).cast("timestamp")
+    since = wall_clock(cutoff)
     admitted = _admitted()
     closed = (F.col("fechaInactivacion").cast("timestamp") > since) & (
         F.col("estadoAislamiento") == INACTIVE

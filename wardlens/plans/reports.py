@@ -1,8 +1,8 @@
 """Whole reports: every table of one report run, by name.
 
 Each takes the pages of the surveillance form and the day of the report, so a run
-can be repeated. What several tables of a report share is stored once (see
-:func:`wardlens.sources.durable`) unless ``store`` is false.
+can be repeated. What several tables of a report share is stored once in ``folder``, which
+all executors must share (see :func:`wardlens.sources.durable`); with None it is not stored.
 """
 
 from __future__ import annotations
@@ -38,9 +38,9 @@ def printed(tables: Mapping[str, DataFrame]) -> Tables:
     }
 
 
-def _ward_rows(pages: Pages, store: bool) -> DataFrame:
+def _ward_rows(pages: Pages, folder: str | None) -> DataFrame:
     rows = isolation.ward_table(isolation.active_records(join_pages(pages)))
-    return durable(rows) if store else rows
+    return durable(rows, folder) if folder else rows
 
 
 def isolation_report(
@@ -49,13 +49,13 @@ def isolation_report(
     names: DataFrame,
     results: DataFrame,
     day: date,
-    store: bool = True,
+    folder: str | None = None,
 ) -> Tables:
     """Isolation map and ward listings; once a week also indicators and trend series.
 
     ``names`` is the metadata with its ``orderId``, ``results`` the indicator history.
     """
-    rows = _ward_rows(pages, store)
+    rows = _ward_rows(pages, folder)
     tables = {
         "mapa": isolation.sorted_isolation_map(isolation.resistant_list(rows)),
         "criticos": isolation.ward_listing(rows, CRITICAL_WARDS),
@@ -75,9 +75,9 @@ def isolation_report(
     return tables
 
 
-def cleaning_report(pages: Pages, store: bool = True) -> Tables:
+def cleaning_report(pages: Pages, folder: str | None = None) -> Tables:
     """Beds for double cleaning in critical and in other wards, by bed."""
-    beds = isolation.cleaning_list(_ward_rows(pages, store))
+    beds = isolation.cleaning_list(_ward_rows(pages, folder))
     return {
         area: beds.filter(F.col("area") == area).drop("area").orderBy("Cama")
         for area in ("criticos", "hospitalizacion")
@@ -85,10 +85,10 @@ def cleaning_report(pages: Pages, store: bool = True) -> Tables:
 
 
 def critical_report(
-    pages: Pages, wards: Sequence[str] = CRITICAL_WARDS, store: bool = True
+    pages: Pages, wards: Sequence[str] = CRITICAL_WARDS, folder: str | None = None
 ) -> Tables:
     """Listing of the critical wards."""
-    return {"criticos": isolation.ward_listing(_ward_rows(pages, store), wards)}
+    return {"criticos": isolation.ward_listing(_ward_rows(pages, folder), wards)}
 
 
 def covid_report(
@@ -99,11 +99,11 @@ def covid_report(
     start: date,
     n_full: int = 14,
     n_partial: int = 7,
-    store: bool = True,
+    folder: str | None = None,
 ) -> Tables:
     """State of the day, lists, the new history and its series from the start and from a day."""
-    cases = outbreak.covid_cases(isolation.valid_records(join_pages(pages)))
-    cases = durable(cases) if store else cases
+    cases = outbreak.covid_cases(pages)
+    cases = durable(cases, folder) if folder else cases
     state = outbreak.daily_state(cases, cutoff, day)
     updated = outbreak.update_history(history, state, day)
 
@@ -125,10 +125,10 @@ def covid_report(
     }
 
 
-def merged_report(snapshots: Sequence[DataFrame], store: bool = True) -> Tables:
+def merged_report(snapshots: Sequence[DataFrame], folder: str | None = None) -> Tables:
     """Merged records of several snapshots (newest first), enriched table and bed movements."""
     merged = snapshot_merge(snapshots)
-    merged = durable(merged) if store else merged
+    merged = durable(merged, folder) if folder else merged
     return {
         "total": merged,
         "informe": isolation.enriched_table(isolation.valid_records(merged)),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,22 +70,17 @@ def overwrite_days(df: DataFrame, folder: str, date_col: str = "fecha") -> None:
     )
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a temporary one only on a single machine."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardlens-"))
+def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """The same rows, written once as parquet to a folder that all executors share.
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, stored once in the shared checkpoint folder.
-
-    For a frame that feeds several reports: later reads come from storage, so a
-    lost executor does not bring back the joins behind it.
+    For a frame that feeds several reports: later reads come from storage, with the columns and
+    filters they need, and a lost executor does not bring back the joins behind it. Without
+    ``folder`` the one of ``spark.checkpoint.dir`` is used.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = folder or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("name a shared folder, or set spark.checkpoint.dir")
+    path = f"{folder}/durable-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
