@@ -58,7 +58,7 @@ TOTAL_LABEL = "Total por MMR"
 
 # --- wards ----------------------------------------------------------------------
 CRITICAL_WARDS = ("UMI", "REA", "REQ", "UCP", "UCN")
-CRITICAL_WARD_PATTERN = "UMI|REA|REQ|UCP|UCN"
+CRITICAL_WARD_PATTERN = "|".join(CRITICAL_WARDS)
 AREA_WARD = "HOSP"
 AREA_CRITICAL = "CRITICOS"
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wardlens.constants import CRITICAL_WARDS, FULL_REPORT_WEEKDAY, PRINTED_NAMES
 from wardlens.operators.columns import present
 from wardlens.operators.keys import snapshot_merge
+from wardlens.operators.reshape import drop_empty
 from wardlens.operators.series import moving_average
 from wardlens.plans import indicators, isolation, movements, outbreak, trends
 from wardlens.sources.sinks import durable
@@ -31,13 +32,23 @@ def is_full_report(day: date, weekday: int = FULL_REPORT_WEEKDAY) -> bool:
 
 
 def printed(tables: Mapping[str, DataFrame]) -> Tables:
-    """The tables of a report with the columns and names they are printed with."""
+    """The tables of a report with the columns and names they are printed with.
+
+    Of the isolation map, the classes that never occur are left out; that reads the map once.
+    """
+    shown = dict(tables)
+    if "mapa" in shown:
+        shown["mapa"] = drop_empty(shown["mapa"], list(isolation.CLASS_COLUMNS.values()))
     return {
-        name: present(df, PRINTED_NAMES[name]) if name in PRINTED_NAMES else df
-        for name, df in tables.items()
+        name: present(df, _names_of(df, PRINTED_NAMES[name])) if name in PRINTED_NAMES else df
+        for name, df in shown.items()
     }
 
 
+def _names_of(df: DataFrame, names: Mapping[str, str]) -> dict[str, str]:
+    return {column: name for column, name in names.items() if column in df.columns}
+
+
 def _ward_rows(pages: Pages, folder: str | None) -> DataFrame:
     rows = isolation.ward_table(isolation.active_records(join_pages(pages)))
     return durable(rows, folder) if folder else rows

@@ -14,6 +14,8 @@ from wardlens.constants import KEY
 
 log = logging.getLogger(__name__)
 
+JDBC_SPLIT = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
 
 def list_tables(
     spark: SparkSession, containing: str = "", database: str | None = None
@@ -34,13 +36,15 @@ def fetch_table(
 ) -> DataFrame:
     """A whole table: from the catalog, or from any Spark source when ``fmt`` is given.
 
-    With ``fmt="jdbc"`` pass ``partitionColumn``, ``lowerBound``, ``upperBound``
-    and ``numPartitions`` so that the read is split over the executors; filters
-    and column choices reach the source either way.
+    With ``fmt="jdbc"`` the four options of ``JDBC_SPLIT`` are required, so that the
+    read is split over the executors; filters and column choices reach the source
+    either way.
     """
     if fmt is None:
         return spark.table(name)
     if fmt == "jdbc":
+        if missing := [o for o in JDBC_SPLIT if o not in options]:
+            raise ValueError(f"one task would read all of {name}: set {', '.join(missing)}")
         return spark.read.format("jdbc").options(dbtable=name, **options).load()
     return spark.read.format(fmt).options(**options).load(name)
 
