@@ -86,16 +86,16 @@ def dense_windows(run: str, window: int, bits: float, digits: int):
     total, counts, n_digits = math.log2(window), {}, 0
     weighted = 0.0  # sum of k log k over the counts k of the window
     for i, c in enumerate(run):
-        k = counts.get(c, 0)
-        weighted += weight[k + 1] - weight[k]
-        counts[c] = k + 1
-        n_digits += c in _DIGITS
         if i >= window:
             gone = run[i - window]
             k = counts[gone]
             weighted += weight[k - 1] - weight[k]
             counts[gone] = k - 1
             n_digits -= gone in _DIGITS
+        k = counts.get(c, 0)
+        weighted += weight[k + 1] - weight[k]
+        counts[c] = k + 1
+        n_digits += c in _DIGITS
         if i >= window - 1 and n_digits >= digits and total - weighted / window >= bits - 1e-9:
             yield i - window + 1
 
