@@ -7,8 +7,8 @@ trees say how likely it is personal data; per kind, the lowest score that keeps
 on the half of the documents not fitted on is the threshold. Spans of base kinds that pass their own
 test are always selected; the trees add others.
 
-There are no labels for spans. The trees learn from the base tests: a candidate counts as positive
-where a passing base span overlaps it. Feature values are few, so candidates of all documents are
+There are no labels for spans. The trees learn from the base tests: a base candidate is positive
+where it passes its own, a looser one where it and what stands before it would pass one. Feature values are few, so candidates of all documents are
 counted by their features in Spark; this table of cells is bounded by the product of the features'
 ranges, and only it comes to the driver, where the trees are fitted. They score as one CASE
 expression.
@@ -50,6 +50,9 @@ GENERATORS = {
 KINDS = (*BASE, *GENERATORS)
 #: A character that a kind's matches must have, to skip texts without it.
 NEEDED = {"email": "@", "phone": "+", "ip": "."}
+#: Characters that a match needs to be a candidate: no shorter one can pass its test, and a text may
+#: be full of numbers.
+LEAST = {"card": 13, "phone": 8}
 CONTEXT = r"(?i)(?:tel|phone|call|mail|contact|card|visa|iban|account|number|ssn)\W{0,3}(?:is|no|nr)?\W{0,4}$"
 FEATURES = ("kind", "digits", "length", "marks", "checksum", "octets", "before", "context")
 #: Values of each feature: 0 up to this.
@@ -91,6 +94,16 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(False)
 
 
+def resembles(value: Column, before: Column) -> Column:
+    """Whether a looser kind's match, with what stands before it, is one that a base test passes."""
+    near = F.concat(before, value)
+    return (
+        value.rlike(f"^{PATTERNS['email']}$")
+        | near.rlike(PATTERNS["phone"] + "$")
+        | passes("card", F.when(value.rlike("^[0-9]+$"), value))
+    )
+
+
 def _level(value: Column, *bounds: int) -> Column:
     """How many of the bounds the value reaches."""
     return sum(((value >= b).cast("int") for b in bounds), F.lit(0))
@@ -133,9 +146,8 @@ def candidates(text: Column, kind: int) -> Column:
             pair["value"].alias("value"),
             F.right(pair["piece"], F.lit(24)).alias("before"),
         )
-        more = F.when(pair["value"].isNull(), state["all"]).otherwise(
-            F.array_append(state["all"], item)
-        )
+        long = F.length(pair["value"]) >= LEAST.get(name, 1)
+        more = F.when(long, F.array_append(state["all"], item)).otherwise(state["all"])
         return F.struct(F.coalesce(end, start).alias("at"), more.alias("all"))
 
     kind_type = "array<struct<kind:int,start:int,end:int,value:string,before:string>>"
@@ -145,10 +157,13 @@ def candidates(text: Column, kind: int) -> Column:
     def judged(c: Column) -> Column:
         features = _features(kind, c["value"], c["before"])
         ok = F.coalesce(passes(name, c["value"]), F.lit(False))
+        sure = ok if kind < len(BASE) else F.coalesce(resembles(c["value"], c["before"]), F.lit(False))
         named = [f.cast("int").alias(f"f{i}") for i, f in enumerate(features)]
-        return F.struct(c["kind"], c["start"], c["end"], ok.alias("passes"), *named)
+        return F.struct(
+            c["kind"], c["start"], c["end"], ok.alias("passes"), sure.alias("sure"), *named
+        )
 
-    item_type = "struct<kind:int,start:int,end:int,passes:boolean," + ",".join(
+    item_type = "struct<kind:int,start:int,end:int,passes:boolean,sure:boolean," + ",".join(
         f"f{i}:int" for i in range(len(FEATURES))
     ) + ">"
     nothing = F.array().cast(f"array<{item_type}>")
@@ -202,14 +217,10 @@ def cells(docs: DataFrame) -> DataFrame:
     """Candidates counted by features: half of the documents to fit, half to set thresholds."""
     found = with_candidates(docs).select(
         (F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)) == 0).alias("fits"),
-        F.filter("candidates", lambda c: c["passes"]).alias("sure"),
         F.explode("candidates").alias("c"),
     )
-    positive = F.exists(
-        "sure", lambda s: (s["start"] < F.col("c.end")) & (s["end"] > F.col("c.start"))
-    )
     features = [F.col(f"c.f{i}").alias(name) for i, name in enumerate(FEATURES)]
-    told = found.select("fits", positive.cast("long").alias("positive"), *features)
+    told = found.select("fits", F.col("c.sure").cast("long").alias("positive"), *features)
     return told.groupBy("fits", *FEATURES).agg(
         F.count("*").alias("n"), F.sum("positive").alias("n_positive")
     )
@@ -264,10 +275,11 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
         "doc_id", "text", F.filter("candidates", model.selects).alias("chosen")
     )
     base = F.filter("chosen", lambda s: s["kind"] < len(BASE))
-    counts = [
-        F.size(F.filter("chosen", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-        for k, name in enumerate(BASE)
-    ]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("chosen", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(kind).alias(f"n_{name}") for kind, name in enumerate(BASE)]
     return found.select(
         "doc_id",
         *counts,
