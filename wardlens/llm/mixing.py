@@ -57,14 +57,14 @@ def poisson_cdf(rate: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: DataFrame, epochs: float) -> DataFrame:
-    """source and cdf; T is `epochs` times the rows of `docs`."""
+    """__source and __cdf; T is `epochs` times the rows of `docs`."""
     counts = staged(docs.groupBy("source").agg(F.count("*").cast("double").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0.0
     named = weights.select(F.col("source").alias("__source"), "weight").filter("weight > 0")
     met = counts.join(named, F.col("source").eqNullSafe(F.col("__source")))
     rate = F.col("weight") * F.lit(epochs * total) / F.col("n")
     with_rate = met.select("source", rate.alias("rate"))
-    return with_rate.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("cdf"))
+    return with_rate.select(F.col("source").alias("__source"), poisson_cdf(F.col("rate")).alias("__cdf"))
 
 
 def mixed_sources(
@@ -77,7 +77,7 @@ def mixed_sources(
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
     draw = F.concat(F.lit(f"{seed}:"), name)
     found = docs.join(table, F.col("source").eqNullSafe(F.col("__source")))
-    count = F.size(F.filter("cdf", lambda p: p < _unit(draw)))
+    count = F.size(F.filter("__cdf", lambda p: p < _unit(draw)))
     copies = found.withColumn("__n", count).filter("__n > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     key = F.md5(F.concat(draw, F.lit(":"), F.col("copy").cast("string")))
