@@ -181,11 +181,12 @@ def _model(counts: DataFrame) -> KneserNey:
     best = best.agg(F.max(F.struct(told.alias("told"), "key", "toxic", "ordinary")).alias("x"))
 
     def arrays(frame: DataFrame, bits: int, *names: str) -> list[np.ndarray]:
-        table = frame.toPandas()
+        table = frame.toArrow()  # one row for each place at most
+        place = table.column("place").to_numpy()
         out = []
         for name in names:
             array = np.zeros(1 << bits, np.int64)
-            array[table["place"].to_numpy(np.int64)] = table[name].to_numpy(np.int64)
+            array[place] = table.column(name).to_numpy()
             out.append(array)
         return out
 
