@@ -40,6 +40,7 @@ from wardlens.llm.suffix_automaton import SuffixAutomaton
 LENGTH, GRAM = 50, 10
 #: Windows in a stretch at most, and contents of a minimizer that one automaton holds.
 STRETCH, SHARD = 200, 400
+SALTS = 32
 _LAST = 2**63 - 1
 
 
@@ -216,10 +217,12 @@ def counted_spans(texts: DataFrame, length: int) -> DataFrame:
     schema = "window binary, order long, text_hash long, place long"
     windows = staged(per_batch(texts, digests, schema))
     first = windows.groupBy("window").agg(F.min("order").alias("first"), F.max("order").alias("last"))
-    first = first.filter("first < last").select("window", "first")
-    return windows.join(first, "window").filter("order > first").select(
-        "order", "text_hash", "place"
-    )
+    # a window may stand in a third of all documents: these are dealt over SALTS keys
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    first = first.filter("first < last").select("window", "first", salts.alias("salt"))
+    salt = F.pmod(F.xxhash64("order", "place"), F.lit(SALTS)).cast("int")
+    met = windows.withColumn("salt", salt).join(first, ["window", "salt"])
+    return met.filter("order > first").select("order", "text_hash", "place")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
