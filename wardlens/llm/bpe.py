@@ -26,7 +26,7 @@ from wardlens.llm.common import as_texts, per_batch
 # Fixed value: the split of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces remembered in a process, and the longest piece that is.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,10 +47,11 @@ class Vocabulary:
         ids = model["vocab"]
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.byte_ids = [ids[c] for _, c in sorted(byte_letters().items())]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # both ids of a pair in one number, and rank and made id in one: they order by rank
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges[ids[left] << 32 | ids[right]] = rank << 32 | ids[left + right]
         self.bytes = {
             str(i): bytes(letters[c] for c in word)
             for word, i in ids.items()
@@ -59,6 +60,22 @@ class Vocabulary:
         self.bytes |= {str(i): word.encode() for word, i in self.special.items()}
 
 
+class Pieces(dict):
+    """The ids of pieces joined by commas, those met before from memory."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> str:
+        found = ",".join(map(str, self.merge(piece.encode())))
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Codec:
     """Encodes and decodes with one vocabulary; made once in each process."""
 
@@ -68,49 +85,38 @@ class Codec:
         self.pieces = regex.compile(PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.known: dict[str, tuple[str, int]] = {}
+        self.known = Pieces(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        merges = self.merges
+        """Ids of one piece. An entry of the queue is rank, made id and place in one number."""
+        find = self.merges.get
         ids = [self.byte_ids[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = []
         for i in range(n - 1):
-            found = merges.get((ids[i], ids[i + 1]))
-            if found:
-                queue.append((found[0], i, found[1]))
+            if found := find(ids[i] << 32 | ids[i + 1]):
+                queue.append(found << 32 | i)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            rank, i, made = heapq.heappop(queue)
+            entry = pop(queue)
+            i, best = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if ids[i] < 0 or j >= n or merges.get((ids[i], ids[j])) != (rank, made):
+            if ids[i] < 0 or j >= n or find(ids[i] << 32 | ids[j]) != best:
                 continue  # stale: a neighbour has merged since
+            made = best & 0xFFFFFFFF
             ids[i], ids[j] = made, -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = merges.get((made, ids[k]))
-                if found:
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if found := find(made << 32 | ids[k]):
+                    push(queue, found << 32 | i)
             h = before[i]
-            if h >= 0:
-                found = merges.get((ids[h], made))
-                if found:
-                    heapq.heappush(queue, (found[0], h, found[1]))
+            if h >= 0 and (found := find(ids[h] << 32 | made)):
+                push(queue, found << 32 | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[str, int]:
-        """The ids of a piece joined by commas, and their number."""
-        ids = self.merge(piece.encode())
-        found = (",".join(map(str, ids)), len(ids))
-        if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[piece] = found
-        return found
-
     def _stretches(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
         for match in self.specials.finditer(text) if self.specials else ():
@@ -121,17 +127,14 @@ class Codec:
 
     def encode_joined(self, text: str) -> tuple[str, int]:
         """All ids joined by commas, and their number."""
-        parts, total, known = [], 0, self.known
+        parts: list[str] = []
         for stretch, special in self._stretches(text):
             if special:
                 parts.append(str(self.special[stretch]))
-                total += 1
-                continue
-            for piece in self.pieces(stretch):
-                found = known.get(piece) or self.piece(piece)
-                parts.append(found[0])
-                total += found[1]
-        return ",".join(parts), total
+            else:
+                parts += map(self.known.__getitem__, self.pieces(stretch))
+        joined = ",".join(parts)
+        return joined, joined.count(",") + 1 if joined else 0
 
     def encode(self, text: str) -> list[int]:
         joined, total = self.encode_joined(text)
