@@ -25,8 +25,8 @@ from wardlens.llm.common import as_texts, per_batch
 
 # Fixed value: the split of byte-level BPE
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces remembered in a process, and the longest piece that is.
-REMEMBERED, LONGEST = 250_000, 64
+#: Pieces remembered in each of two halves, in a process, and the longest piece that is.
+REMEMBERED, LONGEST = 180_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -61,16 +61,22 @@ class Vocabulary:
 
 
 class Pieces(dict):
-    """The ids of pieces joined by commas, those met before from memory."""
+    """The ids of pieces joined by commas, those met lately from memory.
+
+    Full memory becomes the older half; what is met again comes back from there.
+    """
 
     def __init__(self, merge):
         super().__init__()
-        self.merge = merge
+        self.merge, self.older = merge, {}
 
     def __missing__(self, piece: str) -> str:
-        found = ",".join(map(str, self.merge(piece.encode())))
+        found = self.older.get(piece)
+        if found is None:
+            found = ",".join(map(str, self.merge(piece.encode())))
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -90,24 +96,30 @@ class Codec:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece. An entry of the queue is rank, made id and place in one number."""
         find = self.merges.get
-        ids = [self.byte_ids[b] for b in piece]
+        ids = list(map(self.byte_ids.__getitem__, piece))
         n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for i in range(n - 1):
-            if found := find(ids[i] << 32 | ids[i + 1]):
-                queue.append(found << 32 | i)
+        queue = [
+            found << 32 | i
+            for i, (left, right) in enumerate(zip(ids, ids[1:]))
+            if (found := find(left << 32 | right))
+        ]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while queue:
             entry = pop(queue)
-            i, best = entry & 0xFFFFFFFF, entry >> 32
-            j = after[i]
-            if ids[i] < 0 or j >= n or find(ids[i] << 32 | ids[j]) != best:
+            i = entry & 0xFFFFFFFF
+            left, j = ids[i], after[i]
+            if left < 0 or j >= n:
+                continue
+            best = entry >> 32
+            if find(left << 32 | ids[j]) != best:
                 continue  # stale: a neighbour has merged since
-            made = best & 0xFFFFFFFF
-            ids[i], ids[j] = made, -1
-            k = after[i] = after[j]
+            ids[i] = made = best & 0xFFFFFFFF
+            ids[j] = -1
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if found := find(made << 32 | ids[k]):
