@@ -275,6 +275,14 @@ def test_pii(spark):
             assert "[PII]" in r.redacted and "@mail.example" not in r.redacted
 
 
+def test_trees_add_what_looks_like_the_rest(spark):
+    texts = [f"call +1 ({200 + k}) 555-{1000 + k} now" for k in range(60)] + ["call us (743) 555-3824 now"]
+    docs = frame(spark, list(enumerate(texts)))
+    rows = {r.doc_id: r for r in pii.find_pii(docs, pii.fit_pii(docs)).collect()}
+    assert rows[60].spans == "tel:8:22" and rows[60].redacted == "call us [PII] now"
+    assert rows[0].spans == "phone:5:22,tel:8:22" and rows[0].redacted == "call [PII] now"
+
+
 def test_pii_on_random_texts(spark):
     pick = random.Random(11)
     texts = ["".join(pick.choice("019 .-+()@ab_") for _ in range(120)) for _ in range(300)]

@@ -207,7 +207,7 @@ class PiiModel:
         least = F.lit(None).cast("double")
         for kind in range(len(BASE), len(KINDS)):
             t = self.thresholds[kind]
-            bound = float("inf") if t >= 1 else float(np.log(t / (1 - t)))
+            bound = float("inf") if t >= 1 else float(np.log(t / (1 - t))) - 1e-6  # equal scores pass
             least = F.when(candidate["kind"] == kind, F.lit(bound)).otherwise(least)
         scored = F.when(candidate["kind"] >= len(BASE), self.margin(features) >= least)
         return base | F.coalesce(scored, F.lit(False))
