@@ -8,14 +8,15 @@ on the half of the documents not fitted on is the threshold. Spans of base kinds
 test are always selected; the trees add others.
 
 There are no labels for spans. The trees learn from the base tests: a base candidate is positive
-where it passes its own, a looser one where it and what stands before it would pass one. Feature values are few, so candidates of all documents are
-counted by their features in Spark; this table of cells is bounded by the product of the features'
-ranges, and only it comes to the driver, where the trees are fitted. They score as one CASE
-expression.
+where it passes its own, a looser one where it and what stands before it would pass one. Feature
+values are few, so candidates of all documents are counted by their features in Spark; this table of
+cells is bounded by the product of the features' ranges, and only it comes to the driver, where the
+trees are fitted. They score as one CASE expression.
 
 Spans come from `split` and `regexp_extract_all` of the same pattern: the lengths of pieces and
 matches, added up, are the positions (code points, end exclusive). Patterns use possessive
-repetition, which gives the same matches and needs no stack on long runs.
+repetition and start at the edge of a run of characters, which gives the same matches, needs no
+stack and stays linear on long runs.
 
 Null texts are empty: no spans. Rows are scanned one by one, so repeated rows and null doc_ids keep
 their own rows; columns besides doc_id and text are not read. With no candidates at all, nothing is
@@ -36,7 +37,7 @@ from wardlens.llm.boosting import Trees, fit
 BASE = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
