@@ -25,6 +25,7 @@ added to the base spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,8 @@ NEEDED = {"email": "@", "phone": "+", "ip": "."}
 #: Characters that a match needs to be a candidate: no shorter one can pass its test, and a text may
 #: be full of numbers.
 LEAST = {"card": 13, "phone": 8}
+#: Matches placed together; an aggregate copies its state with each element, so runs stay short.
+RUN = 200
 CONTEXT = r"(?i)(?:tel|phone|call|mail|contact|card|visa|iban|account|number|ssn)\W{0,3}(?:is|no|nr)?\W{0,4}$"
 FEATURES = ("kind", "digits", "length", "marks", "checksum", "octets", "before", "context")
 #: Values of each feature: 0 up to this.
@@ -129,6 +132,30 @@ def _features(kind: int, value: Column, before: Column) -> list[Column]:
     ]
 
 
+def _held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_runs(items: Column, size: Callable[[Column], Column], use) -> Column:
+    """`use(run, at)` of each run of RUN items, joined; `at` is the size of all items before it."""
+    runs = _held(
+        items,
+        lambda all_: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")),
+            lambda i: F.slice(all_, i * RUN + 1, F.lit(RUN)),
+        ),
+    )
+    total = lambda run: F.aggregate(run, F.lit(0), lambda a, x: a + size(x))
+    starts = lambda runs: F.aggregate(
+        F.transform(runs, total),
+        F.array(F.lit(0)),
+        lambda before, n: F.array_append(before, F.element_at(before, -1) + n),
+    )
+    joined = lambda runs, at: F.flatten(F.transform(runs, lambda run, i: use(run, at[i])))
+    return _held(runs, lambda r: _held(starts(r), lambda at: joined(r, at)))
+
+
 def candidates(text: Column, kind: int) -> Column:
     """array<struct<kind, start, end, passes, f0..f7>> of one generator, in order of place."""
     name = KINDS[kind]
@@ -152,8 +179,17 @@ def candidates(text: Column, kind: int) -> Column:
         return F.struct(F.coalesce(end, start).alias("at"), more.alias("all"))
 
     kind_type = "array<struct<kind:int,start:int,end:int,value:string,before:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind_type).alias("all"))
-    placed = F.aggregate(zipped, start, add, lambda state: state["all"])
+    length = lambda p: F.length(p["piece"]) + F.coalesce(F.length(p["value"]), F.lit(0))
+    placed = _in_runs(
+        zipped,
+        length,
+        lambda run, at: F.aggregate(
+            run,
+            F.struct(at.alias("at"), F.array().cast(kind_type).alias("all")),
+            add,
+            lambda state: state["all"],
+        ),
+    )
 
     def judged(c: Column) -> Column:
         features = _features(kind, c["value"], c["before"])
