@@ -752,3 +752,74 @@ clean AS (SELECT id FROM rec WHERE recstatus = 1 AND nombre IS NOT NULL),
 """
 ORACLE_SQL |= _whole_pages(45, "purged", "kept", _PURGE)
 ORACLE_SQL |= _whole_pages(49, "repaired", "clean", _CLEAN)
+ORACLE_SQL |= {
+    "q53_neighbour_organisms": _with(
+        _ACTIVE,
+        """
+SELECT id AS "GlobalRecordId", CAST(slot AS INT) AS slot, micro AS "microorganismo",
+  lag(micro) OVER w AS "microorganismo_prev1", lead(micro) OVER w AS "microorganismo_next1"
+FROM organism WINDOW w AS (PARTITION BY id ORDER BY slot)""",
+    ),
+    "q54_last_sample": _with(
+        _ACTIVE,
+        """
+SELECT o.id AS "GlobalRecordId", CAST(o.slot AS INT) AS slot,
+  max_by(p.muestra, p.slot) FILTER (p.muestra IS NOT NULL) AS "fechaMuestra"
+FROM organism o JOIN organism p ON p.id = o.id AND p.slot <= o.slot GROUP BY o.id, o.slot""",
+    ),
+    "q55_joined_organisms": _with(
+        _ACTIVE,
+        """
+SELECT id AS "GlobalRecordId", planta AS "plantaActual", CAST(slot AS INT) AS slot,
+  micro AS "microorganismo", muestra AS "fechaMuestra", otro AS "otroMecanismo" FROM report""",
+    ),
+    "q56_bound_ward_counts": _with(
+        _ACTIVE,
+        """
+SELECT planta AS "plantaActual", count(*) AS n_filas,
+  count(DISTINCT coalesce(CAST(nhc AS VARCHAR), '-')) AS n_nhc FROM report GROUP BY planta""",
+    ),
+    "q57_isolation_kinds": _with(
+        _ACTIVE,
+        """
+SELECT planta AS "plantaActual",
+  nullif(count(*) FILTER (tipo = 'Contacto/Gotas'), 0) AS contacto_gotas,
+  nullif(count(*) FILTER (tipo = 'Contacto'), 0) AS contacto,
+  nullif(count(*) FILTER (tipo = 'Gotas'), 0) AS gotas
+FROM report GROUP BY planta""",
+    ),
+    "q58_bed_text": _with(
+        _ACTIVE,
+        """
+SELECT id AS "GlobalRecordId", nullif(regexp_extract(cama, '[0-9]'), '') AS primera,
+  right(cama, 1) AS ultima, replace(planta, ' ', '_') AS planta FROM active""",
+    ),
+    "q59_text_dates": _with(
+        _ACTIVE,
+        """
+SELECT id AS "GlobalRecordId", CAST(slot AS INT) AS slot, micro AS "microorganismo",
+  CASE WHEN id % 5 <> 0 THEN muestra END AS "fechaMuestra", otro AS "otroMecanismo"
+FROM organism""",
+    ),
+    "q60_text_stamps": _with(
+        _BASE,
+        """
+SELECT id AS "GlobalRecordId", CASE WHEN id % 5 <> 0 THEN CAST(guardado AS DATE) END AS guardado
+FROM rec""",
+    ),
+    "q61_ward_order": _with(
+        _BASE,
+        """
+SELECT planta AS "plantaActual", area AS "areaHospital", camas AS "nCamas",
+  CAST((SELECT count(*) FROM ward b WHERE (b.area, -coalesce(b.camas, -1), b.planta)
+    <= (a.area, -coalesce(a.camas, -1), a.planta)) AS INT) AS posicion
+FROM ward a""",
+    ),
+    "q62_loaded_snapshot": _with(
+        _BASE,
+        """
+SELECT id AS "GlobalRecordId", recstatus AS "RECSTATUS", CAST(guardado AS DATE) AS "LastSaveTime",
+  planta AS "plantaActual", cama AS "camaActual"
+FROM rec""",
+    ),
+}

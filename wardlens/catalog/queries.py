@@ -17,11 +17,21 @@ from wardlens.constants import (
     SLOT_PREFIXES,
     SLOT_PREFIXES_WITH_TIMES,
 )
-from wardlens.functions import is_report_day, parse_dmy, weekday
+from wardlens.functions import (
+    count_distinct_with_null,
+    first_digit,
+    is_report_day,
+    last_character,
+    parse_dmy,
+    parse_stamp,
+    replace_all,
+    weekday,
+)
 from wardlens.operators import keys
 from wardlens.operators import slots as s
-from wardlens.operators.reshape import long_to_rows
-from wardlens.operators.series import moving_average
+from wardlens.operators.columns import across, starting_with
+from wardlens.operators.reshape import cross_table, long_to_rows
+from wardlens.operators.series import fill_down, moving_average, neighbours
 from wardlens.plans import (
     indicators,
     isolation,
@@ -30,6 +40,7 @@ from wardlens.plans import (
     retention,
     trends,
 )
+from wardlens.sources import load_snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -350,6 +361,85 @@ def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_to_rows(long, [KEY, "slot"], fields, "name", "value")
 
 
+def neighbour_organisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = organisms(spark, sf_dir).select(KEY, "slot", "microorganismo")
+    return neighbours(rows, [KEY], ["slot"], "microorganismo", [-1, 1])
+
+
+def last_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = organisms(spark, sf_dir).select(KEY, "slot", "fechaMuestra")
+    return fill_down(rows, KEY, ["slot"], "fechaMuestra")
+
+
+def joined_organisms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    active = _active(spark, sf_dir, "plantaActual")
+    return s.join_organisms(active.select(KEY, "plantaActual"), s.organism_rows(active))
+
+
+def bound_ward_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and patients of each ward side by side; the missing ward is one of them."""
+    by_ward = _ward_rows(spark, sf_dir).groupBy("plantaActual")
+    rows = by_ward.agg(F.count("*").alias("n_filas"))
+    people = by_ward.agg(count_distinct_with_null(F.col("NHC")).alias("n_nhc"))
+    return keys.bind_by_key(rows, people, "plantaActual")
+
+
+def isolation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = ("Contacto/Gotas", "Contacto", "Gotas")
+    labels = ("contacto_gotas", "contacto", "gotas")
+    return cross_table(_ward_rows(spark, sf_dir), "plantaActual", "tipoAislamiento", kinds, labels)
+
+
+def bed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bed = F.col("camaActual")
+    return _active(spark, sf_dir, "camaActual", "plantaActual").select(
+        KEY,
+        first_digit(bed).alias("primera"),
+        last_character(bed).alias("ultima"),
+        replace_all(F.col("plantaActual"), " ", "_").alias("planta"),
+    )
+
+
+def text_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisms of records that keep sample dates as text, those of every fifth record malformed."""
+    active = _active(spark, sf_dir)
+    malformed = lambda c: F.concat(F.year(c).cast("string"), F.lit("-99-01"))
+    written = across(
+        active,
+        starting_with(active, "fechaMuestra"),
+        lambda c: F.when(F.col(KEY) % 5 == 0, malformed(c)).otherwise(c.cast("string")),
+    )
+    return s.organism_rows(written)
+
+
+def text_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments kept as text, those of every fifth record without a time of day."""
+    saved = t.surveillance(spark, sf_dir, ["LastSaveTime"])
+    text = F.when(F.col(KEY) % 5 == 0, F.date_format("LastSaveTime", "yyyy-MM-dd")).otherwise(
+        F.date_format("LastSaveTime", "yyyy-MM-dd HH:mm:ss")
+    )
+    return saved.select(KEY, F.to_date(parse_stamp(text)).alias("guardado"))
+
+
+def ward_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each ward in print order: area, most beds first, unknown bed counts last."""
+    order = ["areaHospital", F.desc_nulls_last("nCamas"), "plantaActual"]
+    return keys.number_rows(t.wards(spark, sf_dir), order, "posicion")
+
+
+def loaded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form found by table name, read and joined; its pages are views while it is loaded."""
+    views = [f"hoja_cargada_{i}" for i in range(len(t.PAGES))]
+    for view, page in zip(views, t.pages(spark, sf_dir).values()):
+        page.createOrReplaceTempView(view)
+    try:
+        wanted = ["RECSTATUS", "LastSaveTime", "plantaActual", "camaActual"]
+        return _saved_as_date(load_snapshot(spark, "hoja_cargada_", columns=wanted))
+    finally:
+        for view in views:
+            spark.catalog.dropTempView(view)
+
+
 QUERIES: dict[str, Query] = {
     "q01_valid_active": valid_active,
     "q02_slots_long": slots_long,
@@ -403,4 +493,14 @@ QUERIES: dict[str, Query] = {
     "q50_repaired_patients": repaired_page("Vigilancia1"),
     "q51_repaired_isolation": repaired_page("Vigilancia12"),
     "q52_repaired_slots": repaired_page("Vigilancia13"),
+    "q53_neighbour_organisms": neighbour_organisms,
+    "q54_last_sample": last_sample,
+    "q55_joined_organisms": joined_organisms,
+    "q56_bound_ward_counts": bound_ward_counts,
+    "q57_isolation_kinds": isolation_kinds,
+    "q58_bed_text": bed_text,
+    "q59_text_dates": text_dates,
+    "q60_text_stamps": text_stamps,
+    "q61_ward_order": ward_order,
+    "q62_loaded_snapshot": loaded_snapshot,
 }
