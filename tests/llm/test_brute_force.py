@@ -346,3 +346,11 @@ def test_lines_that_fail():
     assert fails("Home | About | Contact") and fails("WOW!! BUY!! NOW!!") and fails("Login")
     assert fails("Please enable JavaScript to continue reading.") and not fails("Yes.")
     assert not fails("A plain sentence of prose, with a comma.") and not fails("no end mark in this line")
+
+
+def test_pii_places_more_matches_than_a_run_holds(spark):
+    text = "1.2.3.4 a@b.c " * (2 * pii.RUN + 1) + "7" * 20_000 + " . 9.9.9.9"
+    docs = spark.createDataFrame([(1, text)], ["doc_id", "text"])
+    row = pii.find_pii(docs, pii.PiiModel(None, ())).first()
+    assert row.spans.split(",") == pii_base(text)
+    assert (row.n_ip, row.n_email) == (2 * pii.RUN + 2, 2 * pii.RUN + 1)
