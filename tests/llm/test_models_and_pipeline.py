@@ -1,5 +1,6 @@
 """Held-out accuracy of the classifiers, and the pipeline stage by stage."""
 
+import os
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.cases import empty, frame
-from wardlens.llm import boosting, quality_rules
+from wardlens.llm import boosting, quality_rules, toxicity
 from wardlens.llm.common import WordNumbers
 from wardlens.llm.queries import LLM_QUERIES
 
@@ -83,3 +84,26 @@ def test_stages_take_odd_rows(spark):
             if name != "bpe":
                 assert out.columns == docs.columns
             out.collect()
+
+
+def test_toxicity_keeps_apart_more_words_than_places(spark):
+    """400,000 different words: tables of 2^18 or fewer places would add up unrelated ones."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(4000)) for k in range(100)]
+    docs = frame(spark, list(enumerate(texts)))
+    told = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
+    counts = toxicity.word_counts(docs, told)
+    model = toxicity._model(counts)
+    assert counts.filter(f"kind = {toxicity.PAIR}").count() == 400_000
+    assert model.table.select("key").distinct().count() == model.table.count() > 800_000
+
+
+@pytest.mark.parametrize("name", ["sf0.001"])
+def test_joined_entries_score_as_broadcast_ones(spark, monkeypatch, name):
+    docs, told = (spark.read.parquet(f"{os.path.dirname(DATA)}/{name}/{t}.parquet") for t in ("documents", "labels"))
+    scores = []
+    for most in (toxicity.BROADCAST_ENTRIES, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST_ENTRIES", most)
+        monkeypatch.setattr(toxicity, "PIECE_BYTES", 20_000)
+        rows = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, told)).collect()
+        scores.append(sorted((r.doc_id, round(r.score, 9), r.predicted) for r in rows))
+    assert scores[0] == scores[1] and len({s for _, s, _ in scores[0]}) > 10

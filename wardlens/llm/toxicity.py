@@ -10,10 +10,12 @@ words. A logistic rule joins them. Words backed off from are shared out by their
 `STEM_LETTERS` letters, so a rare form of a toxic family is not lost among other rare words.
 
 The count table has a row for each pair of words in each class and grows with the corpus; it stays
-in Spark. What scoring needs is summed there into tables of fixed size by hashed words and pairs
-(`PAIR_BITS`, `WORD_BITS`, `BEFORE_BITS`), which bounds the broadcast whatever the corpus; pairs
-met once are left to the backoff. Labels are broadcast when they have at most `BROADCAST_LABELS`
-rows and joined by shuffle beyond.
+in Spark. So does the table of entries made from it: one for each word, each word before another,
+each stem, and each pair met more often than `PAIR_DISCOUNT` in a class (of others the discount
+leaves nothing, so their entry would be 0). Words are told apart by 64-bit hashes. Up to
+`BROADCAST_ENTRIES` entries are broadcast; more are joined by shuffle to the distinct keys of each
+piece of the corpus, with the same scores. Labels are broadcast when they have at most
+`BROADCAST_LABELS` rows and joined by shuffle beyond.
 
 Labels other than 0 and 1 and labels without doc_id are ignored; of several labels of one doc_id
 the larger counts. Without labels of both classes every score is 0.5 or less and nothing is toxic.
@@ -23,6 +25,7 @@ out, and columns besides doc_id and text are not read.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -33,12 +36,15 @@ from pyspark.sql import functions as F
 from wardlens.llm.common import WordNumbers, as_texts, lowered, mixed, per_batch, staged
 from wardlens.llm.quality_model import held_out
 
-PAIR_BITS, WORD_BITS, BEFORE_BITS, STEM_BITS = 19, 18, 16, 16
 STEM_LETTERS = 5
 #: Discounts of pair counts and of continuation counts.
 PAIR_DISCOUNT, WORD_DISCOUNT = 2.0, 3.0
 STRETCH = 3
 BROADCAST_LABELS = 1_000_000
+#: Entries of 24 bytes.
+BROADCAST_ENTRIES = 3_000_000
+#: Bytes of text whose words are looked up together.
+PIECE_BYTES = 2_000_000
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.5
 EVIDENCE = ("whole", "word", "stretch")
@@ -66,19 +72,34 @@ class ToxicWords(WordNumbers):
         return np.array(found, np.uint64).reshape(-1, 2).T
 
 
-def pair_keys(numbers: np.ndarray) -> np.ndarray:
-    """One long for each word after the word before it: pair bits, word before, word."""
-    before = np.concatenate([np.zeros(1, np.uint64), numbers[:-1]])
+PAIR, HEAD, WORD, STEM = range(4)
+
+
+def entry_keys(kind, first: np.ndarray, second=0) -> np.ndarray:
+    """The keys of entries: of a pair by both words, of others by the one hash."""
+    kind, second = np.asarray(kind, np.uint64), np.asarray(second, np.uint64)
     with np.errstate(over="ignore"):
-        pair = mixed(before * np.uint64(0x9E3779B97F4A7C15) + numbers)
-    key = pair >> np.uint64(1 + BEFORE_BITS + WORD_BITS)
-    key = (key << np.uint64(BEFORE_BITS)) | (mixed(before) >> np.uint64(64 - BEFORE_BITS))
-    key = (key << np.uint64(WORD_BITS)) | (mixed(numbers) >> np.uint64(64 - WORD_BITS))
-    return key.astype(np.int64)
+        one = mixed(first + (kind + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+        return mixed(one * np.uint64(0x9E3779B97F4A7C15) + second)
+
 
+def words_before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The word before each; 0 at the start of a text."""
+    before = np.concatenate([np.zeros(1, np.uint64), words])[: len(words)]
+    before[starts[starts < len(words)]] = 0
+    return before
 
-def stem_places(numbers: np.ndarray) -> np.ndarray:
-    return (mixed(numbers) >> np.uint64(64 - STEM_BITS)).astype(np.int64)
+
+def pieces(texts: list[bytes]):
+    """Ranges of texts with about PIECE_BYTES bytes."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PIECE_BYTES:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -91,134 +112,199 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """key, toxic and ordinary: counts of pairs of words (key >= 0) and of stems (-1 - place)."""
+    """kind, head, item, toxic and ordinary: counts of pairs of words and of stems (head 0)."""
     memory = ToxicWords()
 
     def count(batch):
-        keys = {0: [np.zeros(0, np.int64)], 1: [np.zeros(0, np.int64)]}
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            words, stems = memory.of(text.split())
-            keys[toxic] += [pair_keys(words), -1 - stem_places(stems)]
-        both = [np.unique(np.concatenate(keys[c]), return_counts=True) for c in (1, 0)]
-        none = [np.zeros(len(n), np.int64) for _, n in both]
-        return {
-            "key": np.concatenate([both[0][0], both[1][0]]),
-            "toxic": np.concatenate([both[0][1], none[1]]),
-            "ordinary": np.concatenate([none[0], both[1][1]]),
-        }
+        texts, toxic = batch.column("text").to_pylist(), np.array(batch.column("toxic").to_pylist(), int)
+        out = {name: [] for name in ("kind", "head", "item", "toxic", "ordinary")}
+        for low, high in pieces(texts):
+            numbers, lengths = _numbers(texts[low:high], memory)
+            words, stems = numbers
+            before = words_before(words, np.cumsum(lengths) - lengths)
+            is_toxic = np.repeat(toxic[low:high], lengths) == 1
+            none = np.zeros(len(stems), np.uint64)
+            for kind, heads, items in ((PAIR, before, words), (STEM, none, stems)):
+                keys = entry_keys(kind, heads, items)
+                _, first, own, n = np.unique(keys, True, True, True)
+                n_toxic = np.bincount(own[is_toxic], minlength=len(first))
+                out["kind"].append(np.full(len(first), kind, np.int8))
+                out["head"].append(heads[first].astype(np.int64))
+                out["item"].append(items[first].astype(np.int64))
+                out["toxic"].append(n_toxic)
+                out["ordinary"].append(n - n_toxic)
+        return {name: np.concatenate(v) if v else [] for name, v in out.items()}
 
     texts = as_texts(docs).join(labels, "doc_id")
-    each = per_batch(texts, count, "key long, toxic long, ordinary long")
-    return each.groupBy("key").agg(
+    each = per_batch(texts, count, "kind byte, head long, item long, toxic long, ordinary long")
+    return each.groupBy("kind", "head", "item").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
     )
 
 
+def _numbers(texts: list[bytes], memory: ToxicWords) -> tuple[np.ndarray, np.ndarray]:
+    """Rows word and stem of all words, and how many each text has."""
+    split = [t.split() for t in texts]
+    lengths = np.array([len(w) for w in split], np.int64)
+    return memory.of([w for words in split for w in words]), lengths
+
+
 @dataclass(frozen=True)
-class KneserNey:
-    """Tables of fixed size, rows toxic and ordinary; words, stems and pairs by their hash."""
-
-    pair_key: np.ndarray  # the pair that a place of `pairs` is about
-    pairs: np.ndarray
-    before: np.ndarray
-    followers: np.ndarray
-    words: np.ndarray  # discounted share of the continuations
-    stems: np.ndarray  # what the backoff has of a stem in a class, against both classes
-    shared: np.ndarray  # continuation of a word in both classes, times what the discount left
+class Entries:
+    """Sorted keys with the four values of each."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> Entries:
+        keys = keys.astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], values[order].astype(np.float32))
+
+    def find(self, keys: np.ndarray, default: tuple) -> np.ndarray:
+        """Columns of the values of each key."""
+        out = np.tile(np.array(default, np.float64)[:, None], (1, len(keys)))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            met = np.flatnonzero(self.keys[at] == keys)
+            out[:, met] = self.values[at[met]][:, : len(default)].T
+        return out
+
+
+@dataclass(frozen=True)
+class Rates:
+    """What the models hold besides entries, by class: toxic, ordinary."""
+
+    left: tuple[float, float]  # what the discount leaves of the continuations
+    new_word: float  # share of a word that no training text has
+    stem_left: tuple[float, float]
     rule: np.ndarray
 
-    def ratios(self, numbers: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of each word."""
+
+class Lookup:
+    """The words of some texts: each distinct word and pair once."""
+
+    def __init__(self, texts: list[bytes], memory: ToxicWords):
+        numbers, self.lengths = _numbers(texts, memory)
         words, stems = numbers
-        key, stem = pair_keys(words), stem_places(stems)
-        word = key & ((1 << WORD_BITS) - 1)
-        before = (key >> WORD_BITS) & ((1 << BEFORE_BITS) - 1)
-        place = key >> (63 - PAIR_BITS)
-        same = self.pair_key[place] == key
-        out = []
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        distinct, first, self.word = np.unique(words, True, True)
+        self.words, self.stems = entry_keys(WORD, distinct), entry_keys(STEM, np.zeros(1, np.uint64), stems[first])
+        before = words_before(words, self.starts)
+        distinct, self.head = np.unique(before, return_inverse=True)
+        self.heads = entry_keys(HEAD, distinct)
+        self.pairs, self.pair = np.unique(entry_keys(PAIR, before, words), return_inverse=True)
+
+    def keys(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.pairs, self.heads, self.words, self.stems]))
+
+    def ratios(self, entries: Entries, rates: Rates) -> np.ndarray:
+        """Log-likelihood ratio, toxic to ordinary, of each word."""
+        *kept, shared = entries.find(self.words, (0.0, 0.0, rates.new_word))
+        stem = entries.find(self.stems, rates.stem_left)
+        mass, total = np.split(entries.find(self.heads, (1.0, 1.0, 1.0, 1.0)), 2)
+        found = entries.find(self.pairs, (0.0, 0.0))
+        logs = []
         for c in (0, 1):
-            backoff = self.words[c][word] + self.stems[c][stem] * self.shared[c][word]
-            total = self.before[c][before]
-            mass = np.minimum(PAIR_DISCOUNT * self.followers[c][before], total)
-            found = np.where(same, np.maximum(self.pairs[c][place] - PAIR_DISCOUNT, 0), 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = (found + mass * backoff) / total
-            out.append(np.log(np.where(total > 0, p, backoff)))
-        return out[0] - out[1]
-
-    def evidence(self, words: list[bytes], memory: ToxicWords) -> tuple[float, float, float]:
-        """The mean ratio of the whole text, of its most toxic word and of its worst stretch."""
-        if not words:
-            return 0.0, 0.0, 0.0
-        ratios = self.ratios(memory.of(words))
-        sums = np.concatenate([np.zeros(1), np.cumsum(ratios)])
-        size = min(STRETCH, len(ratios))
-        stretch = (sums[size:] - sums[:-size]).max() / size
-        return float(ratios.mean()), float(ratios.max()), float(stretch)
-
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        margin = self.rule[0] + evidence @ self.rule[1:]
-        return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
-
-
-def discounted(counts: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By class: discounted shares, what the discount leaves, and the shares of both together."""
-    both = counts.sum(axis=0) + 0.1
-    total = counts.sum(axis=1, keepdims=True) + 1
-    kept = np.maximum(counts - discount, 0) / total
-    return kept, 1 - kept.sum(axis=1, keepdims=True), both / both.sum()
+            backoff = kept[c] + stem[c] * rates.left[c] * shared
+            p = found[c][self.pair] + mass[c][self.head] * backoff[self.word]
+            logs.append(np.log(p / total[c][self.head]))
+        return logs[0] - logs[1]
+
+    def evidence(self, entries: Entries, rates: Rates) -> np.ndarray:
+        """Rows of texts: the mean ratio, that of the most toxic word and of the worst stretch."""
+        out = np.zeros((len(self.lengths), len(EVIDENCE)))
+        ratios = self.ratios(entries, rates)
+        for i in np.flatnonzero(self.lengths):
+            own = ratios[self.starts[i] : self.starts[i] + self.lengths[i]]
+            sums = np.concatenate([np.zeros(1), np.cumsum(own)])
+            size = min(STRETCH, len(own))
+            out[i] = own.mean(), own.max(), (sums[size:] - sums[:-size]).max() / size
+        return out
 
 
-def _model(counts: DataFrame) -> KneserNey:
-    """Sums the table of counts into arrays of fixed size."""
-    pair = counts.filter("key >= 0")
-    word = F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("place")
-    before = F.shiftright("key", WORD_BITS).bitwiseAND(F.lit((1 << BEFORE_BITS) - 1)).alias("place")
-    told = F.greatest(8 * F.col("toxic"), F.col("ordinary"))
-    best = pair.filter("toxic + ordinary >= 2").groupBy(
-        F.shiftright("key", 63 - PAIR_BITS).alias("place")
-    )
-    best = best.agg(F.max(F.struct(told.alias("told"), "key", "toxic", "ordinary")).alias("x"))
-
-    def arrays(frame: DataFrame, bits: int, *names: str) -> list[np.ndarray]:
-        table = frame.toArrow()  # one row for each place at most
-        place = table.column("place").to_numpy()
-        out = []
-        for name in names:
-            array = np.zeros(1 << bits, np.int64)
-            array[place] = table.column(name).to_numpy()
-            out.append(array)
-        return out
+def scored(evidence: np.ndarray, rates: Rates) -> np.ndarray:
+    margin = rates.rule[0] + evidence @ rates.rule[1:]
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
-    chosen = best.select("place", "x.key", "x.toxic", "x.ordinary")
-    key, *pairs = arrays(chosen, PAIR_BITS, "key", "toxic", "ordinary")
-    heads = pair.groupBy(before).agg(
-        F.sum("toxic").alias("toxic"),
-        F.sum("ordinary").alias("ordinary"),
-        F.count_if(F.col("toxic") > 0).alias("toxic_after"),
-        F.count_if(F.col("ordinary") > 0).alias("ordinary_after"),
-    )
-    heads = arrays(heads, BEFORE_BITS, "toxic", "ordinary", "toxic_after", "ordinary_after")
-    ends = pair.groupBy(word).agg(
-        F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary")
-    )
-    kept, left, shared = discounted(
-        np.stack(arrays(ends, WORD_BITS, "toxic", "ordinary")).astype(float), WORD_DISCOUNT
+
+@dataclass(frozen=True)
+class KneserNey:
+    """The table of entries (key and four values), the same in memory if it is small, and rates."""
+
+    table: DataFrame
+    entries: Entries | None
+    rates: Rates
+
+
+def _discounted(table: DataFrame) -> tuple[dict, tuple[float, float], float]:
+    """Totals by class, what the discount leaves by class, and the total of both classes' shares."""
+    over = lambda c: F.sum(F.greatest(F.col(c) - WORD_DISCOUNT, F.lit(0.0)))
+    r = table.agg(
+        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
+        over("toxic").alias("kept_toxic"), over("ordinary").alias("kept_ordinary"),
+        F.count("*").alias("n"),
+    ).first()
+    totals = {c: float((r[c] or 0) + 1) for c in ("toxic", "ordinary")}
+    left = tuple(1 - (r[f"kept_{c}"] or 0.0) / totals[c] for c in totals)
+    return totals, left, (r["toxic"] or 0) + (r["ordinary"] or 0) + 0.1 * (r["n"] + 1)
+
+
+def _kept(column: str, total: float):
+    return F.greatest(F.col(column) - WORD_DISCOUNT, F.lit(0.0)) / total
+
+
+def _model(counts: DataFrame) -> KneserNey:
+    """The entries of all words, heads, stems and of the pairs that the discount leaves."""
+    pair = counts.filter(F.col("kind") == PAIR)
+    classes = ("toxic", "ordinary")
+    heads = pair.groupBy("head").agg(
+        *[F.sum(c).alias(c) for c in classes],
+        *[F.count_if(F.col(c) > 0).alias(f"{c}_after") for c in classes],
     )
-    stems = counts.filter("key < 0").select((-1 - F.col("key")).alias("place"), "toxic", "ordinary")
-    stem_counts = np.stack(arrays(stems, STEM_BITS, "toxic", "ordinary")).astype(float)
-    stem_kept, stem_left, stem_shared = discounted(stem_counts, WORD_DISCOUNT)
-    small = np.float32
-    return KneserNey(
-        key,
-        np.stack(pairs).astype(small),
-        np.stack(heads[:2]).astype(small),
-        np.stack(heads[2:]).astype(small),
-        kept.astype(small),
-        (stem_kept / stem_shared + stem_left).astype(small),
-        (left * shared).astype(small),
-        PRIOR,
+    ends = staged(pair.groupBy("item").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in classes]))
+    stems = counts.filter(F.col("kind") == STEM)
+    totals, left, both = _discounted(ends)
+    stem_totals, stem_left, stem_both = _discounted(stems)
+
+    def rows(frame: DataFrame, kind: int, first: str, second, *values) -> DataFrame:
+        values = [*values, *[F.lit(0.0)] * (4 - len(values))]
+        return frame.select(
+            F.lit(kind).cast("byte").alias("kind"), F.col(first).alias("first"), second.alias("second"),
+            *[v.cast("float").alias(f"v{i}") for i, v in enumerate(values)],
+        )
+
+    # a class that has no text with the head says nothing: its backoff has all the mass
+    total = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1)
+    mass = lambda c: F.when(
+        F.col(c) > 0, F.least(PAIR_DISCOUNT * F.col(f"{c}_after"), F.col(c).cast("double"))
+    ).otherwise(1.0)
+    none, told = F.lit(0).cast("long"), F.col("toxic") + F.col("ordinary") + 0.1
+    table = rows(heads, HEAD, "head", none, *map(mass, classes), *map(total, classes))
+    table = table.unionByName(
+        rows(ends, WORD, "item", none, *[_kept(c, totals[c]) for c in classes], told / both)
     )
+    stem = [
+        _kept(c, stem_totals[c]) / (told / stem_both) + stem_left[i] for i, c in enumerate(classes)
+    ]
+    table = table.unionByName(rows(stems, STEM, "head", F.col("item"), *stem))
+    often = pair.filter(F.greatest(*classes) > PAIR_DISCOUNT)
+    found = [F.greatest(F.col(c) - PAIR_DISCOUNT, F.lit(0.0)) for c in classes]
+    table = table.unionByName(rows(often, PAIR, "head", F.col("item"), *found))
+
+    def named(batch):
+        kind, first, second = (batch.column(n).to_numpy() for n in ("kind", "first", "second"))
+        keys = entry_keys(kind, first.view(np.uint64), second.view(np.uint64))
+        return {"key": keys.view(np.int64)} | {f"v{i}": batch.column(f"v{i}") for i in range(4)}
+
+    table = staged(per_batch(table, named, "key long, v0 float, v1 float, v2 float, v3 float"))
+    entries = None
+    if table.count() <= BROADCAST_ENTRIES:
+        found = table.toArrow()
+        values = np.column_stack([found.column(f"v{i}").to_numpy() for i in range(4)])
+        entries = Entries.of(found.column("key").to_numpy(), values)
+    return KneserNey(table, entries, Rates(left, 0.1 / both, stem_left, PRIOR))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
@@ -234,23 +320,73 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
 
 
 def _evidence(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
+    evidence = "".join(f", {name} double" for name in EVIDENCE)
+    added = "".join(f", {name} int" for name in more)
+    schema = f"doc_id long, score double{evidence}{added}"
+    if model.entries is None:
+        return _joined_evidence(docs, model, more, schema)
     memory = ToxicWords()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.rates))
 
     def weigh(batch):
-        model = shared.value
-        found = [model.evidence(t.split(), memory) for t in batch.column("text").to_pylist()]
-        found = np.array(found).reshape(len(found), len(EVIDENCE))
+        entries, rates = shared.value
+        texts = batch.column("text").to_pylist()
+        found = [Lookup(texts[a:b], memory).evidence(entries, rates) for a, b in pieces(texts)]
+        found = np.concatenate([np.zeros((0, len(EVIDENCE))), *found])
         out = {name: batch.column(name) for name in ("doc_id", *more)}
         out |= {name: found[:, i] for i, name in enumerate(EVIDENCE)}
-        return out | {"score": model.score(found)}
+        return out | {"score": scored(found, rates)}
 
-    added = "".join(f", {name} int" for name in more)
-    evidence = "".join(f", {name} double" for name in EVIDENCE)
-    schema = f"doc_id long, score double{evidence}{added}"
     return per_batch(docs, weigh, schema)
 
 
+def _joined_evidence(docs: DataFrame, model: KneserNey, more: tuple, schema: str) -> DataFrame:
+    """By shuffle: pieces of the corpus meet the entries of their distinct keys.
+
+    A piece is one row with its texts and keys, stored once, so that its name stays the same. A key
+    is in as many rows as there are pieces with it, not documents.
+    """
+    memory, rates = ToxicWords(), model.rates
+
+    def cut(batch):
+        texts = batch.column("text").to_pylist()
+        columns = {name: batch.column(name).to_pylist() for name in ("doc_id", *more)}
+        out = {name: [] for name in ("piece", "texts", "keys", *columns)}
+        for a, b in pieces(texts):
+            out["piece"].append(uuid.uuid4().hex)
+            out["texts"].append(texts[a:b])
+            out["keys"].append(Lookup(texts[a:b], memory).keys().view(np.int64))
+            for name, column in columns.items():
+                out[name].append(column[a:b])
+        return out
+
+    arrays = "".join(f", {name} array<int>" for name in more)
+    cuts = "piece string, texts array<binary>, keys array<long>, doc_id array<long>" + arrays
+    stored = staged(per_batch(docs.select("doc_id", "text", *more), cut, cuts))
+    values = [f"v{i}" for i in range(4)]
+    met = stored.select("piece", F.explode("keys").alias("key")).join(model.table, "key")
+    met = met.groupBy("piece").agg(F.collect_list(F.struct("key", *values)).alias("found"))
+
+    def weigh(batch):
+        out = {part.split()[0]: [] for part in schema.split(", ")}
+        for i, texts in enumerate(batch.column("texts").to_pylist()):
+            found = batch.column("found")[i].values
+            keys = np.zeros(0, np.int64) if found is None else found.field("key").to_numpy()
+            table = np.zeros((0, 4)) if found is None else np.column_stack(
+                [found.field(v).to_numpy() for v in values]
+            )
+            rows = Lookup(texts, memory).evidence(Entries.of(keys, table), rates)
+            for name in ("doc_id", *more):
+                out[name] += batch.column(name)[i].as_py()
+            for k, name in enumerate(EVIDENCE):
+                out[name] += rows[:, k].tolist()
+            out["score"] += scored(rows, rates).tolist()
+        return out
+
+    whole = stored.drop("keys").join(met, "piece", "left")
+    return per_batch(whole, weigh, schema)
+
+
 def _calibrated(model: KneserNey, docs: DataFrame, told: DataFrame) -> KneserNey:
     """The model with a rule fitted on at most CALIBRATION_ROWS documents that it has not counted."""
     chosen = told.filter("calibrates").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
@@ -268,16 +404,16 @@ def _calibrated(model: KneserNey, docs: DataFrame, told: DataFrame) -> KneserNey
         slope = x.T @ (p - y) + RESIST * (rule - PRIOR)
         curve = (x * (p * (1 - p))[:, None]).T @ x + RESIST * np.eye(len(PRIOR))
         rule = rule - np.linalg.solve(curve, slope)
-    return replace(model, rule=rule)
+    return replace(model, rates=replace(model.rates, rule=rule))
 
 
 def score_toxicity(docs: DataFrame, model: KneserNey | None) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
     if model is None:
-        scored = as_texts(docs).select("doc_id", F.lit(0.0).alias("score"))
+        found = as_texts(docs).select("doc_id", F.lit(0.0).alias("score"))
     else:
-        scored = _evidence(as_texts(docs), model)
-    return scored.select(
+        found = _evidence(as_texts(docs), model)
+    return found.select(
         "doc_id",
         held_out().alias("held_out"),
         "score",
