@@ -354,3 +354,17 @@ def test_pii_places_more_matches_than_a_run_holds(spark):
     row = pii.find_pii(docs, pii.PiiModel(None, ())).first()
     assert row.spans.split(",") == pii_base(text)
     assert (row.n_ip, row.n_email) == (2 * pii.RUN + 2, 2 * pii.RUN + 1)
+
+
+def test_pii_selects_ibans_social_security_numbers_and_short_cards(spark):
+    texts = [
+        "to GB82WEST12345698765432 now", "not GB82WEST12345698765433 now", "his 123-45-6789 here",
+        "no 000-45-6789 here", "paid 3782 822463 10005 then", "paid 378282246310005 then", "paid 378282246310006 then",
+        "call 743 555 1234 now",
+    ]
+    docs = frame(spark, list(enumerate(texts)))
+    rows = {r.doc_id: r for r in pii.find_pii(docs, pii.fit_pii(docs)).collect()}
+    assert [rows[k].spans for k in (0, 2, 4)] == ["iban:3:25", "ssn:4:15", "card:5:22"]
+    assert rows[5].spans == "card:5:20,number:5:20" and rows[7].spans == "tel:5:17"
+    assert {rows[k].spans for k in (1, 3, 6)} == {""}
+    assert {r.n_card for r in rows.values()} == {0} and rows[0].redacted == "to [PII] now"

@@ -5,10 +5,14 @@ phone), and looser ones (`GENERATORS`). Each candidate has small whole-number fe
 and context (digits, length, separators, checksum, the characters and words before it). Boosted
 trees say how likely it is personal data; per kind, the lowest score that keeps the wanted precision
 on the half of the documents not fitted on is the threshold. Spans of base kinds that pass their own
-test are always selected; the trees add others.
-
-There are no labels for spans. The trees learn from the base tests: a base candidate is positive
-where it passes its own, a looser one where it and what stands before it would pass one. Feature
+test are always selected, and those of looser kinds and short cards that pass theirs (`sure`); the
+trees add others.
+
+There are no labels for spans. The trees learn from tests: a base candidate is positive where it
+passes its own or is a card of 13 to 15 digits with a right Luhn sum; a looser one where an IBAN has
+the right remainder by 97, a social security number valid groups, a number 13 to 19 digits and a
+right Luhn sum, a telephone number a plus or a word such as `call` before it, a mailbox the form of
+an email. Counts and digest of the base kinds hold only spans that pass the base tests. Feature
 values are few, so candidates of all documents are counted by their features in Spark; this table of
 cells is bounded by the product of the features' ranges, and only it comes to the driver, where the
 trees are fitted. They score as one CASE expression.
@@ -58,6 +62,8 @@ LEAST = {"card": 13, "phone": 8}
 #: Matches placed together; an aggregate copies its state with each element, so runs stay short.
 RUN = 200
 CONTEXT = r"(?i)(?:tel|phone|call|mail|contact|card|visa|iban|account|number|ssn)\W{0,3}(?:is|no|nr)?\W{0,4}$"
+CALLED = r"(?i)(?:tel|telephone|phone|mobile|fax|call|contact)\W{0,3}(?:is|no|nr)?\W{0,4}$"
+SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
 FEATURES = ("kind", "digits", "length", "marks", "checksum", "octets", "before", "context")
 #: Values of each feature: 0 up to this.
 RANGES = (len(KINDS) - 1, 7, 6, 4, 1, 1, 3, 1)
@@ -98,14 +104,35 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(False)
 
 
-def resembles(value: Column, before: Column) -> Column:
-    """Whether a looser kind's match, with what stands before it, is one that a base test passes."""
-    near = F.concat(before, value)
-    return (
-        value.rlike(f"^{PATTERNS['email']}$")
-        | near.rlike(PATTERNS["phone"] + "$")
-        | passes("card", F.when(value.rlike("^[0-9]+$"), value))
-    )
+def iban(value: Column) -> Column:
+    """True where capitals and digits, the first four moved to the end, leave 1 of 97."""
+    moved = F.split(F.concat(F.substring(value, 5, 64), F.substring(value, 1, 4)), "")
+
+    def step(rest: Column, c: Column) -> Column:
+        n = F.ascii(c)
+        return F.when(n >= 65, rest * 100 + n - 55).otherwise(rest * 10 + n - 48) % 97
+
+    return F.aggregate(F.filter(moved, lambda c: c != ""), F.lit(0), step) == 1
+
+
+def resembles(kind: str, value: Column, before: Column) -> Column:
+    """Whether a candidate is personal data by the test of its kind, which may be a looser one."""
+    n = F.length(_digits(value))
+    card = F.when(n.between(13, 19), luhn(_digits(value))).otherwise(False)
+    called = F.concat(before, value).rlike(PATTERNS["phone"] + "$")
+    if kind == "card":
+        return card
+    if kind == "tel":
+        return called | before.rlike(CALLED)
+    if kind == "number":
+        return card | called | (n.between(9, 15) & before.rlike(CALLED))
+    if kind == "iban":
+        return iban(value)
+    if kind == "ssn":
+        return value.rlike(SSN)
+    if kind == "mailbox":
+        return value.rlike(f"^{PATTERNS['email']}$")
+    return passes(kind, value)
 
 
 def _level(value: Column, *bounds: int) -> Column:
@@ -117,6 +144,9 @@ def _features(kind: int, value: Column, before: Column) -> list[Column]:
     digits = _digits(value)
     n = F.length(digits)
     last = F.substring(before, -1, 1)
+    checksum = F.when(n.between(12, 19), luhn(digits)).otherwise(False)
+    if KINDS[kind] in ("iban", "ssn"):
+        checksum = resembles(KINDS[kind], value, before)
     side = (
         F.when(last.rlike("[0-9A-Za-z]"), 3).when(last.rlike(r"[+(@=\"':]"), 2).when(last == "", 1)
     )
@@ -125,7 +155,7 @@ def _features(kind: int, value: Column, before: Column) -> list[Column]:
         _level(n, 1, 4, 8, 10, 13, 16, 20),
         _level(F.length(value), 8, 11, 15, 18, 24, 40),
         _level(F.length(F.regexp_replace(value, r"[^ ().@-]", "")), 1, 2, 3, 4),
-        F.when(n.between(12, 19), luhn(digits)).otherwise(False).cast("int"),
+        checksum.cast("int"),
         F.when(F.lit(KINDS[kind] == "ip"), passes("ip", value)).otherwise(False).cast("int"),
         F.coalesce(side, F.lit(0)),
         before.rlike(CONTEXT).cast("int"),
@@ -194,7 +224,7 @@ def candidates(text: Column, kind: int) -> Column:
     def judged(c: Column) -> Column:
         features = _features(kind, c["value"], c["before"])
         ok = F.coalesce(passes(name, c["value"]), F.lit(False))
-        sure = ok if kind < len(BASE) else F.coalesce(resembles(c["value"], c["before"]), F.lit(False))
+        sure = ok | F.coalesce(resembles(name, c["value"], c["before"]), F.lit(False))
         named = [f.cast("int").alias(f"f{i}") for i, f in enumerate(features)]
         return F.struct(
             c["kind"], c["start"], c["end"], ok.alias("passes"), sure.alias("sure"), *named
@@ -219,7 +249,7 @@ def with_candidates(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PiiModel:
-    """Boosted trees, and the score from which each looser kind is selected (over 1: never)."""
+    """Boosted trees, and the score from which each kind's other spans are selected (over 1: never)."""
 
     trees: Trees | None
     thresholds: tuple[float, ...]
@@ -242,12 +272,14 @@ class PiiModel:
             return base
         features = [candidate[f"f{i}"] for i in range(len(FEATURES))]
         least = F.lit(None).cast("double")
-        for kind in range(len(BASE), len(KINDS)):
+        for kind in range(len(KINDS)):
             t = self.thresholds[kind]
-            bound = float("inf") if t >= 1 else float(np.log(t / (1 - t))) - 1e-6  # equal scores pass
-            least = F.when(candidate["kind"] == kind, F.lit(bound)).otherwise(least)
-        scored = F.when(candidate["kind"] >= len(BASE), self.margin(features) >= least)
-        return base | F.coalesce(scored, F.lit(False))
+            if t < 1:
+                bound = float(np.log(t / (1 - t))) - 1e-6  # equal scores pass
+                least = F.when(candidate["kind"] == kind, F.lit(bound)).otherwise(least)
+        sure = base | candidate["sure"]
+        scored = F.when(~sure & least.isNotNull(), self.margin(features) >= least)
+        return sure | F.coalesce(scored, F.lit(False))
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -257,9 +289,10 @@ def cells(docs: DataFrame) -> DataFrame:
         F.explode("candidates").alias("c"),
     )
     features = [F.col(f"c.f{i}").alias(name) for i, name in enumerate(FEATURES)]
-    told = found.select("fits", F.col("c.sure").cast("long").alias("positive"), *features)
+    told = found.select("fits", F.col("c.sure").cast("long").alias("positive"), F.col("c.passes"), *features)
     return told.groupBy("fits", *FEATURES).agg(
-        F.count("*").alias("n"), F.sum("positive").alias("n_positive")
+        F.count("*").alias("n"), F.sum("positive").alias("n_positive"),
+        F.count_if("passes").alias("n_passes"),
     )
 
 
@@ -272,6 +305,7 @@ def fit_pii(docs: DataFrame, precision: float = PRECISION) -> PiiModel:
     x = np.array([[r[name] for name in FEATURES] for r in rows], np.float64)
     n = np.array([r["n"] for r in rows], np.float64)
     yes = np.array([r["n_positive"] for r in rows], np.float64)
+    passed = np.array([r["n_passes"] for r in rows], np.float64)  # selected whatever the trees say
     fits = np.array([r["fits"] for r in rows])
 
     def doubled(mask):
@@ -286,7 +320,8 @@ def fit_pii(docs: DataFrame, precision: float = PRECISION) -> PiiModel:
     for kind in range(len(KINDS)):
         own = ~fits & (x[:, 0] == kind)
         order = np.argsort(-score[own], kind="stable")
-        s, right, of = score[own][order], np.cumsum(yes[own][order]), np.cumsum(n[own][order])
+        s = score[own][order]
+        right, of = (np.cumsum((v - passed)[own][order]) for v in (yes, n))
         last = np.append(s[1:] < s[:-1], True)[: len(s)]  # a threshold takes all of equal score
         good = np.flatnonzero(last & (right >= precision * of) & (of > 0))
         thresholds.append(float(min(s[good[-1]], 0.999)) if len(good) else 2.0)
@@ -311,10 +346,10 @@ def find_pii(docs: DataFrame, model: PiiModel) -> DataFrame:
     found = with_candidates(docs).select(
         "doc_id", "text", F.filter("candidates", model.selects).alias("chosen")
     )
-    base = F.filter("chosen", lambda s: s["kind"] < len(BASE))
+    base = F.filter("chosen", lambda s: s["passes"] & (s["kind"] < len(BASE)))
 
     def number(kind: int) -> Column:
-        return F.size(F.filter("chosen", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter("chosen", lambda s: s["passes"] & (s["kind"] == kind))).cast("long")
 
     counts = [number(kind).alias(f"n_{name}") for kind, name in enumerate(BASE)]
     return found.select(
