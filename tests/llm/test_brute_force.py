@@ -368,3 +368,25 @@ def test_pii_selects_ibans_social_security_numbers_and_short_cards(spark):
     assert rows[5].spans == "card:5:20,number:5:20" and rows[7].spans == "tel:5:17"
     assert {rows[k].spans for k in (1, 3, 6)} == {""}
     assert {r.n_card for r in rows.values()} == {0} and rows[0].redacted == "to [PII] now"
+
+
+def test_allow_list_takes_away_only_what_it_overlaps():
+    pick, key, rules = random.Random(9), "Zq8vN3kT1xW7yB5mR2dL9fJ4", secrets.Entropy()
+    for before in ("example_key=", "placeholder/"):
+        [(low, high)] = secrets.entropy_spans(before + key, rules)
+        assert len(before) - 1 <= low <= len(before) and high == len(before) + len(key)
+    assert secrets.entropy_spans("your-app/" + key, rules) == [(5, 9 + len(key))]  # `app/` is in its first windows
+    blob = "".join(pick.choice("ABCDEFGHijklmnop0123456789+/") for _ in range(3000))
+    spans = secrets.entropy_spans(blob[:1000] + "xXxx" + blob[1000:], rules)
+    assert sum(b - a for a, b in spans) > 2500 and all(b <= 1000 or a >= 1004 for a, b in spans)
+    assert secrets.entropy_spans("path/to/some/place/that/is/long/enough", rules) == []
+
+
+def test_random_letters_need_no_digits():
+    pick, rules = random.Random(10), secrets.Entropy()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = [bool(secrets.entropy_spans("".join(pick.choice(chars) for _ in range(20)), rules))
+             for chars in (letters, letters + "0123456789") for _ in range(300)]
+    assert sum(found[:300]) > 270 and sum(found[300:]) > 270
+    for text in ("getElementsByTagNameAndClass", "a_long_name_in_snake_case_of_words", "internationalization"):
+        assert secrets.entropy_spans(text, rules) == []

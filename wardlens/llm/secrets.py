@@ -9,10 +9,12 @@ Patterns (leftmost, not overlapping, per kind; a match that fails its test is dr
 Entropy: a candidate is a run of 20 or more of `A-Za-z0-9+/=_-`. Over each window of
 `Entropy.window` characters of one class (hexadecimal digits, letters and digits, base64) the
 Shannon entropy is kept up to date by the counts of the character that enters and the one that
-leaves. Where a window reaches the class's threshold and has enough digits, the span from the first
-such window's start to the last one's end is a secret of kind `entropy`. Candidates of the
-allow-list (placeholders, UUIDs, paths, runs of the alphabet) are passed over; the allow-list never
-removes a match of the patterns.
+leaves. Where a window reaches the class's threshold and has enough digits, or few digits but the
+case of random letters or more entropy, the span from the first such window's start to the last
+one's end is a secret of kind `entropy`. Of the allow-list, UUIDs and paths of words are passed over
+whole; placeholders and runs of the alphabet only take away the windows that they overlap. A
+placeholder at the start of a part between `=`, `/` and `+`, joined to what follows by `_` or `-`
+(`sample_...`), also names that one word. The allow-list never removes a match of the patterns.
 
 Null texts are empty: no spans. Rows are scanned one by one, so repeated rows and null doc_ids keep
 their own rows; columns besides doc_id and text are not read. Positions are code points.
@@ -42,20 +44,30 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 ALLOWED = (
-    re.compile(r"(?i)example|sample|placeholder|changeme|dummy|redacted|xxxx|your[_-]"),
-    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
+    re.compile(r"(?i)(?:(?<![A-Za-z0-9+_-])(?:example|sample|placeholder|changeme|dummy|redacted)[_-][A-Za-z0-9]+)"
+               r"|example|sample|placeholder|changeme|dummy|redacted|xxxx|your[_-]"),
     re.compile(r"(?i)abcdefgh|0123456789|qwertyuiop"),
+)
+ALLOWED_WHOLE = (
+    re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z_]+([/-][A-Za-z_]+)+"),
 )
 
 
 @dataclass(frozen=True)
 class Entropy:
-    """Bits per character that a window of a class needs, and digits it must hold."""
+    """Bits per character that a window of a class needs, and digits it must hold.
+
+    A window with fewer digits needs `case_changes` between small and capital letters and two
+    capitals in a row (names in CamelCase have none), or, with at most one such change,
+    `few_digits` bits in letters and digits alone.
+    """
 
     window: int = 20
     bits: dict = field(default_factory=lambda: {"hex": 3.0, "alnum": 3.6, "base64": 3.8})
     digits: int = 3
+    case_changes: int = 5
+    few_digits: float = 3.75
 
 
 _CLASSES = {
@@ -80,10 +92,17 @@ def class_runs(candidate: str):
             yield name, start, len(candidate)
 
 
-def dense_windows(run: str, window: int, bits: float, digits: int):
-    """Starts of the windows with entropy of `bits` or more and at least `digits` digits."""
+def dense_windows(
+    run: str, window: int, bits: float, digits: int, case_changes: int = 99, few_digits: float = 99.0
+):
+    """Starts of the windows with entropy of `bits` or more and at least `digits` digits.
+
+    With fewer digits, see `Entropy`.
+    """
     weight = [0.0] + [k * math.log2(k) for k in range(1, window + 1)]
-    total, counts, n_digits = math.log2(window), {}, 0
+    total, counts, n_digits, n_changes, n_capitals = math.log2(window), {}, 0, 0, 0
+    change = [a.isupper() and b.islower() or a.islower() and b.isupper() for a, b in zip(run, run[1:])]
+    capitals = [a.isupper() and b.isupper() for a, b in zip(run, run[1:])]
     weighted = 0.0  # sum of k log k over the counts k of the window
     for i, c in enumerate(run):
         if i >= window:
@@ -92,12 +111,21 @@ def dense_windows(run: str, window: int, bits: float, digits: int):
             weighted += weight[k - 1] - weight[k]
             counts[gone] = k - 1
             n_digits -= gone in _DIGITS
+            n_changes -= change[i - window]
+            n_capitals -= capitals[i - window]
         k = counts.get(c, 0)
         weighted += weight[k + 1] - weight[k]
         counts[c] = k + 1
         n_digits += c in _DIGITS
-        if i >= window - 1 and n_digits >= digits and total - weighted / window >= bits - 1e-9:
-            yield i - window + 1
+        n_changes += i > 0 and change[i - 1]
+        n_capitals += i > 0 and capitals[i - 1]
+        if i >= window - 1 and total - weighted / window >= bits - 1e-9:
+            if (
+                n_digits >= digits
+                or (n_changes >= case_changes and n_capitals)
+                or (n_changes < 2 and total - weighted / window >= few_digits - 1e-9)
+            ):
+                yield i - window + 1
 
 
 def entropy_spans(text: str, rules: Entropy) -> list[tuple[int, int]]:
@@ -105,17 +133,23 @@ def entropy_spans(text: str, rules: Entropy) -> list[tuple[int, int]]:
     found = []
     for match in CANDIDATE.finditer(text):
         candidate = match[0]
-        if sum(candidate.count(d) for d in "0123456789") < rules.digits:
-            continue
-        if any(p.fullmatch(candidate) if i in (1, 3) else p.search(candidate)
-               for i, p in enumerate(ALLOWED)):
+        if any(p.fullmatch(candidate) for p in ALLOWED_WHOLE):
             continue
+        allowed = sorted(m.span() for p in ALLOWED for m in p.finditer(candidate))
         for name, start, end in class_runs(candidate):
             if end - start >= rules.window:
-                run = candidate[start:end]
-                for at in dense_windows(run, rules.window, rules.bits[name], rules.digits):
-                    low = match.start() + start + at
-                    found.append((low, low + rules.window))
+                few = rules.few_digits if name == "alnum" else 99.0
+                next_ = 0
+                for at in dense_windows(
+                    candidate[start:end], rules.window, rules.bits[name], rules.digits,
+                    rules.case_changes, few,
+                ):
+                    low = start + at
+                    while next_ < len(allowed) and allowed[next_][1] <= low:
+                        next_ += 1
+                    if next_ < len(allowed) and allowed[next_][0] < low + rules.window:
+                        continue
+                    found.append((match.start() + low, match.start() + low + rules.window))
     merged: list[tuple[int, int]] = []
     for low, high in sorted(found):
         if merged and low <= merged[-1][1]:
