@@ -390,3 +390,23 @@ def test_random_letters_need_no_digits():
     assert sum(found[:300]) > 270 and sum(found[300:]) > 270
     for text in ("getElementsByTagNameAndClass", "a_long_name_in_snake_case_of_words", "internationalization"):
         assert secrets.entropy_spans(text, rules) == []
+
+
+def test_short_texts_enter_no_list_for_one_common_shingle(spark):
+    """Two shingles each, one of them in all texts: at 85 % both would have to be shared."""
+    docs = frame(spark, [(i, f"one two three end{i}") for i in range(300)])
+    drawn = near_dedup.sketches(docs, 3)
+    assert near_dedup.postings(drawn.select("class_id", "n_shingles", "sketch"), 85).count() == 0
+
+
+def test_blocks_are_bounded_in_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 5)
+    texts = [(f"c{i:02d}", f"one two three end{i}") for i in range(40)]
+    pairs = spark.createDataFrame([("c00", c, 2, 2) for c, _ in texts[1:]], "hub string, member string, hub_size long, member_size long")
+    placed = spark.createDataFrame([], "node string, component string")
+    told = spark.createDataFrame([(c, t.encode()) for c, t in texts], "class_id string, text binary")
+    found = near_dedup.rest_links(pairs, placed, told, 3, 30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 5.0" in plan or "/ cast(5 as double)" in plan
+    linked = graph.components(found.select("a", "b"))
+    assert linked.select("component").distinct().count() == 1 and linked.count() == 39

@@ -10,7 +10,8 @@ Two texts are linked when 100 * |A and B| >= percent * |A or B|.
    give candidates. A pair at the limit shares all but a few of the values of the union's sketch
    (binomially many), so it shares at least `OVERLAP` of `SKETCH` but for one pair in 10^10. A set
    therefore needs that many values that other sets have as well, and enters only the lists of its
-   rarest ones: of m shared values the m - OVERLAP + 1 rarest, one of which any partner has too.
+   rarest ones: of m shared values the m - OVERLAP + 1 rarest, one of which any partner has too. Where
+   a set is so small that any partner's sketch is whole as well, it needs `percent` of its values.
 3. Each list has a hub, the set whose values are the most common (an original rather than one of its
    edited copies). Pairs of hub and member that pass an estimate from the sketch of their union are
    verified on their full sets, which links the bulk of every group in one step per member.
@@ -52,6 +53,8 @@ from wardlens.llm.graph import components
 SKETCH, OVERLAP = 64, 30
 #: Shingles that a block of members may hold, all sets together.
 BLOCK_SHINGLES = 400_000
+#: Sets that a side of a block may hold; all of one side are compared with all of the other.
+BLOCK_SETS = 4_000
 
 
 def shingle_set(text: bytes, shingle: int, memory: WordNumbers) -> np.ndarray:
@@ -106,7 +109,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return found.dropDuplicates(["class_id"])
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, percent: int) -> DataFrame:
     """value, class_id, n_shingles and weight: the lists that each class has to enter."""
     values = classes.select("class_id", "n_shingles", F.explode("sketch").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("holders")).filter("holders > 1")
@@ -122,6 +125,9 @@ def postings(classes: DataFrame) -> DataFrame:
     )
     size = F.least("n_shingles", F.lit(SKETCH))
     needed = F.greatest(F.floor(size * OVERLAP / SKETCH), F.lit(1))
+    whole = F.col("n_shingles") * 100 <= SKETCH * percent  # and so is the sketch of any partner
+    exact = F.floor((F.col("n_shingles") * percent + 99) / 100)
+    needed = F.when(whole, F.greatest(needed, exact)).otherwise(needed)
     return ranked.filter(F.col("rank") <= F.col("m") - needed + 1).select(
         "value", "class_id", "n_shingles", F.round("weight", 6).alias("weight")
     )
@@ -234,19 +240,24 @@ def rest_links(
     known = placed.select(F.col("node").alias("member"), "component")
     members = pairs.select("hub", "member", "member_size").join(known, "member", "left")
     members = staged(members.withColumn("component", F.coalesce("component", "member")))
-    parts = members.groupBy("hub", "component").agg(F.sum("member_size").alias("size"))
+    parts = members.groupBy("hub", "component").agg(
+        F.sum("member_size").alias("size"), F.count("*").alias("sets")
+    )
     hubs = parts.groupBy("hub").agg(
         F.count("*").alias("parts"),
         F.sum("size").alias("size"),
-        F.max(F.struct("size", "component")).alias("main"),
+        F.sum("sets").alias("sets"),
+        F.max(F.struct("size", "component", "sets")).alias("main"),
     ).filter("parts > 1")
     # members outside the largest component ask, all members answer; each side in its own blocks
-    blocks = lambda size: F.ceil(size / (BLOCK_SHINGLES // 2)).cast("int")
+    blocks = lambda size, sets: F.greatest(
+        F.ceil(size / (BLOCK_SHINGLES // 2)), F.ceil(sets / BLOCK_SETS)
+    ).cast("int")
     hubs = hubs.select(
         "hub",
         F.col("main.component").alias("main"),
-        blocks(F.col("size") - F.col("main.size")).alias("askers"),
-        blocks(F.col("size")).alias("tellers"),
+        blocks(F.col("size") - F.col("main.size"), F.col("sets") - F.col("main.sets")).alias("askers"),
+        blocks(F.col("size"), F.col("sets")).alias("tellers"),
     )
     dealt = members.join(hubs, "hub").join(texts.toDF("member", "text"), "member")
 
@@ -270,7 +281,8 @@ def rest_links(
         others = [shingle_set(t, shingle, memory) for t in tell.column("text").to_pylist()]
         mine = np.array(ask.column("component").to_pylist(), object)
         theirs = np.array(tell.column("component").to_pylist(), object)
-        apart = mine[:, None] != theirs[None, :]
+        code = np.unique(np.concatenate([mine, theirs]), return_inverse=True)[1].astype(np.int32)
+        apart = code[: len(mine), None] != code[None, len(mine) :]
         a, b = ask.column("member").to_pylist(), tell.column("member").to_pylist()
         seen, links = set(), []
         for i, j in block_links(sets, others, apart, percent):
@@ -297,7 +309,7 @@ def linked_classes(docs: DataFrame, drawn: DataFrame, shingle: int, percent: int
     met = (F.col("class_id") == F.col("__class")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     classes = some.join(own, met, "left_semi").select("class_id", "n_shingles", "sketch")
     classes = staged(classes.dropDuplicates(["class_id"]))
-    pairs = staged(stars(staged(postings(classes))))
+    pairs = staged(stars(staged(postings(classes, percent))))
     named = pairs.select(F.col("hub").alias("class_id")).union(pairs.select("member")).distinct()
     texts = staged(class_texts(docs, first.join(named, "class_id"), shingle))
     links = staged(star_links(estimated(pairs, classes), texts, shingle, percent))
