@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +71,17 @@ def overwrite_days(df: DataFrame, folder: str, date_col: str = "fecha") -> None:
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local session without it gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="wardlens-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def durable(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The same rows, written once as parquet to a folder that all executors share.
 
