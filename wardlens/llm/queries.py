@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from wardlens.llm import (
     bpe,
+    collocations,
     exact_dedup,
+    merkle,
     mixing,
     near_dedup,
     pii,
@@ -18,6 +20,7 @@ from wardlens.llm import (
     quality_rules,
     secrets,
     substring_dedup,
+    token_counts,
     toxicity,
 )
 from wardlens.llm.common import read_table
@@ -26,14 +29,14 @@ from wardlens.llm.quality_sql import QUALITY_SQL
 MIX_POWER, MIX_SEED, MIX_EPOCHS = 0.5, 17, 1.0
 
 
-def tokenizer_file() -> str:
-    """The vocabulary: WARDLENS_BPE_FILE, or the installed public file."""
-    given = os.environ.get("WARDLENS_BPE_FILE")
+def tokenizer_file(name: str = "byte_bpe_50k.json", setting: str = "WARDLENS_BPE_FILE") -> str:
+    """A vocabulary: the file that the environment names, or the installed public one."""
+    given = os.environ.get(setting)
     if given:
         return given
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokenizer_file("word_bpe_49k.json", "WARDLENS_WORD_BPE_FILE")
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), words)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -100,6 +116,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_quality_rules,
         op10_toxicity,
+        op11_token_counts,
+        op12_merkle_manifest,
+        op13_collocations,
     )
 }
 
