@@ -1,15 +1,16 @@
 """Held-out accuracy of the classifiers, and the pipeline stage by stage."""
 
-import os
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from tests.llm.cases import empty, frame
-from wardlens.llm import boosting, quality_rules, toxicity
-from wardlens.llm.common import WordNumbers
+from wardlens.llm import boosting, quality_model, quality_rules, toxicity
+from wardlens.llm.common import WordNumbers, as_texts, lowered
 from wardlens.llm.queries import LLM_QUERIES
 
 DATA = "/root/testdata/sf0.01"
@@ -92,18 +93,117 @@ def test_toxicity_keeps_apart_more_words_than_places(spark):
     docs = frame(spark, list(enumerate(texts)))
     told = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, toxic int")
     counts = toxicity.word_counts(docs, told)
-    model = toxicity._model(counts)
-    assert counts.filter(f"kind = {toxicity.PAIR}").count() == 400_000
-    assert model.table.select("key").distinct().count() == model.table.count() > 800_000
-
-
-@pytest.mark.parametrize("name", ["sf0.001"])
-def test_joined_entries_score_as_broadcast_ones(spark, monkeypatch, name):
-    docs, told = (spark.read.parquet(f"{os.path.dirname(DATA)}/{name}/{t}.parquet") for t in ("documents", "labels"))
-    scores = []
-    for most in (toxicity.BROADCAST_ENTRIES, 0):
-        monkeypatch.setattr(toxicity, "BROADCAST_ENTRIES", most)
-        monkeypatch.setattr(toxicity, "PIECE_BYTES", 20_000)
-        rows = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, told)).collect()
-        scores.append(sorted((r.doc_id, round(r.score, 9), r.predicted) for r in rows))
-    assert scores[0] == scores[1] and len({s for _, s, _ in scores[0]}) > 10
+    assert counts.count() == 400_000 == counts.select("item").distinct().count()
+    assert counts.agg({"toxic": "sum", "ordinary": "sum"}).first().asDict() == {
+        "sum(toxic)": 200_000, "sum(ordinary)": 200_000}
+    assert toxicity._model(counts).table.isEmpty() is False  # stems; no word or pair is met often enough
+
+
+def plain_ratios(texts, labels):
+    """log p(word | before, toxic) - log p(word | before, ordinary) of any text's words, by the definition."""
+    letters = toxicity.STEM_LETTERS
+
+    def words(text):
+        return [lowered(w).strip(toxicity.EDGES).decode() for w in text.encode().split()]
+
+    pairs = [Counter(), Counter()]
+    for i, toxic in labels.items():
+        pairs[toxic].update(zip([None, *words(texts[i])], words(texts[i])))
+    ends, stems = ([Counter(), Counter()] for _ in range(2))
+    for toxic in (0, 1):
+        for _, word in pairs[toxic]:
+            ends[toxic][word] += 1
+            stems[toxic][word[:letters]] += 1
+    after = Counter(head for head, _ in set(pairs[0]) | set(pairs[1]))
+    n = [sum(p.values()) for p in pairs]
+    both = sum(sum(e.values()) for e in ends)
+    mass = toxicity.WORD_MASS * both
+    size = [sum(e.values()) + mass for e in ends]
+
+    def left(counts, key, discount):
+        return max(counts[key] - discount, 0)
+
+    def of_stem(c, stem):
+        share = (stems[0][stem] + stems[1][stem] + 0.5) / both
+        return (left(stems[c], stem, toxicity.WORD_DISCOUNT) / share + mass) / size[c]
+
+    def of_word(c, word):
+        share = (ends[0][word] + ends[1][word] + 0.1) / both
+        return (left(ends[c], word, toxicity.WORD_DISCOUNT) + mass * share * of_stem(c, word[:letters])) / size[c]
+
+    def of_pair(c, head, word):
+        back = toxicity.PAIR_MASS * toxicity.PAIR_DISCOUNT * max(after[head], 1) / sum(n)
+        return left(pairs[c], (head, word), toxicity.PAIR_DISCOUNT) / n[c] + back * of_word(c, word)
+
+    def ratios(text):
+        found = words(text)
+        return [math.log(of_pair(1, h, w) / of_pair(0, h, w)) for h, w in zip([None, *found], found)]
+
+    return ratios
+
+
+@pytest.mark.parametrize("known", [toxicity.KNOWN, 30, 0])
+def test_toxic_evidence_equals_plain_kneser_ney(spark, monkeypatch, known):
+    monkeypatch.setattr(toxicity, "KNOWN", known)
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 20_000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(120)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {i: int(k % 3 == 0) for k, i in enumerate(sorted(texts)) if k % 4}
+    told = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    counts = toxicity.word_counts(docs, told)
+    model = toxicity._shared(toxicity._model(counts))
+    ratios = plain_ratios(texts, labels)
+    for row in toxicity.evidence(as_texts(docs), model).collect():
+        found = ratios(texts[row.doc_id])
+        whole = 100 * np.mean(found) if found else 0.0
+        strong = 100 * np.mean([max(r - toxicity.STRONG, 0) for r in found]) if found else 0.0
+        assert abs(row.whole - whole) < 1e-9 * max(1, abs(whole)) and abs(row.strong - strong) < 1e-9 * max(1, strong)
+
+
+def test_the_rule_is_the_best_one(rng=np.random.default_rng(7)):
+    x = np.column_stack([np.ones(400), rng.normal(0, 30, 400), rng.gamma(1, 8, 400)])
+    y = (x[:, 2] + 0.1 * x[:, 1] + rng.normal(0, 3, 400) > 12).astype(float)
+
+    def loss(rule):
+        margin = x @ rule
+        return np.sum(np.logaddexp(0, margin) - y * margin) + toxicity.RESIST / 2 * np.sum((rule - toxicity.PRIOR) ** 2)
+
+    best = toxicity.fitted_rule(x, y)
+    assert all(loss(best) <= loss(best + d) for d in rng.normal(0, 1e-3, (200, 3)))
+
+
+def test_calibration_rows_are_chosen_and_all_others_count(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1000)], "doc_id long, toxic int")
+    told = toxicity.training_labels(labels).collect()
+    assert len(told) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1000))
+    assert sum(r.calibrates for r in told) == 7
+
+
+def test_quality_scores_equal_a_walk_through_the_trees(spark):
+    """Statistics and traversal in plain Python, tree by tree, on whole texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    told = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    trees = quality_model.fit_quality(docs, told)
+    rows = docs.select("doc_id", "text").collect()
+    memory = WordNumbers()
+    stats = np.array([quality_model.statistics((r.text or "").encode(), memory) for r in rows], float)
+
+    def walk(row):
+        total = trees.base
+        for node in trees.roots:
+            while trees.left[node] != node:
+                low = row[trees.feature[node]] <= trees.threshold[node]
+                node = (trees.left if low else trees.right)[node]
+            total += trees.value[node]
+        return 1 / (1 + math.exp(-total))
+
+    for row, told in zip(rows, stats):
+        words = (row.text or "").encode().split()
+        triples = list(zip(words, words[1:], words[2:]))
+        lines = [line for line in (row.text or "").encode().split(b"\n") if line.strip()]
+        plain = {0: math.log1p(len(words)), 4: len(set(words)) / max(len(words), 1), 9: math.log1p(len(lines)),
+                 14: 1 - len(set(triples)) / len(triples) if triples else 0.0}
+        assert all(abs(told[k] - v) < 1e-12 for k, v in plain.items())
+    found = {r.doc_id: r.score for r in quality_model.score_quality(docs, trees).collect()}
+    assert all(abs(found[r.doc_id] - walk(s)) < 1e-9 for r, s in zip(rows, stats))

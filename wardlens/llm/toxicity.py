@@ -1,82 +1,93 @@
 """Toxicity by class-conditional Kneser-Ney models of word pairs.
 
 Two models, toxic and ordinary, are counted on all labelled documents that are not held out
-(crc32(doc_id as text) mod 5 is not 0), but for one in ten that calibrates the score. A model
-gives a word after a word the discounted count of the pair, then the word's discounted continuation
-count in its class, then its continuation count in both classes together, which smooths what is
-rare alike in both. A document's evidence is the log-likelihood ratio of its words, normalised by
-length: over the whole text, over its most toxic word and over its most toxic stretch of `STRETCH`
-words. A logistic rule joins them. Words backed off from are shared out by their stem, the first
-`STEM_LETTERS` letters, so a rare form of a toxic family is not lost among other rare words.
-
-The count table has a row for each pair of words in each class and grows with the corpus; it stays
-in Spark. So does the table of entries made from it: one for each word, each word before another,
-each stem, and each pair met more often than `PAIR_DISCOUNT` in a class (of others the discount
-leaves nothing, so their entry would be 0). Words are told apart by 64-bit hashes. Up to
-`BROADCAST_ENTRIES` entries are broadcast; more are joined by shuffle to the distinct keys of each
-piece of the corpus, with the same scores. Labels are broadcast when they have at most
-`BROADCAST_LABELS` rows and joined by shuffle beyond.
+(crc32(doc_id as text) mod 5 is not 0), but for at most `CALIBRATION_ROWS` that calibrate the score. A
+model gives a word after a word what `PAIR_DISCOUNT` leaves of the pair's count, and backs off to the
+word's discounted continuation count (the number of different words before it), then to that of its
+stem, the first `STEM_LETTERS` letters, and last to counts of both classes. The mass of each step
+back is shared: it comes from both classes' counts and is the same in both models, so an expression
+that neither class has often enough is worth what its backoff is worth, however unequal the classes.
+
+A document's evidence is length-normalised: the mean log-likelihood ratio of its words, and the mean of
+what single words have above `STRONG`, both per 100 words. A logistic rule joins them.
+
+What the discounts leave nothing of has the ratio of its backoff, so the table of entries holds only
+differences from the backoff: of stems from an unknown word, of words from their stem, of pairs from
+their word. A document's evidence is a sum over its entries, so it can be added up in parts. Counts and
+entries stay in Spark and grow with the corpus. The entries met most often, at most `KNOWN`, are
+broadcast, with a bitmap of all keys (of bounded size); words whose key the bitmap has and the
+broadcast has not meet their entries in a join, as keys and counts, never as texts. Scores do not depend
+on `KNOWN`. Words are told apart by 64-bit numbers whose upper 30 bits are those of the stem (of a million stems some 500 share them with another). Labels are
+broadcast when they have at most `BROADCAST_LABELS` rows and joined by shuffle beyond.
 
 Labels other than 0 and 1 and labels without doc_id are ignored; of several labels of one doc_id
-the larger counts. Without labels of both classes every score is 0.5 or less and nothing is toxic.
-A null text is empty; its evidence is 0. Repeated rows keep their own rows, a null doc_id is not held
-out, and columns besides doc_id and text are not read.
+the larger counts. Without labels of both classes every score is 0 and nothing is toxic; an empty table
+gives an empty result. A null or empty text has no evidence and the score of the rule's constant. A very long
+text is held whole by one task, some 100 bytes a word. Repeated rows keep their own rows, a null doc_id is
+not held out, and columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from math import log
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlens.llm.bitmaps import bitmap
 from wardlens.llm.common import WordNumbers, as_texts, lowered, mixed, per_batch, staged
 from wardlens.llm.quality_model import held_out
 
-STEM_LETTERS = 5
+STEM_LETTERS, STEM_BITS = 5, 30
 #: Discounts of pair counts and of continuation counts.
-PAIR_DISCOUNT, WORD_DISCOUNT = 2.0, 3.0
-STRETCH = 3
+PAIR_DISCOUNT, WORD_DISCOUNT = 5.0, 3.0
+#: Shared mass of a word's backoff, as a share of all continuations, and of a pair's, in discounts per follower.
+WORD_MASS, PAIR_MASS = 0.005, 3.0
+#: A log ratio above which a word speaks for itself.
+STRONG = 3.0
 BROADCAST_LABELS = 1_000_000
-#: Entries of 24 bytes.
-BROADCAST_ENTRIES = 3_000_000
-#: Bytes of text whose words are looked up together.
-PIECE_BYTES = 2_000_000
+#: Entries that are broadcast, 24 bytes each.
+KNOWN = 1_000_000
+#: Words that a task counts together, and bytes of text whose words are looked up together.
+CHUNK_WORDS, PIECE_BYTES = 1_500_000, 2_000_000
+#: Parts into which the followers of a word are dealt.
+SEGMENTS = 8
 CALIBRATION_ROWS = 20_000
 THRESHOLD = 0.5
-EVIDENCE = ("whole", "word", "stretch")
+EVIDENCE = ("whole", "strong")
 #: Bias and weights of the evidence before calibration, and how much they resist it.
-PRIOR, RESIST = np.array([-7.5, 0.0, 1.0, 0.6]), 1.0
+PRIOR, RESIST = np.array([-4.0, 0.05, 1.0]), 1.0
 # Fixed value
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-"
 
+_REST = 64 - STEM_BITS
+
 
 class ToxicWords(WordNumbers):
-    """Numbers of words without case and surrounding marks, each with the number of its stem."""
+    """Numbers of words without case and surrounding marks; the upper bits are those of the stem."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         plain = lowered(word).strip(EDGES)
         stem = plain.decode("utf-8", "replace")[:STEM_LETTERS].encode()
-        numbers = xxhash.xxh3_64_intdigest(plain), xxhash.xxh3_64_intdigest(stem)
+        number = xxhash.xxh3_64_intdigest(stem) >> _REST << _REST
+        number |= xxhash.xxh3_64_intdigest(plain) & ((1 << _REST) - 1)
         if len(self) >= self.limit:
             self.clear()
-        self[word] = numbers
-        return numbers
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Rows word and stem."""
-        found = [n for w in words for n in self[w]]
-        return np.array(found, np.uint64).reshape(-1, 2).T
+        self[word] = number
+        return number
 
 
-PAIR, HEAD, WORD, STEM = range(4)
+PAIR, WORD, STEM = range(3)
 
 
 def entry_keys(kind, first: np.ndarray, second=0) -> np.ndarray:
-    """The keys of entries: of a pair by both words, of others by the one hash."""
+    """The keys of entries: of a pair by both words, of others by the one number."""
     kind, second = np.asarray(kind, np.uint64), np.asarray(second, np.uint64)
     with np.errstate(over="ignore"):
         one = mixed(first + (kind + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
@@ -90,6 +101,13 @@ def words_before(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return before
 
 
+def numbers_of(texts: list[bytes], memory: ToxicWords) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words, and how many each text has."""
+    split = [t.split() for t in texts]
+    lengths = np.array([len(w) for w in split], np.int64)
+    return memory.of([w for words in split for w in words]), lengths
+
+
 def pieces(texts: list[bytes]):
     """Ranges of texts with about PIECE_BYTES bytes."""
     start, size = 0, 0
@@ -103,208 +121,195 @@ def pieces(texts: list[bytes]):
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
-    """doc_id, toxic and whether the row calibrates, one row per labelled doc_id not held out."""
+    """doc_id, toxic and whether the row calibrates, one row per labelled doc_id not held out.
+
+    One row in ten calibrates, but at most CALIBRATION_ROWS, those with the smallest hashes; all others count.
+    """
     clean = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     one = clean.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    return one.withColumn("calibrates", F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
+    one = staged(one)
+    tenth = one.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0)
+    chosen = tenth.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
+    chosen = F.broadcast(chosen.select("doc_id", F.lit(True).alias("calibrates")))
+    return one.join(chosen, "doc_id", "left").fillna(False, ["calibrates"])
 
 
 def word_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """kind, head, item, toxic and ordinary: counts of pairs of words and of stems (head 0)."""
-    memory = ToxicWords()
-
-    def count(batch):
-        texts, toxic = batch.column("text").to_pylist(), np.array(batch.column("toxic").to_pylist(), int)
-        out = {name: [] for name in ("kind", "head", "item", "toxic", "ordinary")}
-        for low, high in pieces(texts):
-            numbers, lengths = _numbers(texts[low:high], memory)
-            words, stems = numbers
-            before = words_before(words, np.cumsum(lengths) - lengths)
-            is_toxic = np.repeat(toxic[low:high], lengths) == 1
-            none = np.zeros(len(stems), np.uint64)
-            for kind, heads, items in ((PAIR, before, words), (STEM, none, stems)):
-                keys = entry_keys(kind, heads, items)
-                _, first, own, n = np.unique(keys, True, True, True)
-                n_toxic = np.bincount(own[is_toxic], minlength=len(first))
-                out["kind"].append(np.full(len(first), kind, np.int8))
-                out["head"].append(heads[first].astype(np.int64))
-                out["item"].append(items[first].astype(np.int64))
-                out["toxic"].append(n_toxic)
-                out["ordinary"].append(n - n_toxic)
-        return {name: np.concatenate(v) if v else [] for name, v in out.items()}
-
-    texts = as_texts(docs).join(labels, "doc_id")
-    each = per_batch(texts, count, "kind byte, head long, item long, toxic long, ordinary long")
-    return each.groupBy("kind", "head", "item").agg(
+    """head, item, toxic and ordinary: how often each pair of words stands in each class.
+
+    Tasks count large pieces of the corpus and pass on, for each head, the list of its followers; the
+    lists are merged by head and a segment of the followers, so no task has all followers of a word.
+    """
+    schema = "head long, segment int, items array<long>, toxic array<int>, ordinary array<int>"
+
+    def counted(numbers: list, lengths: list, toxic: list) -> pa.RecordBatch:
+        words, lengths = np.concatenate(numbers), np.concatenate(lengths)
+        before = words_before(words, np.cumsum(lengths) - lengths)
+        is_toxic = np.repeat(np.concatenate(toxic), lengths) == 1
+        _, first, own, n = np.unique(entry_keys(PAIR, before, words), True, True, True)
+        n_toxic = np.bincount(own[is_toxic], minlength=len(first))
+        heads, items = before[first], words[first]
+        segment = (mixed(items) % np.uint64(SEGMENTS)).astype(np.int32)
+        order = np.lexsort((segment, heads))
+        heads, items, segment = heads[order], items[order], segment[order]
+        n_toxic, n = n_toxic[order], n[order]
+        border = np.ones(len(heads), bool)
+        border[1:] = (heads[1:] != heads[:-1]) | (segment[1:] != segment[:-1])
+        at = np.flatnonzero(border)
+        offsets = pa.array(np.append(at, len(heads)), pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(offsets, pa.array(v, kind))
+            for v, kind in ((items.view(np.int64), pa.int64()), (n_toxic, pa.int32()), (n - n_toxic, pa.int32()))
+        ]
+        columns = [pa.array(heads[at].view(np.int64), pa.int64()), pa.array(segment[at], pa.int32()), *lists]
+        return pa.RecordBatch.from_arrays(columns, names=["head", "segment", "items", "toxic", "ordinary"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, numbers, lengths, toxic, total = ToxicWords(), [], [], [], 0
+        for batch in batches:
+            found, each = numbers_of(batch.column("text").to_pylist(), memory)
+            numbers.append(found)
+            lengths.append(each)
+            toxic.append(batch.column("toxic").to_numpy())
+            total += len(found)
+            if total >= CHUNK_WORDS:
+                yield counted(numbers, lengths, toxic)
+                numbers, lengths, toxic, total = [], [], [], 0
+        if total:
+            yield counted(numbers, lengths, toxic)
+
+    texts = as_texts(docs).join(labels, "doc_id").select("text", "toxic")
+    dealt = texts.mapInArrow(run, schema).repartition("head", "segment")
+    pair = F.explode(F.arrays_zip("items", "toxic", "ordinary")).alias("pair")
+    each = dealt.select("head", "segment", pair).select("head", "segment", F.col("pair.items").alias("item"), "pair.*")
+    merged = each.groupBy("head", "segment", "item").agg(
         F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")
     )
-
-
-def _numbers(texts: list[bytes], memory: ToxicWords) -> tuple[np.ndarray, np.ndarray]:
-    """Rows word and stem of all words, and how many each text has."""
-    split = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in split], np.int64)
-    return memory.of([w for words in split for w in words]), lengths
+    return merged.select("head", "item", "toxic", "ordinary")
 
 
 @dataclass(frozen=True)
 class Entries:
-    """Sorted keys with the four values of each."""
+    """Sorted keys, with what each adds to the two kinds of evidence."""
 
     keys: np.ndarray
     values: np.ndarray
 
-    @classmethod
-    def of(cls, keys: np.ndarray, values: np.ndarray) -> Entries:
-        keys = keys.astype(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        return cls(keys[order], values[order].astype(np.float32))
-
-    def find(self, keys: np.ndarray, default: tuple) -> np.ndarray:
-        """Columns of the values of each key."""
-        out = np.tile(np.array(default, np.float64)[:, None], (1, len(keys)))
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of each key, 0 where it is missing, and whether it is there."""
+        out, met = np.zeros((len(keys), 2)), np.zeros(len(keys), bool)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            met = np.flatnonzero(self.keys[at] == keys)
-            out[:, met] = self.values[at[met]][:, : len(default)].T
-        return out
-
-
-@dataclass(frozen=True)
-class Rates:
-    """What the models hold besides entries, by class: toxic, ordinary."""
-
-    left: tuple[float, float]  # what the discount leaves of the continuations
-    new_word: float  # share of a word that no training text has
-    stem_left: tuple[float, float]
-    rule: np.ndarray
-
-
-class Lookup:
-    """The words of some texts: each distinct word and pair once."""
-
-    def __init__(self, texts: list[bytes], memory: ToxicWords):
-        numbers, self.lengths = _numbers(texts, memory)
-        words, stems = numbers
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        distinct, first, self.word = np.unique(words, True, True)
-        self.words, self.stems = entry_keys(WORD, distinct), entry_keys(STEM, np.zeros(1, np.uint64), stems[first])
-        before = words_before(words, self.starts)
-        distinct, self.head = np.unique(before, return_inverse=True)
-        self.heads = entry_keys(HEAD, distinct)
-        self.pairs, self.pair = np.unique(entry_keys(PAIR, before, words), return_inverse=True)
-
-    def keys(self) -> np.ndarray:
-        return np.unique(np.concatenate([self.pairs, self.heads, self.words, self.stems]))
-
-    def ratios(self, entries: Entries, rates: Rates) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of each word."""
-        *kept, shared = entries.find(self.words, (0.0, 0.0, rates.new_word))
-        stem = entries.find(self.stems, rates.stem_left)
-        mass, total = np.split(entries.find(self.heads, (1.0, 1.0, 1.0, 1.0)), 2)
-        found = entries.find(self.pairs, (0.0, 0.0))
-        logs = []
-        for c in (0, 1):
-            backoff = kept[c] + stem[c] * rates.left[c] * shared
-            p = found[c][self.pair] + mass[c][self.head] * backoff[self.word]
-            logs.append(np.log(p / total[c][self.head]))
-        return logs[0] - logs[1]
-
-    def evidence(self, entries: Entries, rates: Rates) -> np.ndarray:
-        """Rows of texts: the mean ratio, that of the most toxic word and of the worst stretch."""
-        out = np.zeros((len(self.lengths), len(EVIDENCE)))
-        ratios = self.ratios(entries, rates)
-        for i in np.flatnonzero(self.lengths):
-            own = ratios[self.starts[i] : self.starts[i] + self.lengths[i]]
-            sums = np.concatenate([np.zeros(1), np.cumsum(own)])
-            size = min(STRETCH, len(own))
-            out[i] = own.mean(), own.max(), (sums[size:] - sums[:-size]).max() / size
-        return out
-
-
-def scored(evidence: np.ndarray, rates: Rates) -> np.ndarray:
-    margin = rates.rule[0] + evidence @ rates.rule[1:]
-    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+            met = self.keys[at] == keys
+            out[met] = self.values[at[met]]
+        return out, met
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    """The table of entries (key and four values), the same in memory if it is small, and rates."""
+    """The table of entries (key, whole, strong, n), what an unknown word is worth, and the rule."""
 
     table: DataFrame
-    entries: Entries | None
-    rates: Rates
+    unknown: float
+    rule: np.ndarray
+    shared: object = None  # broadcast: the entries met most often and the bitmap of all keys
 
 
-def _discounted(table: DataFrame) -> tuple[dict, tuple[float, float], float]:
-    """Totals by class, what the discount leaves by class, and the total of both classes' shares."""
-    over = lambda c: F.sum(F.greatest(F.col(c) - WORD_DISCOUNT, F.lit(0.0)))
-    r = table.agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"),
-        over("toxic").alias("kept_toxic"), over("ordinary").alias("kept_ordinary"),
-        F.count("*").alias("n"),
-    ).first()
-    totals = {c: float((r[c] or 0) + 1) for c in ("toxic", "ordinary")}
-    left = tuple(1 - (r[f"kept_{c}"] or 0.0) / totals[c] for c in totals)
-    return totals, left, (r["toxic"] or 0) + (r["ordinary"] or 0) + 0.1 * (r["n"] + 1)
+def strong(ratio):
+    """What a ratio has above STRONG."""
+    if isinstance(ratio, Column):
+        return F.greatest(ratio - STRONG, F.lit(0.0))
+    return max(ratio - STRONG, 0.0)
 
 
-def _kept(column: str, total: float):
-    return F.greatest(F.col(column) - WORD_DISCOUNT, F.lit(0.0)) / total
+def _left(column: str, discount: float) -> Column:
+    return F.greatest(F.col(column) - discount, F.lit(0.0))
 
 
 def _model(counts: DataFrame) -> KneserNey:
-    """The entries of all words, heads, stems and of the pairs that the discount leaves."""
-    pair = counts.filter(F.col("kind") == PAIR)
-    classes = ("toxic", "ordinary")
-    heads = pair.groupBy("head").agg(
-        *[F.sum(c).alias(c) for c in classes],
-        *[F.count_if(F.col(c) > 0).alias(f"{c}_after") for c in classes],
+    """The entries of all stems, words and pairs of which the discounts leave something."""
+    heads = counts.groupBy("head").agg(F.count("*").alias("after"))
+    ends = staged(
+        counts.groupBy("item").agg(
+            F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("ordinary") > 0).alias("o")
+        )
     )
-    ends = staged(pair.groupBy("item").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in classes]))
-    stems = counts.filter(F.col("kind") == STEM)
-    totals, left, both = _discounted(ends)
-    stem_totals, stem_left, stem_both = _discounted(stems)
+    tokens = counts.agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")).first()
+    kinds = ends.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    both = float(kinds["t"] + kinds["o"])
+    mass = WORD_MASS * both
+    size = {c: kinds[c] + mass for c in "to"}
+    unequal = log(size["o"] / size["t"])  # what the mass is worth in one class and in the other
+
+    stem = F.shiftrightunsigned("item", _REST)
+    stems = ends.groupBy(stem.alias("stem")).agg(F.sum("t").alias("st"), F.sum("o").alias("so"))
+    share = (F.col("st") + F.col("so") + 0.5) / both
+    for c in "to":
+        stems = stems.withColumn(f"g{c}", (_left(f"s{c}", WORD_DISCOUNT) / share + mass) / size[c])
+    stems = stems.withColumn("rs", F.log(F.col("gt") / F.col("go")) + unequal)
+
+    share = (F.col("t") + F.col("o") + 0.1) / both
+    words = ends.withColumn("stem", stem).join(stems, "stem")
+    for c in "to":
+        words = words.withColumn(f"u{c}", (_left(c, WORD_DISCOUNT) + mass * share * F.col(f"g{c}")) / size[c])
+    words = staged(words.withColumn("rw", F.log(F.col("ut") / F.col("uo"))))
+
+    often = counts.filter(F.greatest("toxic", "ordinary") > PAIR_DISCOUNT)
+    pairs = often.join(heads, "head").join(words.select("item", "ut", "uo", "rw"), "item")
+    shared = PAIR_MASS * PAIR_DISCOUNT * F.col("after") / float(tokens["t"] + tokens["o"])
+    of = [
+        _left(c, PAIR_DISCOUNT) / float(tokens[k] or 1) + shared * F.col(u)
+        for c, k, u in (("toxic", "t", "ut"), ("ordinary", "o", "uo"))
+    ]
+    pairs = pairs.withColumn("rp", F.log(of[0] / of[1]))
 
-    def rows(frame: DataFrame, kind: int, first: str, second, *values) -> DataFrame:
-        values = [*values, *[F.lit(0.0)] * (4 - len(values))]
+    def rows(frame: DataFrame, kind: int, first: str, second, ratio: str, back, n) -> DataFrame:
         return frame.select(
             F.lit(kind).cast("byte").alias("kind"), F.col(first).alias("first"), second.alias("second"),
-            *[v.cast("float").alias(f"v{i}") for i, v in enumerate(values)],
-        )
-
-    # a class that has no text with the head says nothing: its backoff has all the mass
-    total = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(1)
-    mass = lambda c: F.when(
-        F.col(c) > 0, F.least(PAIR_DISCOUNT * F.col(f"{c}_after"), F.col(c).cast("double"))
-    ).otherwise(1.0)
-    none, told = F.lit(0).cast("long"), F.col("toxic") + F.col("ordinary") + 0.1
-    table = rows(heads, HEAD, "head", none, *map(mass, classes), *map(total, classes))
-    table = table.unionByName(
-        rows(ends, WORD, "item", none, *[_kept(c, totals[c]) for c in classes], told / both)
-    )
-    stem = [
-        _kept(c, stem_totals[c]) / (told / stem_both) + stem_left[i] for i, c in enumerate(classes)
-    ]
-    table = table.unionByName(rows(stems, STEM, "head", F.col("item"), *stem))
-    often = pair.filter(F.greatest(*classes) > PAIR_DISCOUNT)
-    found = [F.greatest(F.col(c) - PAIR_DISCOUNT, F.lit(0.0)) for c in classes]
-    table = table.unionByName(rows(often, PAIR, "head", F.col("item"), *found))
+            (F.col(ratio) - back).alias("whole"),
+            (strong(F.col(ratio)) - strong(back)).alias("strong"), n.cast("long").alias("n"),
+        )
+
+    none, unknown = F.lit(0).cast("long"), 2 * unequal
+    kept = stems.filter(F.greatest("st", "so") > WORD_DISCOUNT)
+    table = rows(kept, STEM, "stem", none, "rs", F.lit(unknown), F.col("st") + F.col("so"))
+    kept = words.filter(F.greatest("t", "o") > WORD_DISCOUNT)
+    table = table.unionByName(rows(kept, WORD, "item", none, "rw", F.col("rs"), F.col("t") + F.col("o")))
+    n = F.col("toxic") + F.col("ordinary")
+    table = table.unionByName(rows(pairs, PAIR, "head", F.col("item"), "rp", F.col("rw"), n))
 
     def named(batch):
-        kind, first, second = (batch.column(n).to_numpy() for n in ("kind", "first", "second"))
+        kind, first, second = (batch.column(c).to_numpy() for c in ("kind", "first", "second"))
         keys = entry_keys(kind, first.view(np.uint64), second.view(np.uint64))
-        return {"key": keys.view(np.int64)} | {f"v{i}": batch.column(f"v{i}") for i in range(4)}
+        return {"key": keys.view(np.int64)} | {c: batch.column(c) for c in ("whole", "strong", "n")}
+
+    table = staged(per_batch(table, named, "key long, whole double, strong double, n long"))
+    return KneserNey(table, unknown, PRIOR)
+
 
-    table = staged(per_batch(table, named, "key long, v0 float, v1 float, v2 float, v3 float"))
-    entries = None
-    if table.count() <= BROADCAST_ENTRIES:
-        found = table.toArrow()
-        values = np.column_stack([found.column(f"v{i}").to_numpy() for i in range(4)])
-        entries = Entries.of(found.column("key").to_numpy(), values)
-    return KneserNey(table, entries, Rates(left, 0.1 / both, stem_left, PRIOR))
+def most_met(table: DataFrame, most: int) -> DataFrame:
+    """The entries met most often in training, as many whole steps (eighths of a power of two) as fit `most`."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    least, total = None, 0
+    for row in sorted(table.groupBy(step.alias("step")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["step"]
+    return table.filter(F.lit(False) if least is None else step >= least)
+
+
+def _shared(model: KneserNey) -> KneserNey:
+    """The model with its broadcast: at most KNOWN entries and a bitmap of bounded size."""
+    found = most_met(model.table, KNOWN).toArrow()
+    keys = found.column("key").to_numpy().view(np.uint64)
+    values = np.column_stack([found.column(c).to_numpy() for c in EVIDENCE])
+    order = np.argsort(keys)
+    bits = bitmap(model.table.select("key"), lambda batch: batch.column("key").to_numpy().view(np.uint64))
+    known = Entries(keys[order], values[order])
+    return replace(model, shared=model.table.sparkSession.sparkContext.broadcast((known, bits)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
@@ -316,95 +321,112 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> KneserNey | None:
     counted = told.filter(~F.col("calibrates")).select("doc_id", "toxic")
     if sum(known.values()) <= BROADCAST_LABELS:
         counted = F.broadcast(counted)
-    return _calibrated(_model(staged(word_counts(docs, counted))), docs, told)
-
-
-def _evidence(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
-    evidence = "".join(f", {name} double" for name in EVIDENCE)
-    added = "".join(f", {name} int" for name in more)
-    schema = f"doc_id long, score double{evidence}{added}"
-    if model.entries is None:
-        return _joined_evidence(docs, model, more, schema)
-    memory = ToxicWords()
-    shared = docs.sparkSession.sparkContext.broadcast((model.entries, model.rates))
-
-    def weigh(batch):
-        entries, rates = shared.value
-        texts = batch.column("text").to_pylist()
-        found = [Lookup(texts[a:b], memory).evidence(entries, rates) for a, b in pieces(texts)]
-        found = np.concatenate([np.zeros((0, len(EVIDENCE))), *found])
-        out = {name: batch.column(name) for name in ("doc_id", *more)}
-        out |= {name: found[:, i] for i, name in enumerate(EVIDENCE)}
-        return out | {"score": scored(found, rates)}
-
-    return per_batch(docs, weigh, schema)
+    counts = staged(word_counts(docs, counted).sortWithinPartitions("head"))
+    if counts.isEmpty():
+        return None
+    return _calibrated(_shared(_model(counts)), docs, told)
 
 
-def _joined_evidence(docs: DataFrame, model: KneserNey, more: tuple, schema: str) -> DataFrame:
-    """By shuffle: pieces of the corpus meet the entries of their distinct keys.
+def _text_sums(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
+    """For each row its words, what known entries add up to, and the keys left for the join with their counts.
 
-    A piece is one row with its texts and keys, stored once, so that its name stays the same. A key
-    is in as many rows as there are pieces with it, not documents.
+    `row` numbers the rows that have such keys; it holds once the result is stored.
     """
-    memory, rates = ToxicWords(), model.rates
-
-    def cut(batch):
-        texts = batch.column("text").to_pylist()
-        columns = {name: batch.column(name).to_pylist() for name in ("doc_id", *more)}
-        out = {name: [] for name in ("piece", "texts", "keys", *columns)}
-        for a, b in pieces(texts):
-            out["piece"].append(uuid.uuid4().hex)
-            out["texts"].append(texts[a:b])
-            out["keys"].append(Lookup(texts[a:b], memory).keys().view(np.int64))
-            for name, column in columns.items():
-                out[name].append(column[a:b])
-        return out
-
-    arrays = "".join(f", {name} array<int>" for name in more)
-    cuts = "piece string, texts array<binary>, keys array<long>, doc_id array<long>" + arrays
-    stored = staged(per_batch(docs.select("doc_id", "text", *more), cut, cuts))
-    values = [f"v{i}" for i in range(4)]
-    met = stored.select("piece", F.explode("keys").alias("key")).join(model.table, "key")
-    met = met.groupBy("piece").agg(F.collect_list(F.struct("key", *values)).alias("found"))
-
-    def weigh(batch):
-        out = {part.split()[0]: [] for part in schema.split(", ")}
-        for i, texts in enumerate(batch.column("texts").to_pylist()):
-            found = batch.column("found")[i].values
-            keys = np.zeros(0, np.int64) if found is None else found.field("key").to_numpy()
-            table = np.zeros((0, 4)) if found is None else np.column_stack(
-                [found.field(v).to_numpy() for v in values]
-            )
-            rows = Lookup(texts, memory).evidence(Entries.of(keys, table), rates)
-            for name in ("doc_id", *more):
-                out[name] += batch.column(name)[i].as_py()
-            for k, name in enumerate(EVIDENCE):
-                out[name] += rows[:, k].tolist()
-            out["score"] += scored(rows, rates).tolist()
-        return out
-
-    whole = stored.drop("keys").join(met, "piece", "left")
-    return per_batch(whole, weigh, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    carried = "".join(f", {c} {kinds[c]}" for c in more)
+    schema = f"doc_id long{carried}, words long, whole double, strong double, row long, keys array<long>, times array<int>"
+    shared = model.shared
+
+    def sums(texts: list[bytes], memory: ToxicWords, row: int) -> list[pa.Array]:
+        entries, bits = shared.value
+        words, lengths = numbers_of(texts, memory)
+        text = np.repeat(np.arange(len(texts)), lengths)
+        before = words_before(words, np.cumsum(lengths) - lengths)
+        whole, above = np.zeros(len(texts)), np.zeros(len(texts))
+        left_text, left_key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for keys in (
+            entry_keys(STEM, words >> np.uint64(_REST)), entry_keys(WORD, words), entry_keys(PAIR, before, words),
+        ):
+            distinct, own = np.unique(keys, return_inverse=True)
+            values, met = entries.find(distinct)
+            whole += np.bincount(text, values[own, 0], len(texts))
+            above += np.bincount(text, values[own, 1], len(texts))
+            asked = (~met & bits.has(distinct))[own]
+            left_text.append(text[asked])
+            left_key.append(keys[asked])
+        at, key = np.concatenate(left_text), np.concatenate(left_key)
+        order = np.lexsort((key, at))
+        at, key = at[order], key[order]
+        border = np.ones(len(at), bool)
+        border[1:] = (at[1:] != at[:-1]) | (key[1:] != key[:-1])
+        first = np.flatnonzero(border)
+        times = np.diff(np.append(first, len(at)))
+        offsets = pa.array(np.searchsorted(at[first], np.arange(len(texts) + 1)), pa.int32())
+        asked = np.bincount(at[first], minlength=len(texts)) > 0
+        rows = pa.array(row + np.arange(len(texts)), pa.int64(), mask=~asked)
+        keys = pa.ListArray.from_arrays(offsets, pa.array(key[first].view(np.int64)))
+        return [pa.array(lengths), pa.array(whole), pa.array(above), rows, keys,
+                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, row = ToxicWords(), TaskContext.get().partitionId() << 40
+        names = ["doc_id", *more, "words", "whole", "strong", "row", "keys", "times"]
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in pieces(texts):
+                told = [batch.column(c).slice(a, b - a) for c in ("doc_id", *more)]
+                yield pa.RecordBatch.from_arrays([*told, *sums(texts[a:b], memory, row)], names=names)
+                row += b - a
+
+    return docs.select("doc_id", "text", *more).mapInArrow(run, schema)
+
+
+def evidence(docs: DataFrame, model: KneserNey, *more: str) -> DataFrame:
+    """doc_id, the columns of `more`, and the two kinds of evidence of each row, per 100 words."""
+    sums = staged(_text_sums(docs, model, *more))
+    asked = sums.filter("row IS NOT NULL")
+    each = asked.select("row", F.explode(F.arrays_zip("keys", "times")).alias("one")).select("row", "one.*")
+    met = each.join(model.table.select(F.col("key").alias("keys"), *EVIDENCE), "keys")
+    rest = met.groupBy("row").agg(*[F.sum(F.col(c) * F.col("times")).alias(f"{c}_rest") for c in EVIDENCE])
+    joined = asked.join(rest, "row", "left")
+    columns = ("doc_id", *more, "words")
+    whole = joined.select(
+        *columns, *[(F.col(c) + F.coalesce(f"{c}_rest", F.lit(0.0))).alias(c) for c in EVIDENCE]
+    ).unionByName(sums.filter("row IS NULL").select(*columns, *EVIDENCE))
+    of = {"whole": F.lit(model.unknown), "strong": F.lit(strong(model.unknown))}
+    mean = lambda c: 100 * (F.try_divide(F.col(c), F.col("words")) + of[c])
+    return whole.select("doc_id", *more, *[F.coalesce(mean(c), F.lit(0.0)).alias(c) for c in EVIDENCE])
 
 
 def _calibrated(model: KneserNey, docs: DataFrame, told: DataFrame) -> KneserNey:
-    """The model with a rule fitted on at most CALIBRATION_ROWS documents that it has not counted."""
-    chosen = told.filter("calibrates").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    chosen = F.broadcast(chosen.limit(CALIBRATION_ROWS).select("doc_id", "toxic"))
-    texts = as_texts(docs).join(chosen, "doc_id")
-    found = _evidence(texts, model, "toxic").groupBy("doc_id").agg(
+    """The model with a rule fitted on the documents that it has not counted, at most CALIBRATION_ROWS."""
+    chosen = F.broadcast(told.filter("calibrates").select("doc_id", "toxic"))
+    found = evidence(as_texts(docs).join(chosen, "doc_id"), model, "toxic").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"), *[F.max(name).alias(name) for name in EVIDENCE]
     )
     table = found.orderBy("doc_id").toPandas()
     x = np.column_stack([np.ones(len(table)), table[list(EVIDENCE)].to_numpy(np.float64)])
     y = table["toxic"].to_numpy(np.float64)
+    return replace(model, rule=fitted_rule(x, y))
+
+
+def fitted_rule(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic rule with the least penalised loss, by Newton steps that are halved until the loss falls."""
+
+    def loss(rule):
+        margin = x @ rule
+        return np.sum(np.logaddexp(0, margin) - y * margin) + RESIST / 2 * np.sum((rule - PRIOR) ** 2)
+
     rule = PRIOR.copy()
-    for _ in range(40):  # Newton steps of the penalised logistic rule
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ rule, -30, 30)))
         slope = x.T @ (p - y) + RESIST * (rule - PRIOR)
         curve = (x * (p * (1 - p))[:, None]).T @ x + RESIST * np.eye(len(PRIOR))
-        rule = rule - np.linalg.solve(curve, slope)
-    return replace(model, rates=replace(model.rates, rule=rule))
+        step = np.linalg.solve(curve, slope)
+        while loss(rule - step) > loss(rule) and np.abs(step).max() > 1e-12:
+            step = step / 2
+        rule = rule - step
+    return rule
 
 
 def score_toxicity(docs: DataFrame, model: KneserNey | None) -> DataFrame:
@@ -412,7 +434,10 @@ def score_toxicity(docs: DataFrame, model: KneserNey | None) -> DataFrame:
     if model is None:
         found = as_texts(docs).select("doc_id", F.lit(0.0).alias("score"))
     else:
-        found = _evidence(as_texts(docs), model)
+        bias, *weights = (float(w) for w in model.rule)
+        margin = sum((F.col(c) * w for c, w in zip(EVIDENCE, weights)), F.lit(bias))
+        margin = F.least(F.greatest(margin, F.lit(-30.0)), F.lit(30.0))
+        found = evidence(as_texts(docs), model).select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"))
     return found.select(
         "doc_id",
         held_out().alias("held_out"),
