@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.cases import ROWS, empty, frame
-from wardlens.llm import collocations, merkle, token_counts
+from wardlens.llm import bitmaps, collocations, merkle, token_counts
 from wardlens.llm.queries import LLM_QUERIES, tokenizer_file
 
 DATA = "/root/testdata/sf0.001"
@@ -217,7 +217,7 @@ def test_prefix_totals_are_frequencies(spark):
 def test_a_full_bitmap_loses_no_phrase(spark, monkeypatch):
     rows = [("en", " ".join(f"w{pick % 97} w{pick % 89}" for pick in range(20_000)))]
     docs = spark.createDataFrame(rows, "lang string, text string")
-    every = collocations.Bitmap(64 * 1024, {k: b"\xff" * collocations.PART_BYTES for k in range(1)})
+    every = bitmaps.Bitmap(bitmaps.LEAST_BITS, {0: b"\xff" * bitmaps.PART_BYTES})
     expected = sorted(map(tuple, collocations.collocations(docs, 50).collect()))
-    monkeypatch.setattr(collocations, "bitmap", lambda phrases, size: every)
+    monkeypatch.setattr(collocations, "kept_phrases", lambda phrases, size: every)
     assert sorted(map(tuple, collocations.collocations(docs, 50).collect())) == expected

@@ -8,8 +8,7 @@ most frequent extension, by which a phrase may be subsumed).
 
 Stripes grow by one word a pass. A phrase that occurs `least` times has parts that do, so a pass counts only
 what extends phrases kept so far, on both sides; what remains of a prefix's total is kept under the empty word.
-The phrases kept are told to the tasks by a bitmap of their hashes, `MOST_BITS` bits at most whatever the
-corpus: a chance hit costs a count that is dropped afterwards, never a phrase. The stripe of a frequent prefix
+The phrases kept are told to the tasks by a bitmap of their hashes, bounded whatever the corpus: a chance hit costs a count that is dropped afterwards, never a phrase. The stripe of a frequent prefix
 is cut into segments by the next word's hash, so no task holds the whole of it.
 
 Texts are lower-cased in A-Z, cut at `.,;:!?` and line ends, and split at spaces and tabs; a null text is
@@ -25,24 +24,27 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlens.llm.bitmaps import Bitmap, bitmap
 from wardlens.llm.common import WordNumbers, grams, mixed, small_batches, staged
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 #: Words that a task counts together.
 CHUNK_WORDS = 1_500_000
+#: Entries of stripes that a task merges together.
+MERGED_ENTRIES = 300_000
 #: Parts of a stripe, by the number of words in the prefix.
 SEGMENTS = (256, 16, 4, 1, 1)
-#: Bits for a kept phrase, and the least and most bits of a bitmap; bytes of it that travel together.
-BITS_EACH, LEAST_BITS, MOST_BITS, PART_BYTES = 16, 1 << 16, 1 << 27, 1 << 13
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS)
 )
+_NOTHING = -2
 _STRIPE = "lang string, prefix string, segment int, words array<string>, counts array<long>"
 
 
@@ -55,49 +57,16 @@ def language(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
 
 
-def slots(hashes: np.ndarray, lang: np.uint64, bits: int) -> np.ndarray:
-    return mixed(hashes ^ lang) & np.uint64(bits - 1)
+def kept_phrases(phrases: DataFrame, size: int) -> Bitmap:
+    """The bitmap of phrases (lang, phrase) of `size` words."""
 
+    def hashes(batch: pa.RecordBatch) -> np.ndarray:
+        numbers = WordNumbers()
+        told = zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase")))
+        found = [grams(numbers.of(phrase.encode().split(b" ")), size)[0] ^ language(lang) for lang, phrase in told]
+        return np.array(found, np.uint64)
 
-class Bitmap:
-    """Hashes of phrases of one length; may say yes by chance, never no to a phrase that is in."""
-
-    def __init__(self, bits: int, parts: dict[int, bytes]):
-        self.bits = bits
-        self.bytes = np.zeros(bits // 8, np.uint8)
-        for part, told in parts.items():
-            self.bytes[part * PART_BYTES : (part + 1) * PART_BYTES] = np.frombuffer(told, np.uint8)
-
-    def has(self, hashes: np.ndarray, lang: np.uint64) -> np.ndarray:
-        at = slots(hashes, lang, self.bits)
-        return (self.bytes[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap(phrases: DataFrame, size: int) -> Bitmap:
-    """The bitmap of phrases (lang, phrase) of `size` words, made in tasks and at most MOST_BITS long."""
-    bits = LEAST_BITS
-    wanted = phrases.count() * BITS_EACH
-    while bits < min(wanted, MOST_BITS):
-        bits *= 2
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, marks = WordNumbers(), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for lang, phrase in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase"))):
-                at = int(slots(grams(numbers.of(phrase.encode().split(b" ")), size), language(lang), bits)[0])
-                marks[at >> 3] |= 1 << (at & 7)
-        rows = marks.reshape(-1, PART_BYTES)
-        some = np.flatnonzero(rows.any(axis=1))
-        parts = [pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())]
-        yield pa.RecordBatch.from_arrays(parts, names=["part", "bytes"])
-
-    def joined(table: pa.Table) -> pa.Table:
-        told = reduce(np.bitwise_or, (np.frombuffer(b, np.uint8) for b in table.column("bytes").to_pylist()))
-        return pa.table({"part": table.column("part")[:1], "bytes": pa.array([told.tobytes()], pa.binary())})
-
-    marked = phrases.select("lang", "phrase").mapInArrow(mark, "part int, bytes binary")
-    whole = marked.groupBy("part").applyInArrow(joined, "part int, bytes binary").collect()
-    return Bitmap(bits, {row["part"]: bytes(row["bytes"]) for row in whole})
+    return bitmap(phrases.select("lang", "phrase"), hashes)
 
 
 def chunk_stripes(ids: np.ndarray, hashes: np.ndarray, size: int, kept: Bitmap | None, lang: str):
@@ -117,7 +86,7 @@ def chunk_stripes(ids: np.ndarray, hashes: np.ndarray, size: int, kept: Bitmap |
             return (np.zeros(0, np.int64),) * 4
         ends = np.concatenate([[0], np.cumsum(~words)])
         whole = ends[span:] == ends[:-span]  # no border within span words
-        hit = whole & kept.has(grams(hashes, span), language(lang))
+        hit = whole & kept.has(grams(hashes, span) ^ language(lang))
         at = np.flatnonzero(hit)
         more = np.zeros(len(hit), bool)
         more[:-1] = hit[:-1] & hit[1:]  # no border among size words
@@ -157,21 +126,26 @@ def _stripe_batch(found, ids, known: list[bytes], numbers: np.ndarray, size: int
     return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "segment", "words", "counts"])
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they are met; -1 for a border, _NOTHING between two spaces."""
+
+    def __init__(self):
+        super().__init__({b"\n": -1, b"": _NOTHING})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) - 2
+        return number
+
+
 def stripes(docs: DataFrame, size: int, kept) -> DataFrame:
     """The stripes of prefixes of size - 1 words, one set per chunk; `kept` broadcasts the bitmap of prefixes."""
 
-    def counted(texts: dict[str, list[list[bytes]]]) -> Iterator[pa.RecordBatch]:
-        for lang, lists in texts.items():
-            numbers: dict[bytes, int] = {}
-            ids = []
-            for words in lists:
-                for word in words:
-                    if word == b"\n":
-                        ids.append(-1)
-                    elif word:
-                        ids.append(numbers.setdefault(word, len(numbers)))
-                ids.append(-1)
-            ids = np.array(ids, np.int64)
+    def counted(texts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for lang, words in texts.items():
+            numbers = _Numbers()
+            ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            ids = ids[ids != _NOTHING]
+            del numbers[b"\n"], numbers[b""]
             known = list(numbers)
             digests = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             digests = np.append(digests, np.uint64(0))  # of borders, by index -1
@@ -185,7 +159,8 @@ def stripes(docs: DataFrame, size: int, kept) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words = tokens(text)
-                texts.setdefault(lang, []).append(words)
+                texts.setdefault(lang, []).extend(words)
+                texts[lang].append(b"\n")
                 n += len(words)
                 if n >= CHUNK_WORDS:
                     yield from counted(texts)
@@ -195,38 +170,81 @@ def stripes(docs: DataFrame, size: int, kept) -> DataFrame:
     return docs.mapInArrow(run, _STRIPE)
 
 
+def _added(table: pa.Table) -> list[pa.Table]:
+    """The rows of sorted stripes with those of one key merged: all but the last key's, and the last."""
+    columns = {c: table.column(c).combine_chunks() for c in table.column_names}
+    n = table.num_rows
+    if not n:
+        return [table]
+    border = np.zeros(n, bool)
+    border[0] = True
+    for c in ("lang", "prefix", "segment"):
+        border[1:] |= pc.not_equal(columns[c][1:], columns[c][:-1]).to_numpy(zero_copy_only=False)
+    key = np.cumsum(border) - 1
+    lengths = columns["words"].value_lengths().to_numpy()
+    flat = pa.table(
+        {"key": np.repeat(key, lengths), "word": columns["words"].flatten(), "count": columns["counts"].flatten()}
+    )
+    sums = flat.group_by(["key", "word"]).aggregate([("count", "sum")]).sort_by("key")
+    of = sums.column("key").to_numpy()
+    offsets = pa.array(np.searchsorted(of, np.arange(key[-1] + 2)), pa.int32())
+    words = sums.column("word").combine_chunks()
+    counts = sums.column("count_sum").combine_chunks()
+    first = pa.array(np.flatnonzero(border))
+    whole = pa.table(
+        {c: columns[c].take(first) for c in ("lang", "prefix", "segment")}
+        | {
+            "words": pa.ListArray.from_arrays(offsets, words),
+            "counts": pa.ListArray.from_arrays(offsets, counts),
+        }
+    )
+    return [whole.slice(0, len(first) - 1), whole.slice(len(first) - 1)] if len(first) > 1 else [whole]
+
+
+def _closed(tables: list[pa.Table], least: int) -> Iterator[pa.RecordBatch]:
+    """Whole stripes: the total of each, and its words that occur often enough."""
+    for table in tables:
+        if not table.num_rows:
+            continue
+        words, counts = (table.column(c).combine_chunks() for c in ("words", "counts"))
+        of = np.repeat(np.arange(table.num_rows), words.value_lengths().to_numpy())
+        words, counts = words.flatten(), counts.flatten()
+        n = counts.to_numpy()
+        total = np.zeros(table.num_rows, np.int64)
+        np.add.at(total, of, n)
+        often = (n >= least) & pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        at = pa.array(np.flatnonzero(often))
+        offsets = pa.array(np.searchsorted(of[often], np.arange(table.num_rows + 1)), pa.int32())
+        columns = [
+            *(table.column(c).combine_chunks() for c in ("lang", "prefix")),
+            pa.array(total),
+            pa.ListArray.from_arrays(offsets, words.take(at)),
+            pa.ListArray.from_arrays(offsets, counts.take(at)),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "total", "words", "counts"])
+
+
 def merged(rows: DataFrame, least: int) -> DataFrame:
     """One stripe per prefix and segment: its total, and the words that occur `least` times after the prefix.
 
-    Stripes are merged elementwise as they pass, in the order of their keys; a task holds one at a time.
+    Stripes are merged elementwise as they pass, in the order of their keys; a task holds those of some
+    MERGED_ENTRIES entries, and no more of one key than its merged stripe.
     """
     keys = ["lang", "prefix", "segment"]
-
-    def close(key, stripe: dict[str, int], out: dict[str, list]) -> None:
-        often = [(w, n) for w, n in stripe.items() if w and n >= least]
-        for name, value in zip(out, (key[0], key[1], sum(stripe.values()), [w for w, _ in often], [n for _, n in often])):
-            out[name].append(value)
-
     schema = "lang string, prefix string, total long, words array<string>, counts array<long>"
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, stripe = None, {}
+        held, entries = [], 0
         for batch in batches:
-            out = {"lang": [], "prefix": [], "total": [], "words": [], "counts": []}
-            for *key, words, counts in zip(*(batch.column(c).to_pylist() for c in (*keys, "words", "counts"))):
-                if key != last:
-                    if last is not None:
-                        close(last, stripe, out)
-                    last, stripe = key, dict(zip(words, counts))
-                    continue
-                for word, n in zip(words, counts):
-                    stripe[word] = stripe.get(word, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-        if last is not None:
-            out = {"lang": [], "prefix": [], "total": [], "words": [], "counts": []}
-            close(last, stripe, out)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+            held.append(batch)
+            entries += len(batch.column("words").values)
+            if entries >= MERGED_ENTRIES:
+                *done, last = _added(pa.Table.from_batches(held).combine_chunks())
+                if done:
+                    yield from _closed(done, least)
+                held, entries = last.to_batches(), 0  # its prefix may go on
+        if held:
+            yield from _closed(_added(pa.Table.from_batches(held).combine_chunks()), least)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -241,7 +259,7 @@ def phrase_stripes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST)
     found, kept = [], None
     for size in range(1, longest + 1):
         if size > 1:
-            kept = spark.sparkContext.broadcast(bitmap(entries(found[-1]), size - 1))
+            kept = spark.sparkContext.broadcast(kept_phrases(entries(found[-1]), size - 1))
         found.append(staged(merged(stripes(texts, size, kept), least)))
     return found
 
