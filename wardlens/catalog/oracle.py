@@ -15,6 +15,8 @@ from wardlens.catalog.tables import (
     REPORT_DATE,
 )
 
+_LINE_ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
 _WARD = """CASE {k} WHEN 0 THEN 'UMI' WHEN 1 THEN 'REA' WHEN 2 THEN 'REQ' WHEN 3 THEN 'UCP'
   WHEN 4 THEN 'UCN' ELSE n_name END"""
 
@@ -810,10 +812,9 @@ FROM rec""",
     "q61_ward_order": _with(
         _BASE,
         """
-SELECT planta AS "plantaActual", area AS "areaHospital", camas AS "nCamas",
-  CAST((SELECT count(*) FROM ward b WHERE (b.area, -coalesce(b.camas, -1), b.planta)
-    <= (a.area, -coalesce(a.camas, -1), a.planta)) AS INT) AS posicion
-FROM ward a""",
+SELECT id AS "GlobalRecordId", planta AS "plantaActual", cama AS "camaActual",
+  row_number() OVER (PARTITION BY planta ORDER BY cama NULLS LAST, id) AS posicion
+FROM active""",
     ),
     "q62_loaded_snapshot": _with(
         _BASE,
@@ -822,4 +823,25 @@ SELECT id AS "GlobalRecordId", recstatus AS "RECSTATUS", CAST(guardado AS DATE)
   planta AS "plantaActual", cama AS "camaActual"
 FROM rec""",
     ),
+    "q63_record_numbers": _with(
+        _BASE,
+        """
+SELECT id AS "GlobalRecordId", planta AS "plantaActual", cama AS "camaActual",
+  row_number() OVER (ORDER BY planta NULLS LAST, cama NULLS LAST, id) AS "orderId"
+FROM valid""",
+    ),
+    "q64_sequence_neighbours": f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  {", ".join(f"lag(l_linestatus, {n}) OVER w AS l_linestatus_prev{n}" for n in (3, 2, 1))},
+  {", ".join(f"lead(l_linestatus, {n}) OVER w AS l_linestatus_next{n}" for n in (1, 2, 3))}
+FROM lineitem WINDOW w AS (ORDER BY {_LINE_ORDER})""",
+    "q65_sequence_fill": f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  last_value(CASE WHEN l_orderkey % 5 = 0 THEN l_quantity END IGNORE NULLS) OVER (
+    ORDER BY {_LINE_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cantidad
+FROM lineitem""",
+    "q66_sequence_average": f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  round(CASE WHEN count(*) OVER w = 14 THEN avg(l_quantity) OVER w END, 6) AS media_movil
+FROM lineitem WINDOW w AS (ORDER BY {_LINE_ORDER} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,12 @@ from wardlens.functions import (
 from wardlens.operators import keys
 from wardlens.operators import slots as s
 from wardlens.operators.columns import across, starting_with
+from wardlens.operators.ordered import (
+    fill_down_sequence,
+    moving_average_sequence,
+    neighbours_in_sequence,
+    numbered,
+)
 from wardlens.operators.reshape import cross_table, long_to_rows
 from wardlens.operators.series import fill_down, moving_average, neighbours
 from wardlens.plans import (
@@ -422,19 +429,57 @@ def text_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ward_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each ward in print order: area, most beds first, unknown bed counts last."""
-    order = ["areaHospital", F.desc_nulls_last("nCamas"), "plantaActual"]
-    return keys.number_rows(t.wards(spark, sf_dir), order, "posicion")
+    """Place of each active record within its ward, by bed; the missing ward is one, missing beds come last."""
+    active = _active(spark, sf_dir, "plantaActual", "camaActual").select(KEY, "plantaActual", "camaActual")
+    return numbered(active, [F.asc_nulls_last("camaActual"), KEY], "posicion", ["plantaActual"])
+
+
+def record_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid records numbered by ward, bed and key."""
+    rows = _valid(spark, sf_dir, ("plantaActual", "camaActual"), "^$").select(KEY, "plantaActual", "camaActual")
+    return numbered(rows, [F.asc_nulls_last("plantaActual"), F.asc_nulls_last("camaActual"), KEY])
+
+
+LINE_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return t.read(spark, sf_dir, "lineitem").select(*LINE_ORDER, *columns)
+
+
+def _line_rows(df: DataFrame, *columns: str) -> DataFrame:
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *columns)
+
+
+def sequence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses one to three lines before and after each line, over all lines by ship date."""
+    lines = _lines(spark, sf_dir, "l_linestatus")
+    near = neighbours_in_sequence(lines, LINE_ORDER, "l_linestatus", [-3, -2, -1, 1, 2, 3])
+    return _line_rows(near, *[c for c in near.columns if c.startswith("l_linestatus_")])
+
+
+def sequence_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last known quantity of all lines by ship date; lines of every fifth order tell theirs."""
+    told = F.when(F.col("l_orderkey") % 5 == 0, F.col("l_quantity"))
+    lines = _lines(spark, sf_dir, told.alias("cantidad"))
+    return _line_rows(fill_down_sequence(lines, LINE_ORDER, "cantidad"), "cantidad")
+
+
+def sequence_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean quantity of the last 14 lines, over all lines by ship date as one series."""
+    lines = _lines(spark, sf_dir, "l_quantity")
+    return _rounded(_line_rows(moving_average_sequence(lines, LINE_ORDER, "l_quantity", 14), "media_movil"))
 
 
 def loaded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form found by table name, read and joined; its pages are views while it is loaded."""
-    views = [f"hoja_cargada_{i}" for i in range(len(t.PAGES))]
+    prefix = f"hoja_{uuid.uuid4().hex}_"
+    views = [f"{prefix}{i}" for i in range(len(t.PAGES))]
     for view, page in zip(views, t.pages(spark, sf_dir).values()):
         page.createOrReplaceTempView(view)
     try:
         wanted = ["RECSTATUS", "LastSaveTime", "plantaActual", "camaActual"]
-        return _saved_as_date(load_snapshot(spark, "hoja_cargada_", columns=wanted))
+        return _saved_as_date(load_snapshot(spark, prefix, columns=wanted))
     finally:
         for view in views:
             spark.catalog.dropTempView(view)
@@ -503,4 +548,8 @@ QUERIES: dict[str, Query] = {
     "q60_text_stamps": text_stamps,
     "q61_ward_order": ward_order,
     "q62_loaded_snapshot": loaded_snapshot,
+    "q63_record_numbers": record_numbers,
+    "q64_sequence_neighbours": sequence_neighbours,
+    "q65_sequence_fill": sequence_fill,
+    "q66_sequence_average": sequence_average,
 }

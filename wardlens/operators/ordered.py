@@ -65,6 +65,8 @@ def numbered(
 
 def _blocks(df: DataFrame, order: Sequence[str | Column], rows: int) -> tuple[DataFrame, str, str]:
     """The numbered rows and the names of the columns with their place (from 0) and their block."""
+    if rows < 2:
+        raise ValueError("a block holds two rows at least")
     place, block = free_name(df, "_lugar"), free_name(df, "_bloque")
     placed = numbered(df, order, place).withColumn(place, F.col(place) - 1)
     return placed.withColumn(block, F.floor(F.col(place) / rows)), place, block

@@ -32,7 +32,6 @@ from wardlens.functions import (
     title_case,
     whole_days,
 )
-from wardlens.operators.keys import first_per_key
 from wardlens.operators.reshape import (
     add_row_total,
     add_total_row,
@@ -154,8 +153,11 @@ def resistant_classes(resistant: DataFrame) -> DataFrame:
 
 
 def patients_per_ward(resistant: DataFrame) -> DataFrame:
-    """Patients per ward, each counted once in the ward of their first row."""
-    firsts = first_per_key(resistant.select(PATIENT, WARD, KEY, "slot"), [PATIENT], [KEY, "slot"])
+    """Patients per ward, each counted once in the ward of their first row.
+
+    The first row's ward is a plain minimum that combines before the shuffle, so rows are not sorted.
+    """
+    firsts = resistant.groupBy(PATIENT).agg(F.min_by(WARD, F.struct(KEY, "slot")).alias(WARD))
     return firsts.groupBy(WARD).agg(F.count("*").alias("n"))
 
 
