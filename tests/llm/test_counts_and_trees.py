@@ -219,5 +219,5 @@ def test_a_full_bitmap_loses_no_phrase(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "lang string, text string")
     every = bitmaps.Bitmap(bitmaps.LEAST_BITS, {0: b"\xff" * bitmaps.PART_BYTES})
     expected = sorted(map(tuple, collocations.collocations(docs, 50).collect()))
-    monkeypatch.setattr(collocations, "kept_phrases", lambda phrases, size: every)
+    monkeypatch.setattr(collocations, "kept_phrases", lambda phrases: every)
     assert sorted(map(tuple, collocations.collocations(docs, 50).collect())) == expected

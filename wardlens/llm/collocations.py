@@ -8,8 +8,8 @@ most frequent extension, by which a phrase may be subsumed).
 
 Stripes grow by one word a pass. A phrase that occurs `least` times has parts that do, so a pass counts only
 what extends phrases kept so far, on both sides; what remains of a prefix's total is kept under the empty word.
-The phrases kept are told to the tasks by a bitmap of their hashes, bounded whatever the corpus: a chance hit costs a count that is dropped afterwards, never a phrase. The stripe of a frequent prefix
-is cut into segments by the next word's hash, so no task holds the whole of it.
+The phrases kept are told to the tasks by a bitmap of their hashes, bounded whatever the corpus: a chance hit costs a count that is dropped afterwards, never a phrase. The stripe of a hot prefix (there are
+at most `HOT_SHARE` of them) is cut into segments by the next word's hash, so no task holds the whole of it.
 
 Texts are lower-cased in A-Z, cut at `.,;:!?` and line ends, and split at spaces and tabs; a null text is
 empty, a null language is `und`. Empty texts give nothing; a very long text is counted in one piece of its
@@ -34,11 +34,11 @@ from wardlens.llm.common import WordNumbers, grams, mixed, small_batches, staged
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 #: Words that a task counts together.
-CHUNK_WORDS = 1_500_000
+CHUNK_WORDS = 2_000_000
 #: Entries of stripes that a task merges together.
 MERGED_ENTRIES = 300_000
-#: Parts of a stripe, by the number of words in the prefix.
-SEGMENTS = (256, 16, 4, 1, 1)
+#: Parts of the stripe of the empty prefix and of those of hot prefixes, which are one in HOT_SHARE of all words.
+SEGMENTS, HOT_SHARE = 128, 10_000
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(
@@ -57,36 +57,49 @@ def language(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=1))
 
 
-def kept_phrases(phrases: DataFrame, size: int) -> Bitmap:
-    """The bitmap of phrases (lang, phrase) of `size` words."""
+def phrase_hash(lang: str, phrase: str) -> np.uint64:
+    words = phrase.encode().split(b" ")
+    return grams(WordNumbers().of(words), len(words))[0] ^ language(lang)
+
+
+def kept_phrases(phrases: DataFrame) -> Bitmap:
+    """The bitmap of phrases (lang, phrase)."""
 
     def hashes(batch: pa.RecordBatch) -> np.ndarray:
-        numbers = WordNumbers()
         told = zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase")))
-        found = [grams(numbers.of(phrase.encode().split(b" ")), size)[0] ^ language(lang) for lang, phrase in told]
-        return np.array(found, np.uint64)
+        return np.array([phrase_hash(lang, phrase) for lang, phrase in told], np.uint64)
 
     return bitmap(phrases.select("lang", "phrase"), hashes)
 
 
-def chunk_stripes(ids: np.ndarray, hashes: np.ndarray, size: int, kept: Bitmap | None, lang: str):
+def hot_phrases(phrases: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the phrases that are one in HOT_SHARE of all words or more: at most HOT_SHARE of them."""
+    hot = phrases.filter(F.col("a") * HOT_SHARE >= words).select("lang", "phrase").collect()
+    return np.array([phrase_hash(r.lang, r.phrase) for r in hot], np.uint64)
+
+
+def chunk_stripes(ids: np.ndarray, hashes: np.ndarray, size: int, told, lang: str):
     """Stripes of one chunk: positions that stand for each entry, its next word and count, and prefix group.
 
-    `ids` are word numbers, -1 between pieces; `hashes` those of the words. Returns (start, next, count, group)
-    sorted by group; the next word is -1 for what remains of the prefix's total.
+    `ids` are word numbers, -1 between pieces; `hashes` those of the words; `told` the bitmap of prefixes and the
+    hot ones. Returns (start, next, count, group, hot) sorted by group; the next word is -1 for what remains of
+    the prefix's total.
     """
     n = len(ids)
     words = ids >= 0
     if size == 1:
         at = np.flatnonzero(words)
         following, code = ids[at], np.zeros(len(at), np.int64)
+        prefixes, hot = np.zeros(n, np.uint64), np.zeros(1, np.uint64)
     else:
         span = size - 1
         if n < span:
-            return (np.zeros(0, np.int64),) * 4
+            return (np.zeros(0, np.int64),) * 5
         ends = np.concatenate([[0], np.cumsum(~words)])
         whole = ends[span:] == ends[:-span]  # no border within span words
-        hit = whole & kept.has(grams(hashes, span) ^ language(lang))
+        kept, hot = told
+        prefixes = grams(hashes, span) ^ language(lang)
+        hit = whole & kept.has(prefixes)
         at = np.flatnonzero(hit)
         more = np.zeros(len(hit), bool)
         more[:-1] = hit[:-1] & hit[1:]  # no border among size words
@@ -95,16 +108,15 @@ def chunk_stripes(ids: np.ndarray, hashes: np.ndarray, size: int, kept: Bitmap |
         for k in range(1, span):
             code = np.unique(code << 32 | ids[at + k], return_inverse=True)[1]
     pairs, first, counts = np.unique(code << 32 | following + 1, return_index=True, return_counts=True)
-    return at[first], (pairs & 0xFFFFFFFF) - 1, counts, pairs >> 32
+    start = at[first]
+    return start, (pairs & 0xFFFFFFFF) - 1, counts, pairs >> 32, np.isin(prefixes[start], hot)
 
 
 def _stripe_batch(found, ids, known: list[bytes], numbers: np.ndarray, size: int, lang: str) -> pa.RecordBatch:
-    """The entries of a chunk as rows of stripes, cut into segments."""
-    start, following, counts, group = found
-    parts = SEGMENTS[size - 1]
-    nothing = following < 0
-    segment = (mixed(numbers[following]) % np.uint64(parts)).astype(np.int64)
-    segment[nothing] = 0
+    """The entries of a chunk as rows of stripes, those of hot prefixes cut into segments."""
+    start, following, counts, group, hot = found
+    segment = (mixed(numbers[following]) % np.uint64(SEGMENTS)).astype(np.int64)
+    segment[~hot | (following < 0)] = 0
     order = np.lexsort((segment, group))
     start, following, counts, group, segment = (x[order] for x in (start, following, counts, group, segment))
     border = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (segment[1:] != segment[:-1])]))
@@ -137,8 +149,11 @@ class _Numbers(dict):
         return number
 
 
-def stripes(docs: DataFrame, size: int, kept) -> DataFrame:
-    """The stripes of prefixes of size - 1 words, one set per chunk; `kept` broadcasts the bitmap of prefixes."""
+def stripes(docs: DataFrame, size: int, told) -> DataFrame:
+    """The stripes of prefixes of size - 1 words, one set per chunk.
+
+    `told` broadcasts the bitmap of the prefixes that are kept, and the hashes of the hot ones.
+    """
 
     def counted(texts: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang, words in texts.items():
@@ -149,8 +164,7 @@ def stripes(docs: DataFrame, size: int, kept) -> DataFrame:
             known = list(numbers)
             digests = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
             digests = np.append(digests, np.uint64(0))  # of borders, by index -1
-            bits = kept.value if kept else None
-            found = chunk_stripes(ids, digests[ids], size, bits, lang)
+            found = chunk_stripes(ids, digests[ids], size, told.value if told else None, lang)
             if len(found[0]):
                 yield _stripe_batch(found, ids, known, digests, size, lang)
 
@@ -256,11 +270,13 @@ def phrase_stripes(docs: DataFrame, least: int = LEAST, longest: int = LONGEST)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
     texts = docs.select(lang, text).filter(F.octet_length("text") > 0)
-    found, kept = [], None
+    found, told, words = [], None, 0
     for size in range(1, longest + 1):
         if size > 1:
-            kept = spark.sparkContext.broadcast(kept_phrases(entries(found[-1]), size - 1))
-        found.append(staged(merged(stripes(texts, size, kept), least)))
+            phrases = entries(found[-1])
+            told = spark.sparkContext.broadcast((kept_phrases(phrases), hot_phrases(phrases, words)))
+        found.append(staged(merged(stripes(texts, size, told), least)))
+        words = words or found[0].agg(F.sum("total")).first()[0] or 0
     return found
 
 
