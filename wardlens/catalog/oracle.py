@@ -105,6 +105,14 @@ valid AS (SELECT * FROM rec WHERE recstatus = 1),
 active AS (SELECT * FROM valid WHERE estado_actual = 'ACTIVO' AND nombre IS NOT NULL),
 """
 
+_SPANISH = """
+named AS (
+  SELECT id, dado, concat_ws(' ', dado, planta) AS unidad
+  FROM (SELECT *, CASE id % 11 WHEN 0 THEN 'Ñandú' WHEN 1 THEN 'Nube' WHEN 2 THEN 'nácar'
+    WHEN 3 THEN 'Águila' WHEN 4 THEN 'Ala' WHEN 5 THEN 'ébano' WHEN 6 THEN 'Estela' WHEN 7 THEN 'ñu'
+    WHEN 8 THEN 'Oso' WHEN 9 THEN 'Zarza' ELSE 'águila' END AS dado FROM valid)),
+"""
+
 # The activity rule in four passes over all rows in order.
 _LITERAL = """
 cells AS (
@@ -844,4 +852,30 @@ FROM lineitem""",
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   round(CASE WHEN count(*) OVER w = 14 THEN avg(l_quantity) OVER w END, 6) AS media_movil
 FROM lineitem WINDOW w AS (ORDER BY {_LINE_ORDER} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)""",
+    "q67_locale_order": _with(
+        _BASE + _SPANISH,
+        """SELECT id AS "GlobalRecordId", unidad,
+  row_number() OVER (ORDER BY unidad COLLATE es, id) AS posicion FROM named""",
+    ),
+    "q68_locale_groups": _with(
+        _BASE + _SPANISH,
+        """SELECT min(id) AS primera, max(id) AS ultima, count(*) AS n FROM named
+GROUP BY replace(strip_accents(replace(lower(dado), 'ñ', '~')), '~', 'ñ')""",
+    ),
+    "q69_bucketed_active": _with(
+        _BASE,
+        """SELECT id AS "GlobalRecordId", nombre, planta AS "plantaActual",
+  CAST(guardado AS DATE) AS guardado FROM active""",
+    ),
+    "q70_stored_purge": _with(_BASE + _PURGE, _page_keys("kept")),
+    "q71_found_classes": _with(
+        _ACTIVE,
+        "SELECT planta AS \"plantaActual\", "
+        + ", ".join(
+            f"nullif(count(*) FILTER (clase = '{c}'), 0) AS \"{n}\""
+            for c, n in (("BLEE", "BLEE"), ("C. auris", "C_auris"), ("C. difficile", "C_difficile"), ("EPC", "EPC"),
+                         ("MMR", "MMR"), ("NA", "NA"), ("Otros", "Otros"), ("R meticilina", "R_meticilina"))
+        )
+        + " FROM classed GROUP BY planta",
+    ),
 }

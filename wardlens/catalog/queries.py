@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -37,7 +38,7 @@ from wardlens.operators.ordered import (
     neighbours_in_sequence,
     numbered,
 )
-from wardlens.operators.reshape import cross_table, long_to_rows
+from wardlens.operators.reshape import cross_table, cross_table_found, long_to_rows
 from wardlens.operators.series import fill_down, moving_average, neighbours
 from wardlens.plans import (
     indicators,
@@ -47,7 +48,9 @@ from wardlens.plans import (
     retention,
     trends,
 )
-from wardlens.sources import load_snapshot
+from wardlens.functions.text import in_locale
+from wardlens.sources import join_pages, load_snapshot, shared_folder
+from wardlens.sources.page_store import purge_pages, read_pages, write_bucketed, write_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -471,6 +474,55 @@ def sequence_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_line_rows(moving_average_sequence(lines, LINE_ORDER, "l_quantity", 14), "media_movil"))
 
 
+SPANISH_WARDS = ("Ñandú", "Nube", "nácar", "Águila", "Ala", "ébano", "Estela", "ñu", "Oso", "Zarza", "águila")
+
+
+def locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid records in Spanish order of a ward name with accents, and the first name of each letter, bare."""
+    given = F.element_at(F.array(*[F.lit(w) for w in SPANISH_WARDS]), (F.col(KEY) % 11 + 1).cast("int"))
+    rows = _valid(spark, sf_dir, ("plantaActual",), "^$").select(
+        KEY, F.concat_ws(" ", given, F.col("plantaActual")).alias("unidad")
+    )
+    placed = numbered(rows, [in_locale(F.col("unidad")), KEY], "posicion")
+    return placed.select(KEY, F.col("unidad").cast("string").alias("unidad"), "posicion")
+
+
+def locale_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid records per ward name, accents and case set aside."""
+    given = F.element_at(F.array(*[F.lit(w) for w in SPANISH_WARDS]), (F.col(KEY) % 11 + 1).cast("int"))
+    rows = _valid(spark, sf_dir, (), "^$").select(KEY, given.alias("unidad"))
+    groups = rows.groupBy(in_locale(F.col("unidad"), "es_CI_AI").alias("grupo"))
+    told = groups.agg(F.min(KEY).alias("primera"), F.max(KEY).alias("ultima"), F.count("*").alias("n"))
+    return told.select("primera", "ultima", "n")
+
+
+def bucketed_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active records out of pages stored in buckets: their join moves no rows."""
+    run = f"hoja_{uuid.uuid4().hex}_"
+    form = t.pages(spark, sf_dir, [*COHORT, "plantaActual", "LastSaveTime"])
+    form = write_bucketed(form, shared_folder(spark), run, buckets=8)
+    rows = isolation.active_records(join_pages(form, [*COHORT, "plantaActual", "LastSaveTime"]))
+    return rows.select(KEY, "nombre", "plantaActual", F.to_date("LastSaveTime").alias("guardado"))
+
+
+def stored_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of stored pages after a purge that rewrote the buckets with purged keys."""
+    form = t.pages(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/paginas-{uuid.uuid4().hex}"
+    write_pages(form, folder)
+    stored = read_pages(spark, folder, list(form))
+    doomed = retention.records_to_purge(stored, t.PURGE_CUTOFF)
+    purge_pages(spark, folder, list(form), doomed)
+    return _page_keys(read_pages(spark, folder, list(form)))
+
+
+def found_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resistant rows per ward and class, with the classes that the data has."""
+    cls = F.coalesce(isolation.report_class(F.col("microorganismo")), F.lit("NA"))
+    rows = _resistant(spark, sf_dir).select("plantaActual", cls.alias("clase"))
+    return cross_table_found(rows, "plantaActual", "clase", label=lambda c: re.sub(r"\W+", "_", c))
+
+
 def loaded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form found by table name, read and joined; its pages are views while it is loaded."""
     prefix = f"hoja_{uuid.uuid4().hex}_"
@@ -552,4 +604,9 @@ QUERIES: dict[str, Query] = {
     "q64_sequence_neighbours": sequence_neighbours,
     "q65_sequence_fill": sequence_fill,
     "q66_sequence_average": sequence_average,
+    "q67_locale_order": locale_order,
+    "q68_locale_groups": locale_groups,
+    "q69_bucketed_active": bucketed_active,
+    "q70_stored_purge": stored_purge,
+    "q71_found_classes": found_classes,
 }

@@ -81,3 +81,9 @@ def paste(*cols: Column, sep: str = " ") -> Column:
 
 def paste_tight(*cols: Column) -> Column:
     return paste(*cols, sep="")
+
+
+def in_locale(col: Column, locale: str = "es") -> Column:
+    """A text that sorts, groups and compares as readers of a language expect: accents after the bare letter,
+    ñ after n, small letters before capitals."""
+    return F.collate(col, locale)

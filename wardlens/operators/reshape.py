@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Columns of a cross table whose classes are found in the data.
+MOST_CLASSES = 200
+
 
 def _quoted(names: Sequence[str]) -> list[str]:
     return [f"`{n}`" for n in names]
@@ -82,3 +85,32 @@ def drop_empty(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Leave out columns without any value; for small printed tables (reads the data)."""
     row = df.agg(*[F.expr(f"count_if(`{c}` > 0) AS `{c}`") for c in cols]).first()
     return df.drop(*[c for c in cols if not row[c]])
+
+
+def found_classes(df: DataFrame, col: str, most: int = MOST_CLASSES) -> list[str]:
+    """The different values of a column in binary order, without null; an error where there are over ``most``.
+
+    Each task keeps ``most`` + 1 values at most, so a column that is no class is noticed cheaply.
+    """
+    rows = df.select(F.col(col).cast("string").alias("c")).filter("c IS NOT NULL").distinct()
+    values = [r.c for r in rows.limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{col} has more than {most} different values")
+    return sorted(values, key=str.encode)
+
+
+def cross_table_found(
+    df: DataFrame, row: str, col: str, most: int = MOST_CLASSES, label: Callable[[str], str] = str
+) -> DataFrame:
+    """Rows by the classes that the data has, one column each in binary order; no row counts as null.
+
+    ``label`` makes column names of classes. Rows whose class is missing count in no column, but their row
+    value still has a row.
+    """
+    classes = found_classes(df, col, most)
+    names = [label(c) for c in classes]
+    if len({n.lower() for n in (*names, row)}) <= len(names):
+        raise ValueError(f"classes of {col} that would share a column name")
+    of = F.col(col).cast("string")
+    cells = [F.nullif(F.count_if(of == F.lit(c)), F.lit(0)).alias(n) for c, n in zip(classes, names)]
+    return df.groupBy(row).agg(*cells) if cells else df.select(row).distinct()

@@ -22,6 +22,7 @@ from wardlens.sources import (
     list_tables,
     load_snapshot,
     safe_replace,
+    table_version,
     write_report,
 )
 
@@ -105,14 +106,18 @@ def run_covid(
     database: str | None = None,
     folder: str | None = None,
 ) -> None:
-    """The COVID report; the day is added to the stored history, or replaced there."""
+    """The COVID report; the day is added to the stored history, or replaced there.
+
+    If another run has replaced the history meanwhile, this one fails and changes nothing there.
+    """
     table = _named(database, HISTORY)
+    version = table_version(spark, table)
     before = fetch_optional(spark, table, _schema("fecha", DateType(), _COUNTS, DoubleType()))
     tables = reports.covid_report(
         read_pages(spark, database), before, cutoff, day, start, folder=folder
     )
     _written(tables, out)
-    safe_replace(tables["historico"], table)
+    safe_replace(tables["historico"], table, version=version)
 
 
 def run_merge(

@@ -2,10 +2,13 @@
 
 from wardlens.sources.settings import from_environment
 from wardlens.sources.sinks import (
+    ChangedMeanwhile,
     durable,
     overwrite_days,
     overwrite_table,
     safe_replace,
+    shared_folder,
+    table_version,
     write_report,
 )
 from wardlens.sources.tables import (
@@ -19,6 +22,7 @@ from wardlens.sources.tables import (
 )
 
 __all__ = [
+    "ChangedMeanwhile",
     "durable",
     "fetch_optional",
     "fetch_table",
@@ -31,5 +35,7 @@ __all__ = [
     "overwrite_table",
     "prune_pages",
     "safe_replace",
+    "shared_folder",
+    "table_version",
     "write_report",
 ]

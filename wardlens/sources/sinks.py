@@ -30,23 +30,54 @@ def overwrite_table(df: DataFrame, table: str, dates: tuple[str, ...] = ("fecha"
     typed.write.mode("overwrite").saveAsTable(table)
 
 
+class ChangedMeanwhile(RuntimeError):
+    """The table is no longer the one that was read."""
+
+
+_VERSION = "wardlens.version"
+ANY_VERSION = "any"
+
+
+def table_version(spark: SparkSession, table: str) -> str | None:
+    """What tells the present state of a table from later ones; null for a missing table or another writer's."""
+    if not spark.catalog.tableExists(table):
+        return None
+    told = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return told.get(_VERSION)
+
+
 def safe_replace(
-    df: DataFrame, table: str, dates: tuple[str, ...] = ("fecha",), suffix: str = "_copia"
+    df: DataFrame,
+    table: str,
+    dates: tuple[str, ...] = ("fecha",),
+    suffix: str = "_copia",
+    version: str | None = ANY_VERSION,
 ) -> None:
     """Replace a catalog table by rows that may have been read from it.
 
-    The new rows are written whole to a second table first. Only then is the old
-    table set aside, the new one given its name, and the old one dropped. At any
-    moment a complete copy of either state exists under one of the names, and the
-    data is written once.
+    The new rows are written whole to a second table first, under a name of this run. Only then is the
+    old table set aside, the new one given its name, and the old one dropped. At any moment a complete
+    copy of either state exists under one of the names, and the data is written once.
+
+    With ``version=table_version(...)``, taken before the rows were read, the table is replaced only
+    if it is still that one; else :class:`ChangedMeanwhile` is raised and nothing changes. Of two runs
+    that read the same state one succeeds. The state is compared right before the swap.
     """
     spark = df.sparkSession
-    fresh, backup = f"{table}_nueva", f"{table}{suffix}"
+    backup = f"{table}{suffix}"
     if not spark.catalog.tableExists(table) and spark.catalog.tableExists(backup):
         # an earlier run stopped between the two renames
         spark.sql(f"ALTER TABLE {backup} RENAME TO {table}")
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-    overwrite_table(df, fresh, dates)
+    run = uuid.uuid4().hex
+    fresh = f"{table}_nueva_{run}"
+    try:
+        overwrite_table(df, fresh, dates)
+        spark.sql(f"ALTER TABLE {fresh} SET TBLPROPERTIES ('{_VERSION}' = '{run}')")
+        if version is not ANY_VERSION and table_version(spark, table) != version:
+            raise ChangedMeanwhile(f"{table} was replaced by another run since it was read")
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
     spark.sql(f"DROP TABLE IF EXISTS {backup}")
     if spark.catalog.tableExists(table):
         spark.sql(f"ALTER TABLE {table} RENAME TO {backup}")
