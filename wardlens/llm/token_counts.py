@@ -22,22 +22,32 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from wardlens.llm.bpe import byte_letters
 from wardlens.llm.common import as_texts, per_batch, staged
 
 #: Most pre-tokens whose pieces are broadcast: some 10 MB, and 60 MB in a Python worker.
 KNOWN = 400_000
 #: Distinct words that a task holds before it passes on what it has counted, or forgets.
-WORDS_HELD = 300_000
+WORDS_HELD = 600_000
 #: Tokens above which a text is over the limit.
 LIMIT = 2048
 
 
+_LETTERS = {b: ord(c) for b, c in byte_letters().items()}
+
+
+def in_byte_letters(text: str) -> str:
+    """The letters that stand for the bytes of a text."""
+    return text.encode().decode("latin-1").translate(_LETTERS)
+
+
 class PieceCounter:
     """Pre-tokens of words, and the number of pieces of a pre-token."""
 
@@ -50,13 +60,33 @@ class PieceCounter:
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         library = Tokenizer.from_str(file)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-
-    def pre_tokens(self, word: str) -> tuple[list[str], int]:
-        """The pre-tokens of a text in byte letters, and the number of special strings in it."""
+        #: What the file's split does with a run of letters: these need no look at the rest of the word.
+        self.runs = self._runs()
+
+    def _runs(self) -> re.Pattern | None:
+        """Words of letters that the file's rules turn into their lower case, asked of the rules themselves."""
+        letters = [chr(c) for c in range(0x100) if chr(c).isalpha() and chr(c) not in "ªµº"]
+        word = "".join(letters)
+        told = self.pre_tokens_by_rule(word)[0], self.pre_tokens_by_rule("ab,cd.")[0]
+        if told != ([in_byte_letters(word.lower())], ["ab", ",", "cd", "."]):
+            return None
+        return re.compile(f"[{word}]+([.,]?)")
+
+    def pre_tokens_by_rule(self, word: str) -> tuple[list[str], int]:
         parts = self.special.split(word) if self.special else [word]
         found = [piece for part in parts if part for piece, _ in self.split(self.normal(part))]
         return found, len(parts) - 1
 
+    def pre_tokens(self, word: str) -> tuple[list[str], int]:
+        """The pre-tokens of a text in byte letters, and the number of special strings in it."""
+        run = self.runs and self.runs.fullmatch(word)
+        if run:  # letters, perhaps with a mark behind them
+            mark = run[1]
+            plain = word[:-1] if mark else word
+            piece = plain.lower() if word.isascii() else in_byte_letters(plain.lower())
+            return ([piece, mark] if mark else [piece]), 0
+        return self.pre_tokens_by_rule(word)
+
     def pieces(self, pre_token: str) -> int:
         """How many symbols are left when no pair can merge: lowest rank first, leftmost among equals."""
         symbols = [*pre_token[:-1], pre_token[-1] + self.end]
@@ -149,13 +179,15 @@ def most_frequent(dictionary: DataFrame, most: int) -> DataFrame:
 
 
 class _Words(dict):
-    """For each word met: tokens known from the broadcast, and its pre-tokens that are not there."""
+    """Numbers of words; for each, tokens known from the broadcast, and its pre-tokens that are not there."""
 
     def __init__(self, counter: PieceCounter, known: dict[str, int]):
         super().__init__()
         self.counter, self.known = counter, known
+        self.sure: list[int] = []
+        self.rare: dict[int, list[str]] = {}
 
-    def __missing__(self, word: bytes) -> tuple[int, list[str]]:
+    def __missing__(self, word: bytes) -> int:
         found, total = self.counter.pre_tokens(word.decode("utf-8", "replace"))
         rare = []
         for piece in found:
@@ -164,10 +196,16 @@ class _Words(dict):
                 rare.append(piece)
             else:
                 total += pieces
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        self[word] = total, rare
-        return self[word]
+        self[word] = number = len(self)
+        self.sure.append(total)
+        if rare:
+            self.rare[number] = rare
+        return number
+
+    def forget(self) -> None:
+        self.clear()
+        self.sure.clear()
+        self.rare.clear()
 
 
 def _partial_sums(docs: DataFrame, file, known) -> DataFrame:
@@ -175,29 +213,40 @@ def _partial_sums(docs: DataFrame, file, known) -> DataFrame:
 
     `row` numbers the rows that have rare pre-tokens; it holds once the result is stored.
     """
-    schema = "doc_id long, n_bytes long, known long, row long, rare array<struct<pre_token: string, n: int>>"
-    kind = pa.list_(pa.struct([("pre_token", pa.string()), ("n", pa.int32())]))
+    schema = "doc_id long, n_bytes long, known long, row long, rare array<string>, times array<int>"
+
+    def sums(texts: list[bytes], words: _Words, row: int) -> list[pa.Array]:
+        split = [t.split() for t in texts]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        numbers = np.fromiter((words[w] for one in split for w in one), np.int64, int(lengths.sum()))
+        text = np.repeat(np.arange(len(texts)), lengths)
+        total = np.bincount(text, np.array(words.sure, np.int64)[numbers], len(texts)).astype(np.int64)
+        has = np.zeros(len(words), bool)
+        has[list(words.rare)] = True
+        asked = has[numbers]
+        rare = [Counter() for _ in texts]
+        for k, number in zip(text[asked].tolist(), numbers[asked].tolist()):
+            rare[k].update(words.rare[number])
+        ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+        pieces = pa.array([p for one in rare for p in one], pa.string())
+        times = pa.array([n for one in rare for n in one.values()], pa.int32())
+        none = np.array([not one for one in rare], bool)
+        return [
+            pa.array(list(map(len, texts)), pa.int64()), pa.array(total),
+            pa.array(row + np.arange(len(texts)), pa.int64(), mask=none),
+            pa.ListArray.from_arrays(ends, pieces), pa.ListArray.from_arrays(ends, times),
+        ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(_counter(file.value), known.value)
         row = TaskContext.get().partitionId() << 40
+        names = ["doc_id", "n_bytes", "known", "row", "rare", "times"]
         for batch in batches:
-            out = {"n_bytes": [], "known": [], "row": [], "rare": []}
-            for text in batch.column("text").to_pylist():
-                total, rare = 0, Counter()
-                for word, n in Counter(text.split()).items():
-                    sure, others = words[word]
-                    total += n * sure
-                    for piece in others:
-                        rare[piece] += n
-                row += 1
-                out["n_bytes"].append(len(text))
-                out["known"].append(total)
-                out["row"].append(row if rare else None)
-                out["rare"].append([{"pre_token": p, "n": n} for p, n in rare.items()] or None)
-            columns = [batch.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "known", "row"))]
-            columns.append(pa.array(out["rare"], kind))
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "known", "row", "rare"])
+            columns = sums(batch.column("text").to_pylist(), words, row)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=names)
+            row += batch.num_rows
+            if len(words) >= WORDS_HELD:
+                words.forget()
 
     return as_texts(docs).mapInArrow(run, schema)
 
@@ -214,7 +263,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, most: int | Non
     known = dict(zip(*(frequent.column(c).to_pylist() for c in ("pre_token", "pieces"))))
     sums = staged(_partial_sums(docs, file, docs.sparkSession.sparkContext.broadcast(known)))
 
-    pairs = sums.filter("row IS NOT NULL").select("row", F.explode("rare").alias("one")).select("row", "one.*")
+    pair = F.explode(F.arrays_zip("rare", "times")).alias("one")
+    pairs = sums.filter("row IS NOT NULL").select("row", pair)
+    pairs = pairs.select("row", F.col("one.rare").alias("pre_token"), F.col("one.times").alias("n"))
     pieces = dictionary.select("pre_token", "pieces")
     rest = pairs.join(pieces, "pre_token").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
     numbered = sums.filter("row IS NOT NULL").select("doc_id", "n_bytes", "known", "row").join(rest, "row")
