@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.cases import ROWS, empty, frame
+from tests.llm.cases import ROWS, empty, frame, prose
 from wardlens.llm import (
     bpe,
     exact_dedup,
@@ -130,3 +130,26 @@ def test_mixing_takes_null_sources_and_ignores_unknown_ones(spark):
     assert {r.source for r in mixed.select("source").collect()} == {"s0", None}
     per_text = mixed.filter("doc_id = 7").groupBy("source").agg(F.countDistinct("shuffle_key"))
     assert per_text.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(KEPT_ROWS))
+def test_columns_whose_names_clash_in_another_case_keep_their_values(spark, name):
+    names = ["COPY", "Shuffle_Key", "__N", "__cdf", "__source", "__OWN", "__id", "__digest", "__once", "__row"]
+    texts = [f"Text {k}: {prose(k, 80)}." for k in range(30)]
+    rows = [(k, t, "en", "s", len(t), *(f"{n}{k}" for n in names)) for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, "
+    docs = spark.createDataFrame(rows, schema + ", ".join(f"`{n}` string" for n in names))
+    kept = KEPT_ROWS[name](docs)
+    assert kept.columns == docs.columns or name == "mixing"
+    rows = kept.collect()
+    assert rows
+    for r in rows:
+        for n in names[2:] if name == "mixing" else names:
+            assert r[n] == f"{n}{r.doc_id}"
+
+
+def test_letters_of_keywords_are_ascii_in_either_case(spark):
+    value = "Zq8Rt5Wx2Yb7Nc4M"
+    docs = frame(spark, [(1, f"PassWord: {value}"), (2, f"pa\u017f\u017fword: {value}"), (3, f"to\u212aen={value}")])
+    found = {r.doc_id: r.n_assign for r in secrets.find_secrets(docs).collect()}
+    assert found == {1: 1, 2: 0, 3: 0}

@@ -12,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wardlens.operators.ordered import free_name
+
 #: Rows that cross to Python at once; long texts make a batch large.
 ARROW_ROWS = 1000
 
@@ -76,12 +78,14 @@ def rows_named(docs: DataFrame, stay: DataFrame, digest: Column) -> DataFrame:
 
     Where `once` is true, one row stays of those that share doc_id and digest.
     """
-    named = stay.toDF("__id", "__digest", "__once")
-    own = docs.withColumn("__own", digest)
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
-    order = Window.partitionBy("__id", "__digest").orderBy("__own")
-    found = own.join(named, same).withColumn("__row", F.row_number().over(order))
-    return found.filter("__row = 1 OR NOT __once").select(*[own[c] for c in docs.columns])
+    # names that no column of `docs` has, in any case
+    key, told, once, mine, row = (free_name(docs, c) for c in ("__id", "__digest", "__once", "__own", "__row"))
+    named = stay.toDF(key, told, once)
+    own = docs.withColumn(mine, digest)
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(told))
+    order = Window.partitionBy(key, told).orderBy(mine)
+    found = own.join(named, same).withColumn(row, F.row_number().over(order))
+    return found.filter((F.col(row) == 1) | ~F.col(once)).select(*docs.columns)
 
 
 def lowered(text: bytes) -> bytes:

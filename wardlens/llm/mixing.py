@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlens.llm.common import staged
+from wardlens.operators.ordered import free_name
 
 BROADCAST_SOURCES = 10_000
 
@@ -72,16 +73,19 @@ def mixed_sources(
 ) -> DataFrame:
     """The mixture, `weights` having columns source and weight (shares that sum to 1)."""
     table = staged(rates(docs, weights, epochs))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
+    small = table.count() <= BROADCAST_SOURCES
+    # names that no column of `docs` has, in any case
+    source, cdf, times = (free_name(docs, c) for c in ("__source", "__cdf", "__n"))
+    table = table.toDF(source, cdf)
+    table = F.broadcast(table) if small else table
     name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit(""))
     draw = F.concat(F.lit(f"{seed}:"), name)
-    found = docs.join(table, F.col("source").eqNullSafe(F.col("__source")))
-    count = F.size(F.filter("__cdf", lambda p: p < _unit(draw)))
-    copies = found.withColumn("__n", count).filter("__n > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    own = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    found = docs.select(*own).join(table, F.col("source").eqNullSafe(F.col(source)))
+    count = F.size(F.filter(cdf, lambda p: p < _unit(draw)))
+    copies = found.withColumn(times, count).filter(F.col(times) > 0)
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     key = F.md5(F.concat(draw, F.lit(":"), F.col("copy").cast("string")))
-    own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     copies = copies.select("copy", key.alias("shuffle_key"), *own)
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
