@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import differences, duck
 from tests.llm.cases import frame, prose
@@ -283,6 +284,42 @@ def test_trees_add_what_looks_like_the_rest(spark):
     assert rows[0].spans == "phone:5:22,tel:8:22" and rows[0].redacted == "call [PII] now"
 
 
+def test_trees_leave_alone_what_passes_by_chance(spark):
+    """14 digits: drawn at random after `entry`, with a right sum after `card`. A tenth of the former pass too."""
+    pick = random.Random(21)
+    texts = []
+    for k in range(600):
+        while True:
+            number = "".join(pick.choice("0123456789") for _ in range(14))
+            if k % 2 or luhn(number):
+                break
+        texts.append(f"the entry {number} ends" if k % 2 else f"my card {number} ends")
+    docs = frame(spark, list(enumerate(texts)))
+    model = pii.fit_pii(docs)
+    chance = [k for k in range(1, 600, 2) if luhn(texts[k].split()[2])]
+    rows = {r.doc_id: r.spans for r in pii.find_pii(docs, model).collect()}
+    assert len(chance) > 15 and not any(rows[k] for k in range(1, 600, 2))
+    assert all("number:8:22" in rows[k] for k in range(0, 600, 2))
+    assert all(t >= pii.EVEN or name in pii.CHANCE for name, t in zip(pii.KINDS, model.thresholds))
+    untold = pii.PiiModel(pii.Trees(*[pii.np.zeros(0, int)] * 6, 0, 30.0), (0.5,) * len(pii.KINDS))
+    every = {r.doc_id: r.spans for r in pii.find_pii(docs, untold).collect()}
+    assert all(every[k] for k in chance)  # with a score that never doubts, their own sum decides
+
+
+def test_the_odds_behind_a_score():
+    for share in (0.5, 0.8, 0.95):
+        for chance in (0.1, 1 / 97):
+            p = pii.genuine_from(share, chance)
+            g = (p - chance) / (1 - chance)
+            assert abs(g / p - share) < 1e-12
+
+
+def test_digits_inside_longer_words_are_no_candidates(spark):
+    docs = frame(spark, [(1, "key 9f572391524123456789f and 572391524x"), (2, "called 572391524123")])
+    rows = docs.select(pii.candidates(F.col("text"), pii.KINDS.index("number")).alias("c")).collect()
+    assert [len(r.c) for r in rows] == [0, 1]
+
+
 def test_pii_on_random_texts(spark):
     pick = random.Random(11)
     texts = ["".join(pick.choice("019 .-+()@ab_") for _ in range(120)) for _ in range(300)]

@@ -2,27 +2,31 @@
 
 Generators of high recall propose spans, which may overlap: the four base kinds (email, ip, card,
 phone), and looser ones (`GENERATORS`). Each candidate has small whole-number features of its format
-and context (digits, length, separators, checksum, the characters and words before it). Boosted
-trees say how likely it is personal data; per kind, the lowest score that keeps the wanted precision
-on the half of the documents not fitted on is the threshold. Spans of base kinds that pass their own
-test are always selected, and those of looser kinds and short cards that pass theirs (`sure`); the
-trees add others.
-
-There are no labels for spans. The trees learn from tests: a base candidate is positive where it
-passes its own or is a card of 13 to 15 digits with a right Luhn sum; a looser one where an IBAN has
-the right remainder by 97, a social security number valid groups, a number 13 to 19 digits and a
-right Luhn sum, a telephone number a plus or a word such as `call` before it, a mailbox the form of
-an email. Counts and digest of the base kinds hold only spans that pass the base tests. Feature
-values are few, so candidates of all documents are counted by their features in Spark; this table of
-cells is bounded by the product of the features' ranges, and only it comes to the driver, where the
-trees are fitted. They score as one CASE expression.
+and context (digits, length, separators, the characters and words before it), and a test of its kind,
+which the trees do not see: a Luhn sum for cards and long numbers, the remainder by 97 for IBANs, valid
+groups for social security numbers, a plus or a word such as `call` before telephone numbers, the form
+of an email for mailboxes. There are no labels for spans, so the trees learn the tests from format and
+context: their score is the share of spans looking like this one that pass.
+
+What passes a checksum may do so by chance, a known share of all digits (`CHANCE`). From the score
+follows how many of the spans that look alike are personal data, and so how likely one that passes is:
+digit runs that pass no more often than chance are left alone, whatever their own sum says. Telephone
+numbers and mailboxes have no checksum; of these the trees add spans that fail their test but look like
+those that pass. Per kind, the threshold is the lowest score that keeps the wanted precision on the
+half of the documents not fitted on, and never under even odds. Base spans that pass their own test are
+always selected; counts and digest of the base kinds hold only these.
+
+Feature values are few, so candidates of all documents are counted by their features in Spark; this
+table of cells is bounded by the product of the features' ranges, and only it comes to the driver,
+where the trees are fitted. They score as one CASE expression.
 
 Spans come from `split` and `regexp_extract_all` of the same pattern: the lengths of pieces and
 matches, added up, are the positions (code points, end exclusive). Patterns use possessive
 repetition and start at the edge of a run of characters, which gives the same matches, needs no
 stack and stays linear on long runs.
 
-Null texts are empty: no spans. Rows are scanned one by one, so repeated rows and null doc_ids keep
+Null and empty texts have no spans, very long ones are scanned in linear time, an empty table gives an
+empty result. Rows are scanned one by one, so repeated rows and null doc_ids keep
 their own rows; columns besides doc_id and text are not read. With no candidates at all, nothing is
 added to the base spans.
 """
@@ -48,7 +52,7 @@ PATTERNS = {
 }
 GENERATORS = {
     "tel": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "number": r"(?<![0-9])[0-9]{9,30}+",
+    "number": r"(?<![0-9A-Za-z])[0-9]{9,30}+(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "mailbox": r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]{1,64}+ ?[\[(]?(?:@|at)[\])]? ?[A-Za-z0-9-]{1,63}+ ?[\[(]?(?:\.|dot)[\])]? ?[A-Za-z]{2,10}+",
@@ -64,10 +68,15 @@ RUN = 200
 CONTEXT = r"(?i)(?:tel|phone|call|mail|contact|card|visa|iban|account|number|ssn)\W{0,3}(?:is|no|nr)?\W{0,4}$"
 CALLED = r"(?i)(?:tel|telephone|phone|mobile|fax|call|contact)\W{0,3}(?:is|no|nr)?\W{0,4}$"
 SSN = r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$"
-FEATURES = ("kind", "digits", "length", "marks", "checksum", "octets", "before", "context")
+FEATURES = ("kind", "digits", "length", "marks", "before", "context")
 #: Values of each feature: 0 up to this.
-RANGES = (len(KINDS) - 1, 7, 6, 4, 1, 1, 3, 1)
-PRECISION = 0.8
+RANGES = (len(KINDS) - 1, 7, 6, 4, 3, 1)
+#: Share of random digits that pass the checksum of a kind; of cards and numbers, those of 13 to 19 digits.
+CHANCE = {"card": 1 / 10, "number": 1 / 10, "iban": 1 / 97}
+LONG_DIGITS = 5  # the level of the feature `digits` from 13 digits on
+#: Kinds without a checksum, whose spans may be selected though their test does not speak for them.
+UNTESTED = ("tel", "mailbox")
+PRECISION, EVEN = 0.8, 0.5
 
 
 def luhn(digits: Column) -> Column:
@@ -144,9 +153,6 @@ def _features(kind: int, value: Column, before: Column) -> list[Column]:
     digits = _digits(value)
     n = F.length(digits)
     last = F.substring(before, -1, 1)
-    checksum = F.when(n.between(12, 19), luhn(digits)).otherwise(False)
-    if KINDS[kind] in ("iban", "ssn"):
-        checksum = resembles(KINDS[kind], value, before)
     side = (
         F.when(last.rlike("[0-9A-Za-z]"), 3).when(last.rlike(r"[+(@=\"':]"), 2).when(last == "", 1)
     )
@@ -155,8 +161,6 @@ def _features(kind: int, value: Column, before: Column) -> list[Column]:
         _level(n, 1, 4, 8, 10, 13, 16, 20),
         _level(F.length(value), 8, 11, 15, 18, 24, 40),
         _level(F.length(F.regexp_replace(value, r"[^ ().@-]", "")), 1, 2, 3, 4),
-        checksum.cast("int"),
-        F.when(F.lit(KINDS[kind] == "ip"), passes("ip", value)).otherwise(False).cast("int"),
         F.coalesce(side, F.lit(0)),
         before.rlike(CONTEXT).cast("int"),
     ]
@@ -247,6 +251,21 @@ def with_candidates(docs: DataFrame) -> DataFrame:
     return base.withColumn("candidates", F.concat(*all_kinds))
 
 
+def genuine_from(share: float, chance: float) -> float:
+    """The score from which a span that passes is personal data with at least the odds of `share`.
+
+    Of spans that look alike a share g is personal data and passes; of the others `chance` pass. So the
+    score is g + (1 - g) chance, and a span that passes is personal data with probability g / score.
+    """
+    g = share * chance / (1 - share + share * chance)
+    return g + (1 - g) * chance
+
+
+def _logit(p: float) -> float:
+    p = min(max(p, 1e-9), 1 - 1e-9)
+    return float(np.log(p / (1 - p)))
+
+
 @dataclass(frozen=True)
 class PiiModel:
     """Boosted trees, and the score from which each kind's other spans are selected (over 1: never)."""
@@ -271,15 +290,28 @@ class PiiModel:
         if self.trees is None:
             return base
         features = [candidate[f"f{i}"] for i in range(len(FEATURES))]
-        least = F.lit(None).cast("double")
-        for kind in range(len(KINDS)):
+        least = F.lit(None).cast("double")  # the margin that a span needs; null: none will do
+        for kind, name in enumerate(KINDS):
             t = self.thresholds[kind]
-            if t < 1:
-                bound = float(np.log(t / (1 - t))) - 1e-6  # equal scores pass
-                least = F.when(candidate["kind"] == kind, F.lit(bound)).otherwise(least)
-        sure = base | candidate["sure"]
-        scored = F.when(~sure & least.isNotNull(), self.margin(features) >= least)
-        return sure | F.coalesce(scored, F.lit(False))
+            if t > 1:
+                continue
+            asked = candidate["sure"] & scored_by_chance(name, features[1])
+            if name in UNTESTED:
+                asked = ~candidate["sure"]
+            least = F.when((candidate["kind"] == kind) & asked, F.lit(_logit(t) - 1e-6)).otherwise(least)
+        plain = candidate["sure"] & ~candidate_by_chance(candidate["kind"], features[1])
+        scored = F.when(~plain & least.isNotNull(), self.margin(features) >= least)
+        return base | plain | F.coalesce(scored, F.lit(False))
+
+
+def scored_by_chance(name: str, digits: Column) -> Column:
+    """Whether a span of this kind passes its test by chance now and then: it has a checksum."""
+    return F.lit(True) if name == "iban" else (F.lit(name in CHANCE) & (digits >= LONG_DIGITS))
+
+
+def candidate_by_chance(kind: Column, digits: Column) -> Column:
+    tested = [(kind == k) & scored_by_chance(name, digits) for k, name in enumerate(KINDS) if name in CHANCE]
+    return tested[0] | tested[1] | tested[2]
 
 
 def cells(docs: DataFrame) -> DataFrame:
@@ -289,10 +321,9 @@ def cells(docs: DataFrame) -> DataFrame:
         F.explode("candidates").alias("c"),
     )
     features = [F.col(f"c.f{i}").alias(name) for i, name in enumerate(FEATURES)]
-    told = found.select("fits", F.col("c.sure").cast("long").alias("positive"), F.col("c.passes"), *features)
+    told = found.select("fits", F.col("c.sure").cast("long").alias("positive"), *features)
     return told.groupBy("fits", *FEATURES).agg(
-        F.count("*").alias("n"), F.sum("positive").alias("n_positive"),
-        F.count_if("passes").alias("n_passes"),
+        F.count("*").alias("n"), F.sum("positive").alias("n_positive")
     )
 
 
@@ -305,7 +336,6 @@ def fit_pii(docs: DataFrame, precision: float = PRECISION) -> PiiModel:
     x = np.array([[r[name] for name in FEATURES] for r in rows], np.float64)
     n = np.array([r["n"] for r in rows], np.float64)
     yes = np.array([r["n_positive"] for r in rows], np.float64)
-    passed = np.array([r["n_passes"] for r in rows], np.float64)  # selected whatever the trees say
     fits = np.array([r["fits"] for r in rows])
 
     def doubled(mask):
@@ -316,18 +346,41 @@ def fit_pii(docs: DataFrame, precision: float = PRECISION) -> PiiModel:
 
     trees = fit(*doubled(fits), rounds=24, depth=3, rate=0.3, least=2.0)
     score = trees.probability(x)
-    thresholds = []
-    for kind in range(len(KINDS)):
-        own = ~fits & (x[:, 0] == kind)
-        order = np.argsort(-score[own], kind="stable")
-        s = score[own][order]
-        right, of = (np.cumsum((v - passed)[own][order]) for v in (yes, n))
-        last = np.append(s[1:] < s[:-1], True)[: len(s)]  # a threshold takes all of equal score
-        good = np.flatnonzero(last & (right >= precision * of) & (of > 0))
-        thresholds.append(float(min(s[good[-1]], 0.999)) if len(good) else 2.0)
+    thresholds = [
+        threshold(name, score[own], yes[own], n[own], precision)
+        for name, own in ((name, ~fits & (x[:, 0] == k) & _asked(name, x[:, 1])) for k, name in enumerate(KINDS))
+    ]
     return PiiModel(trees, tuple(thresholds))
 
 
+def _asked(name: str, digits: np.ndarray) -> np.ndarray:
+    """The cells whose spans the trees decide on."""
+    return digits >= LONG_DIGITS if name in ("card", "number") else np.full(len(digits), name in CHANCE or name in UNTESTED)
+
+
+def threshold(name: str, score: np.ndarray, yes: np.ndarray, n: np.ndarray, precision: float) -> float:
+    """The lowest score that keeps the precision among the spans it selects; 2 where none does.
+
+    With a checksum, these are spans that pass: of n spans of which `yes` pass, (yes - chance n) / (1 - chance)
+    are personal data, by the odds; one such span is taken as seen, so few spans do not forbid a kind.
+    Without one, the spans that pass are the share of those selected that is known to be personal data.
+    """
+    chance = CHANCE.get(name, 0.0)
+    order = np.argsort(-score, kind="stable")
+    s = score[order]
+    passed, of = np.cumsum(yes[order]), np.cumsum(n[order])
+    if chance:
+        floor = genuine_from(EVEN, chance)
+        right, selected = (passed - chance * of) / (1 - chance) + 1, passed + 1
+    else:
+        floor, right, selected = EVEN, passed, of
+    last = np.append(s[1:] < s[:-1], True)[: len(s)]  # a threshold takes all of equal score
+    good = np.flatnonzero(last & (right >= precision * selected))
+    if not len(s):
+        return floor if chance else 2.0
+    return float(max(s[good[-1]], floor)) if len(good) else 2.0
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end by kind, then start, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])
