@@ -7,7 +7,8 @@ doubly linked list. A heap holds (rank, place) of the pairs that can merge; an e
 changed since is stale and skipped. The pieces met before are kept per process, up to a bound.
 
 A null text is empty: no tokens. Rows are encoded one by one, so repeated rows and null doc_ids
-keep their own rows; columns besides doc_id and text are not read.
+keep their own rows; columns besides doc_id and text are not read. An empty table gives an empty result. A very
+long text is encoded by one task, piece by piece; a very long piece takes n log n.
 """
 
 from __future__ import annotations

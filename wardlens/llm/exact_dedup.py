@@ -11,7 +11,8 @@ whole document is moved.
 
 Of equal texts the row with the largest doc_id stays. Null texts count as empty, and all empty
 texts are equal. Null doc_ids sort below all others; when rows share the largest doc_id, all of
-them have `kept` true (`deduplicated` then keeps one). An empty table gives an empty result, and
+them have `kept` true (`deduplicated` then keeps one). A very long text is cut by one task in linear time and
+moves as its chunks. An empty table gives an empty result, and
 columns besides doc_id and text are not read.
 """
 

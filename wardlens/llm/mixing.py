@@ -9,6 +9,7 @@ seed, doc_id and copy, and sorted by it there.
 Counts per source combine in each task before they move. The table of rates has one row per source:
 it is broadcast when it has at most `BROADCAST_SOURCES` rows and joined by shuffle beyond.
 
+A very long text moves once per copy, like any other.
 A null source is a source of its own. A null doc_id draws by its text, and repeated rows draw
 alike. Sources without a weight, or with weight 0 or null, give no rows. A null text is copied as it
 is. An empty table gives an empty mixture. All columns of `docs` are kept; `copy` and `shuffle_key`

@@ -25,8 +25,9 @@ Links become components by repeated star steps in tables. Results are per docume
 Null and empty texts have no shingles and are linked with nothing. Rows that share doc_id and text
 are one class; `component_id` is the smallest doc_id in the component, nulls apart. `kept` is
 true where doc_id = component_id, so for each of several rows with that doc_id; where a component
-has only null doc_ids, component_id is null and kept is true. Columns besides doc_id and text are not
-read.
+has only null doc_ids, component_id is null and kept is true. A very long text has a sketch as small as any
+other's; its shingles are held whole by a task that verifies it. An empty table gives an empty result. Columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations

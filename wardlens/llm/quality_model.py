@@ -9,7 +9,8 @@ Labels other than 0 and 1 and labels without doc_id are ignored; of several labe
 the larger counts, and of several documents with one doc_id the smallest statistics are fitted.
 Without labels of both classes the score is the share of ones (0.5 without labels). A null text is
 empty and scored like any other. Repeated rows keep their own rows and get equal scores; a null
-doc_id is not held out. Columns besides doc_id and text are not read.
+doc_id is not held out. An empty table gives an empty result; a very long text is held whole by one task.
+Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

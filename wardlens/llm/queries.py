@@ -24,6 +24,7 @@ from wardlens.llm import (
     toxicity,
 )
 from wardlens.llm.common import read_table
+from wardlens.llm.merkle_sql import MANIFEST_SQL
 from wardlens.llm.quality_sql import QUALITY_SQL
 
 MIX_POWER, MIX_SEED, MIX_EPOCHS = 0.5, 17, 1.0
@@ -133,8 +134,37 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
 FROM texts
 """
 
+COLLOCATION_SQL = rf"""
+WITH texts AS (
+    SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts),
+words AS (SELECT lang, regexp_extract_all(p, '[^ \t]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+spans AS (SELECT lang, w, i, unnest(range(1, {collocations.LONGEST} + 1)) AS k FROM starts),
+freq AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+         FROM spans WHERE i + k - 1 <= len(w) GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM freq WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, f AS a FROM freq WHERE k > 1 AND f >= {collocations.LEAST}),
+free AS (SELECT * FROM often c WHERE NOT EXISTS (
+         SELECT 1 FROM often d WHERE d.lang = c.lang AND d.k > c.k AND 100 * d.a >= 100 * c.a
+         AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM free),
+scores AS (SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, n,
+           ((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts c JOIN sizes s ON s.lang = c.lang
+           JOIN freq x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+           JOIN freq y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       score
+FROM best QUALIFY rank <= {collocations.MOST}
+"""
+
 LLM_SQL: dict[str, str] = {
     "op4_mixing": mixing.MIX_SQL.format(power=MIX_POWER, seed=MIX_SEED, epochs=MIX_EPOCHS),
     "op6_exact_dedup": EXACT_SQL,
     "op9_quality_rules": QUALITY_SQL,
+    "op12_merkle_manifest": MANIFEST_SQL,
+    "op13_collocations": COLLOCATION_SQL,
 }

@@ -17,7 +17,8 @@ placeholder at the start of a part between `=`, `/` and `+`, joined to what foll
 (`sample_...`), also names that one word. The allow-list never removes a match of the patterns.
 
 Null texts are empty: no spans. Rows are scanned one by one, so repeated rows and null doc_ids keep
-their own rows; columns besides doc_id and text are not read. Positions are code points.
+their own rows; columns besides doc_id and text are not read. Positions are code points. An empty table
+gives an empty result; a very long text is held whole by one task and scanned in linear time.
 """
 
 from __future__ import annotations

@@ -21,7 +21,9 @@ and documents are cut into shards that need only be compared within themselves:
 
 A null text has no words. Rows with a null doc_id come after all others and are no reference for each
 other; rows that share a doc_id are no reference for each other either, and each gets its own
-result. Texts shorter than a window keep all words. Columns besides doc_id and text are not read.
+result. Texts shorter than a window keep all words. A very long text is cut like any other, so no task but
+the one that cuts it holds it whole. An empty table gives an empty result. Columns besides doc_id and text are
+not read.
 """
 
 from __future__ import annotations
