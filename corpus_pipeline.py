@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again
 as the next one's docs; all but the last return the columns of documents. Sizes and thresholds are
 those of the operators (`wardlens.llm`).
+
+An empty table gives an empty result in every stage. A null or empty text is rejected by the first stage; a later
+one takes it as an empty text. Very long texts are treated whole. Repeated rows stay one after `exact_dedup`; null
+doc_ids keep their rows but for copies. Columns that documents have besides its own pass through all stages but
+the last.
 """
 
 from __future__ import annotations
