@@ -878,4 +878,51 @@ GROUP BY replace(strip_accents(replace(lower(dado), 'ñ', '~')), '~', 'ñ')""",
         )
         + " FROM classed GROUP BY planta",
     ),
+    "q72_loess_band": _with(
+        _SMOOTH[: _SMOOTH.index("size AS (")]
+        + """
+size AS (SELECT serie, count(*) AS n, min(x) AS lo, max(x) AS hi FROM obs GROUP BY serie),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY serie ORDER BY x) AS i FROM obs),
+grid AS (
+  SELECT serie, p AS punto, n, lo + p * ((hi - lo) / 79.0::DOUBLE) AS g
+  FROM size CROSS JOIN (SELECT unnest(range(0, 80)) AS p)
+  UNION ALL SELECT serie, 79 + i, n, x FROM numbered JOIN size USING (serie)),
+near AS (
+  SELECT serie, punto, g, i, x, y, abs(x - g) AS d, floor(0.75::DOUBLE * n + 1e-5) AS q,
+    row_number() OVER (PARTITION BY serie, punto ORDER BY abs(x - g)) AS r
+  FROM grid JOIN numbered USING (serie)),
+width AS (SELECT serie, punto, max(d) AS h FROM near WHERE r <= q GROUP BY serie, punto),
+weighted AS (
+  SELECT serie, punto, g, i, y, (x - g) / h AS u,
+    CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w
+  FROM near JOIN width USING (serie, punto)),
+sums AS (
+  SELECT serie, punto, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2,
+    sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4 FROM weighted GROUP BY serie, punto),
+rows_ AS (
+  SELECT serie, punto, g, i, y, w * ((s2 * s4 - s3 * s3) - (s1 * s4 - s2 * s3) * u + (s1 * s3 - s2 * s2) * u * u)
+    / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) AS l
+  FROM weighted JOIN sums USING (serie, punto)),
+fits AS (
+  SELECT serie, punto, max(g) AS g, sum(l * y) AS fit, sqrt(sum(l * l)) AS norm FROM rows_ GROUP BY serie, punto),
+left_ AS (SELECT serie, punto - 79 AS j, i, CASE WHEN punto - 79 = i THEN 1 ELSE 0 END - l AS v FROM rows_
+  WHERE punto >= 80),
+first_ AS (SELECT serie, sum(v * v) AS d1 FROM left_ GROUP BY serie),
+products AS (SELECT a.serie, a.j, b.j AS k, sum(a.v * b.v) AS m FROM left_ a JOIN left_ b
+  ON a.serie = b.serie AND a.i = b.i GROUP BY a.serie, a.j, b.j),
+second_ AS (SELECT serie, sum(m * m) AS d2 FROM products GROUP BY serie),
+residual AS (SELECT n.serie, sum((n.y - f.fit) * (n.y - f.fit)) AS rss FROM numbered n JOIN fits f
+  ON f.serie = n.serie AND f.punto = 79 + n.i GROUP BY n.serie),
+told AS (SELECT serie, sqrt(rss / d1) AS s, d1 * d1 / d2 AS df FROM first_ JOIN second_ USING (serie)
+  JOIN residual USING (serie)),
+reach AS (SELECT *, 1.959963984540054::DOUBLE AS z FROM told),
+tails AS (SELECT serie, s, z + (pow(z, 3) + z) / 4 / df + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / 96 / pow(df, 2)
+    + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / 384 / pow(df, 3)
+    + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z) / 92160 / pow(df, 4) AS t
+  FROM reach),""",
+        """
+SELECT serie, CAST(punto AS INT) AS punto, round(g, 6) AS x, round(fit, 6) AS ajuste,
+  round(fit - t * s * norm, 6) AS lo, round(fit + t * s * norm, 6) AS hi
+FROM fits JOIN tails USING (serie) WHERE punto < 80""",
+    ),
 }

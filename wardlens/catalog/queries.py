@@ -203,6 +203,11 @@ def loess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(trends.smooth_series(t.results(spark, sf_dir), measures))
 
 
+def loess_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = ["pa_aisl_nosocomial", "pa_cauris", "pa_carba", "pa_acineto", "pa_cdif"]
+    return _rounded(trends.smooth_series_band(t.results(spark, sf_dir), measures))
+
+
 CASE_SHOWN = (
     KEY,
     "slot",
@@ -609,4 +614,5 @@ QUERIES: dict[str, Query] = {
     "q69_bucketed_active": bucketed_active,
     "q70_stored_purge": stored_purge,
     "q71_found_classes": found_classes,
+    "q72_loess_band": loess_band,
 }

@@ -93,6 +93,7 @@ MDR_SERIES_LABELS = {
 PRESSURE_SERIES = ("pa_global", "pa_crit", "pa_hosp", "pa_covid")
 SMOOTH_POINTS = 80
 SMOOTH_SPAN = 0.75
+NORMAL_975 = 1.959963984540054  # the normal quantile of a band of 95 %
 
 # --- printed column names per report table --------------------------------------
 PRINTED_NAMES = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlens.constants import MDR_SERIES_LABELS, PRESSURE_SERIES
 from wardlens.functions import backfill_from_rate, epiweek
 from wardlens.operators.reshape import measures_long
-from wardlens.operators.series import smooth
+from wardlens.operators.series import smooth, smooth_band
 
 
 def isolation_series(results: DataFrame) -> DataFrame:
@@ -48,8 +48,16 @@ def series_names(long: DataFrame, name: str) -> DataFrame:
     return long.select(name).distinct().orderBy(F.asc_nulls_last(name))
 
 
+def _days(results: DataFrame, measures: list[str]) -> DataFrame:
+    long = measures_long(results, ["fecha"], measures, "serie", "valor")
+    return long.withColumn("dia", F.unix_date(F.to_date("fecha")))
+
+
 def smooth_series(results: DataFrame, measures: list[str]) -> DataFrame:
     """Smoothed curve of each measure over the days."""
-    long = measures_long(results, ["fecha"], measures, "serie", "valor")
-    days = long.withColumn("dia", F.unix_date(F.to_date("fecha")))
-    return smooth(days, "serie", "dia", "valor")
+    return smooth(_days(results, measures), "serie", "dia", "valor")
+
+
+def smooth_series_band(results: DataFrame, measures: list[str]) -> DataFrame:
+    """Smoothed curve of each measure with its band of 95 %."""
+    return smooth_band(_days(results, measures), "serie", "dia", "valor")
