@@ -1,10 +1,12 @@
 """Pages stored by key: joins without a shuffle, purges that touch few files, stops between pages."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from wardlens.operators.keys import snapshot_merge
 from wardlens.operators.reshape import cross_table_found, found_classes
 from wardlens.sources import ChangedMeanwhile, join_pages, page_store, safe_replace, table_version
 
@@ -133,3 +135,38 @@ def test_classes_found_in_the_data(spark):
     with pytest.raises(ValueError, match="share"):
         cross_table_found(df, "planta", "clase", label=lambda c: "x")
     assert cross_table_found(df.filter("false"), "planta", "clase").collect() == []
+
+
+def test_snapshots_one_by_one_equal_the_merge_of_all(spark, tmp_path):
+    pick = random.Random(8)
+    folder = str(tmp_path / "mezcla")
+
+    def snapshot(columns):
+        rows = [(f"k{k}", pick.choice([1, 1, 1, 0, None]), *(pick.choice([None, "x", "y"]) for _ in columns))
+                for k in range(60) if pick.random() < 0.7]
+        return spark.createDataFrame(rows, f"{KEY} string, RECSTATUS int, " + ", ".join(f"{c} string" for c in columns))
+
+    oldest, middle, newest = snapshot(["a"]), snapshot(["a", "b"]), snapshot(["b", "a"])
+    for one in (oldest, middle, newest):
+        page_store.merge_snapshot(spark, folder, one, 16)
+    whole = snapshot_merge([newest, middle, oldest]).select(KEY, "RECSTATUS", "a", "b")
+    stored = page_store.read_merged(spark, folder).select(*whole.columns)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, whole.collect()))
+    before = files_of(folder)
+    assert page_store.merge_snapshot(spark, folder, newest, 16) == 0 and files_of(folder) == before
+
+
+def test_a_snapshot_rewrites_only_buckets_of_changed_keys(spark, tmp_path):
+    folder = str(tmp_path / "mezcla")
+    rows = [(f"k{k}", 1, k) for k in range(300)]
+    frame = lambda rows: spark.createDataFrame(rows, f"{KEY} string, RECSTATUS int, n long")
+    assert page_store.merge_snapshot(spark, folder, frame(rows), 32) == 300
+    before = files_of(folder)
+    changed = [*rows[:5], ("k5", 1, 500), ("k6", 0, 6), *rows[7:290], ("new", 1, 1), ("never", 0, 1), (None, 1, 1)]
+    assert page_store.merge_snapshot(spark, folder, frame(changed), 32) == 3
+    told = {r[KEY]: r.n for r in page_store.read_merged(spark, folder).collect()}
+    assert told == {k: n for k, _, n in rows if k != "k6"} | {"k5": 500, "new": 1}
+    after = files_of(folder)
+    assert len([p for p in before if after.get(p) != before[p]]) <= 3
+    last = page_store.merge_snapshot(spark, folder, frame([(k, 0, n) for k, _, n in rows] + [("new", 0, 1)]), 32)
+    assert last == 300 and not files_of(folder)

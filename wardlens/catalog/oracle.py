@@ -926,3 +926,6 @@ SELECT serie, CAST(punto AS INT) AS punto, round(g, 6) AS x, round(fit, 6) AS aj
 FROM fits JOIN tails USING (serie) WHERE punto < 80""",
     ),
 }
+
+# the same rows, whether snapshots are merged at once or one by one
+ORACLE_SQL["q73_stored_merge"] = ORACLE_SQL["q30_snapshot_merge"]

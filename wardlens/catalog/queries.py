@@ -50,7 +50,14 @@ from wardlens.plans import (
 )
 from wardlens.functions.text import in_locale
 from wardlens.sources import join_pages, load_snapshot, shared_folder
-from wardlens.sources.page_store import purge_pages, read_pages, write_bucketed, write_pages
+from wardlens.sources.page_store import (
+    merge_snapshot,
+    purge_pages,
+    read_merged,
+    read_pages,
+    write_bucketed,
+    write_pages,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -521,6 +528,16 @@ def stored_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_keys(read_pages(spark, folder, list(form)))
 
 
+def stored_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshots merged into storage one by one, the oldest first."""
+    folder = f"{shared_folder(spark)}/mezcla-{uuid.uuid4().hex}"
+    newest, *older = t.snapshots(spark, sf_dir)
+    for snapshot in [*reversed(older), newest]:
+        merge_snapshot(spark, folder, snapshot)
+    columns = newest.columns
+    return _saved_as_date(read_merged(spark, folder).select(*columns))
+
+
 def found_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resistant rows per ward and class, with the classes that the data has."""
     cls = F.coalesce(isolation.report_class(F.col("microorganismo")), F.lit("NA"))
@@ -615,4 +632,5 @@ QUERIES: dict[str, Query] = {
     "q70_stored_purge": stored_purge,
     "q71_found_classes": found_classes,
     "q72_loess_band": loess_band,
+    "q73_stored_merge": stored_merge,
 }

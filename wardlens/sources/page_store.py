@@ -8,6 +8,9 @@ others stay as they are.
 A purge is a list of keys that is stored first. From then on `read_pages` leaves these keys out of every
 page, so all pages agree however far the rewriting has come; a purge that was stopped is finished by the
 next one, or by `finish_purge`. One purge runs at a time.
+
+`merge_snapshot` keeps a merge of database snapshots in the same layout, with a digest for each row, so that
+a newer snapshot rewrites only the buckets of keys that it changes.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlens.constants import KEY
+from wardlens.constants import KEY, VALID_STATUS
+from wardlens.sources.sinks import durable, shared_folder
 
 #: Subfolders of a stored page. A bucket is what a purge of one key rewrites.
 BUCKETS = 64
@@ -136,3 +140,67 @@ def _purge_page(spark: SparkSession, folder: str, name: str, gone: DataFrame, bu
     for bucket in set(touched) - left:  # nothing is written for a bucket without rows
         _remove(spark, f"{folder}/{name}/{_BUCKET}={bucket}")
     spark.catalog.refreshByPath(f"{folder}/{name}")
+
+
+_DIGEST = "_huella"
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A digest of all values of a row by column name; missing values and missing columns count alike."""
+    named = F.struct(*[F.col(c) for c in sorted(df.columns) if c not in (_BUCKET, _DIGEST)])
+    return F.sha2(F.to_json(named).cast("binary"), 256)
+
+
+def read_merged(spark: SparkSession, folder: str) -> DataFrame:
+    """The live rows of a stored merge; columns that some snapshots lack are null there."""
+    return spark.read.option("mergeSchema", True).parquet(folder).drop(_BUCKET, _DIGEST)
+
+
+def merge_snapshot(
+    spark: SparkSession,
+    folder: str,
+    snapshot: DataFrame,
+    buckets: int = BUCKETS,
+    key: str = KEY,
+    status: str = "RECSTATUS",
+) -> int:
+    """Bring a stored merge up to a newer snapshot; the number of keys that changed.
+
+    The stored merge has the live rows of all snapshots so far, each with the digest of its values. A key of
+    the new snapshot changes something only if its row is live and its digest is not the stored one, or if it
+    is deleted and stored; only buckets with such keys are rewritten, so the cost is that of the change.
+    Applied one after the other, the oldest first, snapshots give what ``operators.keys.snapshot_merge`` gives
+    of all at once, deletions included. The same snapshot again changes nothing, so a run that was stopped is
+    repeated. A key occurs once in a snapshot; rows without key are not merged.
+    """
+    live = F.coalesce(F.col(status) == VALID_STATUS, F.lit(False))
+    rows = snapshot.filter(F.col(key).isNotNull())
+    told = rows.withColumns({_DIGEST: row_digest(rows), _BUCKET: _bucket(key, buckets)})
+    if not _stands(spark, folder):
+        first = told.filter(live)
+        first.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(folder)
+        return spark.read.parquet(folder).count()
+    stored = spark.read.option("mergeSchema", True).parquet(folder)
+    have = stored.select(F.col(key).alias("_k"), F.col(_DIGEST).alias("_d"))
+    state = told.select(key, _BUCKET, _DIGEST, live.alias("_vivo"))
+    met = state.join(have, F.col(key) == F.col("_k"), "left")
+    differs = (F.col("_vivo") & ~F.col(_DIGEST).eqNullSafe(F.col("_d"))) | (~F.col("_vivo") & F.col("_k").isNotNull())
+    changed = durable(met.filter(differs).select(key, _BUCKET, "_vivo"), shared_folder(spark))
+    touched = [r[0] for r in changed.select(_BUCKET).distinct().collect()]  # at most `buckets` rows
+    if not touched:
+        return 0
+    held = stored.filter(F.col(_BUCKET).isin(touched)).join(changed.select(key), key, "left_anti")
+    fresh = told.join(changed.filter("_vivo").select(key), key, "left_semi")
+    rest = durable(held.unionByName(fresh, allowMissingColumns=True), shared_folder(spark))
+    (
+        rest.repartition(_BUCKET)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(_BUCKET)
+        .parquet(folder)
+    )
+    left = {r[0] for r in rest.select(_BUCKET).distinct().collect()}
+    for bucket in set(touched) - left:
+        _remove(spark, f"{folder}/{_BUCKET}={bucket}")
+    spark.catalog.refreshByPath(folder)
+    return changed.count()
