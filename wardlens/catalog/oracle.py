@@ -926,6 +926,15 @@ SELECT serie, CAST(punto AS INT) AS punto, round(g, 6) AS x, round(fit, 6) AS aj
 FROM fits JOIN tails USING (serie) WHERE punto < 80""",
     ),
 }
-
+ORACLE_SQL["q74_written_report"] = _with(
+    _BASE,
+    """SELECT id AS "Registro", CAST(year(guardado) AS INT) AS "Anyo", CAST(year(guardado) // 100 AS INT) AS "Siglo",
+  nombre AS "Paciente", planta AS "Planta" FROM active""",
+)
+ORACLE_SQL["q75_replaced_history"] = _with(
+    _HISTORY,
+    f"""SELECT fecha, total_ingresados, total_criticos, casos_nuevos,
+  CASE WHEN fecha = DATE '{HISTORY_DAY}' THEN 0 ELSE altas END AS altas, exitus FROM hist""",
+)
 # the same rows, whether snapshots are merged at once or one by one
 ORACLE_SQL["q73_stored_merge"] = ORACLE_SQL["q30_snapshot_merge"]

@@ -31,7 +31,7 @@ from wardlens.functions import (
 )
 from wardlens.operators import keys
 from wardlens.operators import slots as s
-from wardlens.operators.columns import across, starting_with
+from wardlens.operators.columns import across, derive, present, relocate, starting_with
 from wardlens.operators.ordered import (
     fill_down_sequence,
     moving_average_sequence,
@@ -49,7 +49,18 @@ from wardlens.plans import (
     trends,
 )
 from wardlens.functions.text import in_locale
-from wardlens.sources import join_pages, load_snapshot, shared_folder
+from wardlens.sources import (
+    fetch_optional,
+    fetch_table,
+    first_with_column,
+    join_pages,
+    load_snapshot,
+    overwrite_days,
+    safe_replace,
+    shared_folder,
+    table_version,
+    write_report,
+)
 from wardlens.sources.page_store import (
     merge_snapshot,
     purge_pages,
@@ -545,6 +556,42 @@ def found_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_table_found(rows, "plantaActual", "clase", label=lambda c: re.sub(r"\W+", "_", c))
 
 
+def written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The active records as a printed table, written as a report and read back."""
+    steps = {
+        "anyo": F.year("guardado"),
+        "siglo": F.floor(F.col("anyo") / 100).cast("int"),  # of the column before
+    }
+    rows = relocate(derive(valid_active(spark, sf_dir), steps), "anyo", "siglo", after=KEY)
+    names = {KEY: "Registro", "anyo": "Anyo", "siglo": "Siglo", "nombre": "Paciente", "plantaActual": "Planta"}
+    folder = f"{shared_folder(spark)}/informe-{uuid.uuid4().hex}"
+    write_report({"activos": present(rows, names, F.asc_nulls_last("plantaActual"))}, folder)
+    return fetch_table(spark, f"{folder}/activos", "parquet")
+
+
+def replaced_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily history, created, replaced by rows read from it, and one of its days written again.
+
+    The table that has the counts is found by its column; the first run finds no table and starts empty.
+    """
+    sources = {"movimientos": t.read(spark, sf_dir, "events"), "historico": t.history(spark, sf_dir)}
+    days = first_with_column(sources, "total_ingresados")
+    run = uuid.uuid4().hex
+    table, folder = f"historico_{run}", f"{shared_folder(spark)}/dias-{run}"
+    try:
+        before = fetch_optional(spark, table, days.schema)
+        safe_replace(keys.append(before, days.filter(F.col("fecha") <= F.lit(t.HISTORY_DAY))), table, version=None)
+        version = table_version(spark, table)
+        later = days.filter(F.col("fecha") > F.lit(t.HISTORY_DAY))
+        safe_replace(keys.append(spark.table(table), later), table, version=version)
+        overwrite_days(spark.table(table), folder)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    again = days.filter(F.col("fecha") == F.lit(t.HISTORY_DAY)).withColumn("altas", F.lit(0).cast("long"))
+    overwrite_days(again, folder)
+    return fetch_table(spark, folder, "parquet").select(*days.columns)
+
+
 def loaded_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form found by table name, read and joined; its pages are views while it is loaded."""
     prefix = f"hoja_{uuid.uuid4().hex}_"
@@ -633,4 +680,6 @@ QUERIES: dict[str, Query] = {
     "q71_found_classes": found_classes,
     "q72_loess_band": loess_band,
     "q73_stored_merge": stored_merge,
+    "q74_written_report": written_report,
+    "q75_replaced_history": replaced_history,
 }
