@@ -45,7 +45,8 @@ _TABLE = bytes.maketrans(
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS)
 )
 _NOTHING = -2
-_STRIPE = "lang string, prefix string, segment int, words array<string>, counts array<long>"
+#: Between tasks a stripe is its words joined by spaces, and their counts as 32-bit numbers one after the other.
+_STRIPE = "lang string, prefix string, segment int, words string, counts binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -120,7 +121,7 @@ def _stripe_batch(found, ids, known: list[bytes], numbers: np.ndarray, size: int
     order = np.lexsort((segment, group))
     start, following, counts, group, segment = (x[order] for x in (start, following, counts, group, segment))
     border = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (segment[1:] != segment[:-1])]))
-    offsets = pa.array(np.append(border, len(group)), pa.int32())
+    offsets = np.append(border, len(group)).astype(np.int32)
     prefixes, last, text = [], -1, ""
     for g, s in zip(group[border].tolist(), start[border].tolist()):
         if g != last:
@@ -132,12 +133,25 @@ def _stripe_batch(found, ids, known: list[bytes], numbers: np.ndarray, size: int
         pa.array([lang] * len(border), pa.string()),
         pa.array(prefixes, pa.string()),
         pa.array(segment[border], pa.int32()),
-        pa.ListArray.from_arrays(offsets, words),
-        pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64())),
+        pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words), " "),
+        pa.Array.from_buffers(
+            pa.binary(),
+            len(border),
+            [None, pa.py_buffer(offsets * np.int32(4)), pa.py_buffer(counts.astype(np.int32))],
+        ),
     ]
     return pa.RecordBatch.from_arrays(columns, names=["lang", "prefix", "segment", "words", "counts"])
 
 
+def _unpacked(batch: pa.RecordBatch) -> pa.Table:
+    """Stripes as lists of words and counts."""
+    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32).astype(np.int64)
+    words = pc.split_pattern(batch.column("words"), " ")
+    ends = pa.array(np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())]), pa.int32())
+    columns = {c: batch.column(c) for c in ("lang", "prefix", "segment")}
+    return pa.table(columns | {"words": words, "counts": pa.ListArray.from_arrays(ends, pa.array(counts))})
+
+
 class _Numbers(dict):
     """Numbers of words in the order in which they are met; -1 for a border, _NOTHING between two spaces."""
 
@@ -250,15 +264,15 @@ def merged(rows: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, entries = [], 0
         for batch in batches:
-            held.append(batch)
-            entries += len(batch.column("words").values)
+            held.append(_unpacked(batch))
+            entries += len(held[-1].column("words").combine_chunks().flatten())
             if entries >= MERGED_ENTRIES:
-                *done, last = _added(pa.Table.from_batches(held).combine_chunks())
+                *done, last = _added(pa.concat_tables(held).combine_chunks())
                 if done:
                     yield from _closed(done, least)
-                held, entries = last.to_batches(), 0  # its prefix may go on
+                held, entries = [last], 0  # its prefix may go on
         if held:
-            yield from _closed(_added(pa.Table.from_batches(held).combine_chunks()), least)
+            yield from _closed(_added(pa.concat_tables(held).combine_chunks()), least)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
