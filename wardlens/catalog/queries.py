@@ -82,8 +82,10 @@ def _active(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return isolation.active_records(wide)
 
 
-def _valid(spark: SparkSession, sf_dir: str, columns: tuple[str, ...], slots: str) -> DataFrame:
-    wide = t.surveillance(spark, sf_dir, ["RECSTATUS", *columns], slots)
+def _valid(
+    spark: SparkSession, sf_dir: str, columns: tuple[str, ...], slots: str, spread: bool = False
+) -> DataFrame:
+    wide = t.surveillance(spark, sf_dir, ["RECSTATUS", *columns], slots, spread)
     return isolation.valid_records(wide)
 
 
@@ -388,7 +390,7 @@ def bed_origin_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = _valid(spark, sf_dir, (), SLOT_AND_TIME_COLUMNS)
+    valid = _valid(spark, sf_dir, (), SLOT_AND_TIME_COLUMNS, spread=True)
     long = s.slots_long(valid, prefixes=SLOT_PREFIXES_WITH_TIMES)
     fields = [f for f in s.FIELD_ORDER if f not in (s.ACTIVATED, s.INACTIVATED)]
     return long_to_rows(long, [KEY, "slot"], fields, "name", "value")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlens.constants import CRITICAL_WARDS, KEY
+from wardlens.operators import keys
 from wardlens.plans.indicators import METRICS
 from wardlens.plans.isolation import RISK_FACTORS
 from wardlens.sources.tables import join_pages
@@ -283,12 +284,22 @@ def pages(
 
 
 def surveillance(
-    spark: SparkSession, sf_dir: str, columns: Iterable[str], slots: str | None = None
+    spark: SparkSession,
+    sf_dir: str,
+    columns: Iterable[str],
+    slots: str | None = None,
+    spread: bool = False,
 ) -> DataFrame:
-    """Wide records with the wanted columns; ``slots`` is a pattern of slot columns."""
+    """Wide records with the wanted columns; ``slots`` is a pattern of slot columns.
+
+    With ``spread`` the records stay in all shuffle partitions (``operators.keys.spread``).
+    """
     extra = [c for c in SLOT_PAGE if slots and re.search(slots, c)]
     wanted = [*columns, *extra]
-    return join_pages(pages(spark, sf_dir, wanted), wanted)
+    form = pages(spark, sf_dir, wanted)
+    if spread:
+        form["Vigilancia"] = keys.spread(form["Vigilancia"])
+    return join_pages(form, wanted)
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -32,6 +32,27 @@ def _on(left: DataFrame, right: DataFrame, key: str, null_safe: bool):
     return F.col(key).eqNullSafe(F.col("_right_key")), renamed
 
 
+def _shuffle_partitions(df: DataFrame) -> int:
+    """How many partitions a join or a group deals its rows to, before any are merged."""
+    conf = df.sparkSession.conf
+    merges = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")
+    first = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    if first is None or any(conf.get(c) != "true" for c in merges):
+        first = conf.get("spark.sql.shuffle.partitions")
+    return int(first)
+
+
+def spread(df: DataFrame, key: str = KEY) -> DataFrame:
+    """The same rows, dealt by key to all shuffle partitions; none are merged again.
+
+    For rows that are joined by the key and then multiplied. Adaptive execution
+    merges partitions by the bytes that a stage reads, which tells nothing about
+    what an explode makes of them, so a few tasks would sort it all. The shuffle
+    here is the one of the join, and the join keeps its partitions.
+    """
+    return df.repartition(_shuffle_partitions(df), key)
+
+
 def keep_known(
     df: DataFrame, known: DataFrame, key: str = KEY, null_safe: bool = False
 ) -> DataFrame:

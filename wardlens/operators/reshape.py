@@ -31,7 +31,11 @@ def metrics_long(row: DataFrame, names: Sequence[str], name: str, value: str) ->
 def long_to_rows(
     long: DataFrame, keys: Sequence[str], names: Sequence[str], name: str, value: str
 ) -> DataFrame:
-    """Back to one row per key with one column per name, from a fixed list of names."""
+    """Back to one row per key with one column per name, from a fixed list of names.
+
+    A maximum of texts needs the rows sorted, so a task holds or spills all its long
+    rows; where they come from an explode, ``keys.spread`` the records before it.
+    """
     cells = [F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names]
     return long.groupBy(*keys).agg(*cells)
 
